@@ -11,6 +11,16 @@ WORD = r"[\p{L}\p{N}_]"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a variable.
+
+    The optimizer may inline a column that is read once into the place that
+    reads it; inside a lambda that place runs per element.  A bound variable
+    cannot be inlined.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import lines, rstrip, strip, unicode
+from quillmill.functions.text import let, lines, rstrip, strip, unicode
 
 NO_STRINGS = "array<string>"
 
@@ -48,24 +48,27 @@ def consolidate_imports(df: DataFrame, text: str = "text", out: str = "text_out"
         F.regexp_extract(strip(x), FROM_IMPORT, 1).alias("module"), names(x).alias("names")))
     plain = F.flatten(F.transform(F.filter("ls", is_plain), lambda x: F.transform(
         F.split(F.regexp_extract(strip(x), PLAIN_IMPORT, 1), ","), lambda n: F.concat(F.lit("import "), strip(n)))))
-    modules = F.sort_array(F.array_distinct(F.transform("entries", lambda e: e["module"])))
-
-    def merged(module: Column) -> Column:
-        of_module = F.filter("entries", lambda e: e["module"] == module)
-        joined = F.array_join(F.sort_array(F.array_distinct(F.flatten(
-            F.transform(of_module, lambda e: e["names"])))), ", ")
-        wide = F.concat(F.lit("("), joined, F.lit(")"))
-        return F.concat(F.lit("from "), module, F.lit(" import "), F.when(F.length(joined) > 60, wide).otherwise(joined))
-
-    head = F.concat("plain", F.transform("modules", merged))
-    gap = F.when(F.size("plain") + F.size("modules") > 0, F.array(F.lit(""))).otherwise(_none())
+    def merged(entries: Column):
+        def line(module: Column) -> Column:
+            of_module = F.filter(entries, lambda e: e["module"] == module)
+            names_of = F.array_join(F.sort_array(F.array_distinct(F.flatten(
+                F.transform(of_module, lambda e: e["names"])))), ", ")
+            shown = let(names_of, lambda j: F.when(F.length(j) > 60, F.concat(F.lit("("), j, F.lit(")"))).otherwise(j))
+            return F.concat(F.lit("from "), module, F.lit(" import "), shown)
+
+        return line
+
+    froms = let(F.col("entries"), lambda e: F.transform(
+        F.sort_array(F.array_distinct(F.transform(e, lambda x: x["module"]))), merged(e)))
+    head = F.concat("plain", "froms")
+    gap = F.when(F.size("plain") + F.size("froms") > 0, F.array(F.lit(""))).otherwise(_none())
     rest = F.filter("ls", lambda x: ~is_from(x) & ~is_plain(x))
     return (df.withColumn("ls", lines(F.col(text)))
             .withColumn("entries", entry)
             .withColumn("plain", F.sort_array(F.array_distinct(plain)))
-            .withColumn("modules", modules)
+            .withColumn("froms", froms)
             .withColumn(out, strip(F.array_join(F.concat(head, gap, rest), "\n")))
-            .drop("ls", "entries", "plain", "modules"))
+            .drop("ls", "entries", "plain", "froms"))
 
 
 def import_inventory(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,7 +111,8 @@ def drop_comments_generic(df: DataFrame, text: str = "text", out: str = "text_ou
         (r"/\*[\s\S]*?\*/", ""), (r"(?m)(?<!:)//(?!/).*$", ""), (r"\n{3,}", "\n\n"), (r"(?m)[ \t]+$", "")))
     staged = df.withColumn("pruned", pruned)
     # Only runs of lines made of other blanks remain to be collapsed.
-    kept = F.filter("ls", lambda x, i: (strip(x) != "") | (i == 0) | (strip(F.get("ls", i - 1)) != ""))
+    kept = let(F.col("ls"), lambda ls: F.filter(
+        ls, lambda x, i: (strip(x) != "") | (i == 0) | (strip(F.get(ls, i - 1)) != "")))
     return (staged.withColumn("ls", lines(F.col("pruned"))).withColumn("kept", kept)
             .withColumn(out, F.array_join("kept", "\n"))
             .withColumns({"lines_before": F.size("ls"), "lines_after": F.size("kept"),
@@ -157,9 +161,10 @@ def drop_unreachable(df: DataFrame, text: str = "text", out: str = "text_out") -
         passed = F.struct(state["kept"].alias("kept"), F.lit(None).cast("int").alias("skip"))
         return F.when(skipped, state).when(bare == "pass", passed).otherwise(kept)
 
-    folded = F.aggregate("ls", start, step, lambda s: F.array_join(s["kept"], "\n"))
-    return (df.withColumn("ls", lines(F.col(text)))
-            .withColumn(out, strip(F.regexp_replace(folded, r"\n\s*\n+", "\n"))).drop("ls"))
+    # A line without indent ends every skip, so the text is folded one top-level part at a time.
+    parts = F.transform(F.split(F.col(text), r"\n(?=\S)"), lambda p: F.aggregate(lines(p), start, step, lambda s: s["kept"]))
+    folded = F.array_join(F.flatten(parts), "\n")
+    return df.withColumn(out, strip(F.regexp_replace(folded, r"\n\s*\n+", "\n")))
 
 
 def drop_unreachable_plain(df: DataFrame, text: str = "text", out: str = "text_out") -> DataFrame:
@@ -210,7 +215,8 @@ def block_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def drop_duplicate_blocks(df: DataFrame, text: str = "text", out: str = "text_out") -> DataFrame:
     """Keep the first block of each shape within a file."""
-    first = F.filter("blocks", lambda b, i: F.array_position("digests", F.get("digests", i)) == i + 1)
+    first = let(F.col("digests"), lambda d: F.filter(
+        "blocks", lambda b, i: F.array_position(d, F.get(d, i)) == i + 1))
     header = F.when(F.element_at("parts", 1).rlike(BLOCK), "").otherwise(F.element_at("parts", 1))
     return (_with_blocks(df, text)
             .withColumn("digests", F.transform("blocks", lambda b: F.md5(normalised_block(b))))

@@ -8,31 +8,36 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.skew import spread_join
 from quillmill.functions.text import pairs, plain_sentences, sentences, terms
-from quillmill.operators.ranking import _keep_positions
+from quillmill.operators.ranking import carried, explode_sentences
 from quillmill.operators.rules import PARAPHRASE, rewrite
-from quillmill.operators.segment import by_document
 
 # Similarity above which a sentence is redundant.
 REDUNDANT = 0.55
 REDUNDANT_PLAIN = 0.7
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / F.greatest(F.lit(1), F.size(a) + F.size(b) - common)
 
 
-def _distinct_sentences(feats: DataFrame, key: str) -> DataFrame:
+def _distinct_sentences(feats: DataFrame) -> DataFrame:
     """First sentence of each feature set, numbered densely.
 
     A sentence with the sets of an earlier one always falls with it, so only
     the first can matter; this also keeps copied lines from pairing up.
+    Sentences without features come last and take no part.
     """
-    first = feats.groupBy(key, "w", "b").agg(F.min("pos").alias("pos"))
-    return first.withColumn("idx", F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1)
+    first = feats.groupBy("_k", "w", "b").agg(F.min("pos").alias("pos"), F.first("doc", ignorenulls=True).alias("doc"))
+    empty = (F.size("w") == 0).cast("int")
+    return first.withColumn("idx", F.row_number().over(W.partitionBy("_k").orderBy(empty, "pos")) - 1)
 
 
-def _back_edges(first: DataFrame, key: str, threshold: float) -> DataFrame:
+def _back_edges(first: DataFrame, threshold: float) -> DataFrame:
     """Per sentence: feature ids by kind and the earlier sentences that may be similar.
 
     Two sets can only pass the threshold when they share a feature among the
@@ -42,25 +47,33 @@ def _back_edges(first: DataFrame, key: str, threshold: float) -> DataFrame:
     tagged = F.concat(
         F.transform("w", lambda f: F.struct(F.lit("w").alias("kind"), f.alias("f"))),
         F.transform("b", lambda f: F.struct(F.lit("b").alias("kind"), f.alias("f"))))
-    feature = first.select(key, "idx", "pos", F.inline(tagged))
-    freq = F.count("*").over(W.partitionBy(key, "kind", "f"))
-    fid = F.dense_rank().over(W.partitionBy(key, "kind").orderBy("freq", "f"))
-    ids = (feature.withColumn("freq", freq).withColumn("fid", fid)
-           .groupBy(key, "idx", "pos", "kind").agg(F.sort_array(F.collect_list("fid")).alias("ids")))
-    head = (F.size("ids") - F.ceil(F.size("ids") * F.lit(threshold)) + 1).cast("int")
-    prefix = ids.withColumn("fid", F.explode(F.slice("ids", F.lit(1), F.greatest(head, F.lit(1)))))
-    before = W.partitionBy(key, "kind", "fid").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    return (prefix.withColumn("earlier", F.collect_list("idx").over(before))
-            .groupBy(key, "idx", "pos")
+    feature = (first.select("_k", "idx", "pos", "doc", F.posexplode_outer(tagged).alias("fpos", "x"))
+               .select("_k", "idx", "pos", carried("fpos"), F.col("x.kind").alias("kind"), F.col("x.f").alias("f")))
+    freq = F.count("*").over(W.partitionBy("_k", "kind", "f"))
+    fid = F.dense_rank().over(W.partitionBy("_k", "kind").orderBy("freq", "f"))
+    ids = (feature.withColumn("freq", freq).withColumn("fid", fid).groupBy("_k", "idx", "pos", "kind")
+           .agg(F.sort_array(F.collect_list("fid")).alias("ids"), F.first("doc", ignorenulls=True).alias("doc")))
+    head = F.greatest((F.size("ids") - F.ceil(F.size("ids") * F.lit(threshold)) + 1).cast("int"), F.lit(1))
+    prefix = (ids.select("*", F.posexplode_outer(F.slice("ids", F.lit(1), head)).alias("ppos", "fid"))
+              .withColumn("doc", carried("ppos"))
+              .withColumn("ids", F.when(F.col("ppos") == 0, F.col("ids"))))
+    before = W.partitionBy("_k", "kind", "fid").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    return (prefix.withColumn("earlier", F.collect_list("idx").over(before)).groupBy("_k", "idx", "pos")
             .agg(F.first(F.when(F.col("kind") == "w", F.col("ids")), ignorenulls=True).alias("w"),
                  F.first(F.when(F.col("kind") == "b", F.col("ids")), ignorenulls=True).alias("b"),
-                 F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("back")))
+                 F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("back"),
+                 F.first("doc", ignorenulls=True).alias("doc")))
 
 
-def _accepted(edges: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Greedy pass in order: a sentence falls when similar to an accepted earlier one."""
+def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
+    """Greedy pass in order: a sentence falls when similar to an accepted earlier one.
+
+    One row per document: doc and kept (positions).
+    """
     row = F.struct("idx", "pos", "w", "b", "back")
-    docs = edges.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    docs = edges.groupBy("_k").agg(
+        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), row))).alias("rows"),
+        F.first("doc", ignorenulls=True).alias("doc"))
 
     def similar(r: Column, q: Column) -> Column:
         by_pair = F.when(r["b"].isNotNull() & q["b"].isNotNull(), _jaccard(r["b"], q["b"])).otherwise(0.0)
@@ -71,9 +84,8 @@ def _accepted(edges: DataFrame, key: str, threshold: float) -> DataFrame:
         return F.array_append(acc, ~fallen)
 
     flags = F.aggregate("rows", F.array().cast("array<boolean>"), step)
-    return (docs.withColumn("flags", flags)
-            .select(key, F.explode(F.filter("rows", lambda r, i: F.get("flags", i))).alias("r"))
-            .select(key, F.col("r.pos").alias("pos")))
+    marked = F.zip_with("rows", flags, lambda r, f: F.struct(r["pos"].alias("pos"), f.alias("ok")))
+    return docs.select("_k", "doc", F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["pos"]).alias("kept"))
 
 
 def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
@@ -81,35 +93,30 @@ def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out:
     """Drop sentences too similar, by words or by word pairs, to a kept earlier one.
 
     Paraphrase markers go first; up to two sentences stay untouched; sentences
-    without a word of three characters are dropped.
+    without a word of three characters are dropped.  One shuffle in all.
     """
-    stripped = by_document(df, key).withColumn("stripped", rewrite(F.col(text), PARAPHRASE))
-    split = stripped.withColumn("ss", sentences(F.col("stripped")))
-    base = split.filter(F.size("ss") > 2).select(key, F.posexplode("ss").alias("pos", "s"))
-    tokens = base.withColumn("t", terms(F.col("s"), 3))
-    feats = tokens.select(key, "pos", F.sort_array(F.array_distinct("t")).alias("w"),
-                          F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b")).filter(F.size("w") > 0)
-    kept = _accepted(_back_edges(_distinct_sentences(feats, key), key, threshold), key, threshold)
-    # A long document whose sentences all lack words becomes empty.
-    picked = kept.groupBy(key).agg(F.collect_set("pos").alias("kept"))
-    chosen = F.filter("ss", lambda s, i: F.array_contains("kept", i))
-    return (split.join(picked, key, "left")
-            .withColumn(out, F.when(F.size("ss") <= 2, F.col("stripped"))
-                        .otherwise(F.coalesce(F.array_join(chosen, " "), F.lit(""))))
-            .drop("ss", "stripped", "kept"))
+    staged = df.withColumn("_s", rewrite(F.col(text), PARAPHRASE))
+    rows = explode_sentences(staged, key, sentences(F.col("_s")))
+    # Short documents take part without features.
+    tokens = rows.withColumn("t", F.when(F.col("n") > 2, terms(F.col("s"), 3)).otherwise(_none()))
+    feats = tokens.select("_k", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
+                          F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b"))
+    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold), threshold)
+    chosen = F.array_join(F.transform("kept", lambda i: F.get("doc.ss", i)), " ")
+    return kept.select("doc.*", F.when(F.size("doc.ss") <= 2, F.col("doc._s")).otherwise(chosen).alias(out)).drop(
+        "ss", "_s")
 
 
 def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
                          threshold: float = REDUNDANT_PLAIN) -> DataFrame:
     """Variant: words of any length only; sentences without words are kept."""
-    split = by_document(df, key).withColumn("ss", plain_sentences(F.col(text)))
-    base = split.select(key, F.posexplode("ss").alias("pos", "s"))
-    none = F.array().cast("array<string>")
-    feats = base.select(key, "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"), none.alias("b"))
-    wordless = feats.filter(F.size("w") == 0).select(key, "pos")
-    kept = _accepted(_back_edges(_distinct_sentences(feats.filter(F.size("w") > 0), key), key, threshold),
-                     key, threshold)
-    return _keep_positions(split, kept.unionByName(wordless), key, text, out)
+    rows = explode_sentences(df, key, plain_sentences(F.col(text)))
+    feats = rows.select("_k", "doc", "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"),
+                        _none().alias("b"))
+    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold), threshold)
+    wordless = F.filter(F.transform("doc.ss", lambda s, i: F.when(F.size(terms(s)) == 0, i)), lambda i: i.isNotNull())
+    stays = F.transform(F.array_sort(F.concat("kept", wordless)), lambda i: F.get("doc.ss", i))
+    return kept.select("doc.*", F.array_join(stays, " ").alias(out)).drop("ss")
 
 
 def first_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
-from quillmill.functions.text import lines, strip
+from quillmill.functions.text import let, lines, strip
 from quillmill.operators.segment import in_order
 
 LEAST_LINES = 50
@@ -23,11 +23,18 @@ def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return df.select(key, F.posexplode(lines(strip(F.col(text)))).alias("pos", "line"))
 
 
+IS_ERROR = r"\b(ERROR|FATAL)\b"
+IS_WARNING = r"\bWARN\b"
+
+
 def log_levels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Line count and count per level of each log."""
+    """Line count, count per level, and error and warning lines of each log."""
     level = F.regexp_extract(strip(F.col("line")), vocab.LOG_LEVEL, 1)
+    error = F.col("line").rlike(IS_ERROR)
     counts = [F.count_if(F.col("level") == v).alias(v.lower()) for v in vocab.LOG_LEVELS]
-    return rows.withColumn("level", level).groupBy(key).agg(F.count("*").alias("lines"), *counts)
+    return rows.withColumn("level", level).groupBy(key).agg(
+        F.count("*").alias("lines"), *counts, F.count_if(error).alias("error_count"),
+        F.count_if(~error & F.col("line").rlike(IS_WARNING)).alias("warn_count"))
 
 
 def _cut(line: Column) -> Column:
@@ -40,7 +47,7 @@ def top_errors(rows: DataFrame, key: str = "doc_id", most: int = 10) -> DataFram
     Grouping by template first keeps the window small: only one row per
     distinct template and log reaches it.
     """
-    errors = rows.filter(F.col("line").rlike(r"\b(ERROR|FATAL)\b")).withColumn("cut", _cut(F.col("line")))
+    errors = rows.filter(F.col("line").rlike(IS_ERROR)).withColumn("cut", _cut(F.col("line")))
     firsts = (errors.withColumn("tpl", template(F.col("cut"))).groupBy(key, "tpl")
               .agg(F.min("pos").alias("pos"), F.min_by("cut", "pos").alias("line"), F.count("*").alias("hits")))
     rank = F.row_number().over(W.partitionBy(key).orderBy("pos"))
@@ -49,7 +56,7 @@ def top_errors(rows: DataFrame, key: str = "doc_id", most: int = 10) -> DataFram
 
 def first_warnings(rows: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
     """The first five warning lines, one per template."""
-    warned = rows.filter(~F.col("line").rlike(r"\b(ERROR|FATAL)\b") & F.col("line").rlike(r"\bWARN\b"))
+    warned = rows.filter(~F.col("line").rlike(IS_ERROR) & F.col("line").rlike(IS_WARNING))
     rank = F.row_number().over(W.partitionBy(key).orderBy("pos"))
     head = warned.withColumn("rk", rank).filter(F.col("rk") <= most).withColumn("cut", _cut(F.col("line")))
     return (head.withColumn("tpl", template(F.col("cut"))).groupBy(key, "tpl")
@@ -59,9 +66,6 @@ def first_warnings(rows: DataFrame, key: str = "doc_id", most: int = 5) -> DataF
 def summarise_logs(rows: DataFrame, key: str = "doc_id", least: int = LEAST_LINES) -> DataFrame:
     """One summary text per log of fifty lines or more: key, summary, lines, error_count, warn_count."""
     levels = log_levels(rows, key).filter(F.col("lines") >= least)
-    counts = rows.groupBy(key).agg(
-        F.count_if(F.col("line").rlike(r"\b(ERROR|FATAL)\b")).alias("error_count"),
-        F.count_if(~F.col("line").rlike(r"\b(ERROR|FATAL)\b") & F.col("line").rlike(r"\bWARN\b")).alias("warn_count"))
     errors = top_errors(rows, key).groupBy(key).agg(in_order("pos", "line", "errors"))
     warns = first_warnings(rows, key).groupBy(key).agg(in_order("pos", "line", "warns"))
     shown = [F.when(F.col(v.lower()) > 0, F.concat(F.lit(f"{v}="), F.col(v.lower()).cast("string")))
@@ -76,7 +80,7 @@ def summarise_logs(rows: DataFrame, key: str = "doc_id", least: int = LEAST_LINE
                           F.concat(F.lit("Total lines: "), F.col("lines").cast("string")),
                           F.concat(F.lit("Level distribution: "), F.concat_ws(", ", *shown)),
                           section("ERRORS", "error_count", "errors"), section("WARNINGS", "warn_count", "warns"))
-    return (levels.join(counts, key).join(errors, key, "left").join(warns, key, "left")
+    return (levels.join(errors, key, "left").join(warns, key, "left")
             .select(key, summary.alias("summary"), "lines", "error_count", "warn_count"))
 
 
@@ -121,7 +125,8 @@ def summarise_traceback(df: DataFrame, text: str = "text", out: str = "text_out"
 def summarise_output(df: DataFrame, text: str = "text", out: str = "text_out", least: int = LEAST_LINES) -> DataFrame:
     """First and last five lines and lines with a keyword, each once, under a header."""
     n = F.size("ls")
-    middle = F.filter("ls", lambda x, i: (i >= 5) & (i < n - 5) & x.rlike(vocab.IMPORTANT_LINE))
+    middle = let(F.col("ls"), lambda ls: F.filter(
+        ls, lambda x, i: (i >= 5) & (i < F.size(ls) - 5) & x.rlike(vocab.IMPORTANT_LINE)))
     picked = F.concat(F.slice("ls", 1, 5), F.transform(middle, lambda x: F.substring(x, 1, WIDTH)),
                       F.slice("ls", -5, 5))
     header = F.concat(F.lit("[OUTPUT_SUMMARY: "), n.cast("string"), F.lit(" lines → "),

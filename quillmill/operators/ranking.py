@@ -7,85 +7,103 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
-from quillmill.functions.text import plain_sentences, sentences, strip, terms, unicode, words
+from quillmill.functions.text import let, plain_sentences, sentences, strip, terms, unicode, words
 from quillmill.operators.segment import by_document
 
 # Scores are rounded before ranking, so summation order cannot change a rank.
 DIGITS = 9
 
 
-def _keep_positions(df: DataFrame, picked: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """Rebuild texts from the kept positions; documents without any stay as they are."""
-    kept = picked.groupBy(key).agg(F.collect_set("pos").alias("kept"))
-    chosen = F.filter("ss", lambda s, i: F.array_contains("kept", i))
-    return (df.join(kept, key, "left")
-            .withColumn(out, F.when(F.col("kept").isNull(), F.col(text)).otherwise(F.array_join(chosen, " ")))
-            .drop("kept", "ss"))
+def carried(position: str) -> Column:
+    """The document rides on the first row of each explode only; other rows hold null."""
+    return F.when(F.col(position).isNull() | (F.col(position) == 0), F.col("doc")).alias("doc")
 
 
-def _word_rows(base: DataFrame, key: str, least: int, carry: list[str]) -> DataFrame:
-    """Words counted per sentence.  Sentences without such words keep one row with no word."""
-    return (base.select(key, "pos", *carry, F.explode_outer(terms(F.col("s"), least)).alias("word"))
-            .groupBy(key, "pos", "word", *carry).agg(F.count("word").alias("tf")))
+def explode_sentences(df: DataFrame, key: str, ss: Column, *extra: Column) -> DataFrame:
+    """One shuffle by document, then one row per sentence: key, doc, n, pos, s.
 
+    ``doc`` keeps all columns and the sentence array, so the texts are rebuilt
+    without joining the source again: the plan reads and moves each text once.
+    """
+    base = by_document(df, key).withColumn("ss", ss)
+    doc = F.struct(*[F.col(c) for c in df.columns], F.col("ss"))
+    return (base.select(F.col(key).alias("_k"), doc.alias("doc"), F.size("ss").alias("n"), *extra,
+                        F.posexplode_outer("ss").alias("pos", "s"))
+            .withColumn("doc", carried("pos")))
+
+
+def explode_words(sentence_rows: DataFrame, tokens: Column, *carry: str) -> DataFrame:
+    """One row per word occurrence; a sentence without words keeps one row with no word."""
+    return (sentence_rows.withColumn("_t", tokens)
+            .select("_k", "doc", "n", "pos", *carry, F.posexplode_outer("_t").alias("wpos", "word"))
+            .withColumn("doc", carried("wpos")))
 
-def _positions(scored: DataFrame, key: str, order: list[Column], keep: Column) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return scored.withColumn("rk", rank).filter(F.col("rk") <= keep).select(key, "pos")
 
+def with_sentence_frequency(word_rows: DataFrame) -> DataFrame:
+    """Adds df, the sentences of the document that hold the word."""
+    by_word = W.partitionBy("_k", "word")
+    first = F.lag("pos").over(by_word.orderBy("pos")).eqNullSafe(F.col("pos"))
+    return word_rows.withColumn("_f", (~first).cast("int")).withColumn("df", F.sum("_f").over(by_word))
 
-def _split(df: DataFrame, key: str, ss: Column) -> DataFrame:
-    return by_document(df, key).withColumn("ss", ss)
 
+def sum_by_sentence(word_rows: DataFrame, weight: Column, *carry: str) -> DataFrame:
+    """Sentence rows with raw (summed weight) and words (occurrences)."""
+    weighted = F.sum(F.when(F.col("word").isNull(), 0.0).otherwise(weight))
+    return word_rows.groupBy("_k", "pos", "n", *carry).agg(
+        weighted.alias("raw"), F.count("word").alias("words"), F.first("doc", ignorenulls=True).alias("doc"))
 
-def _explode(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.size("ss").alias("n"), F.posexplode("ss").alias("pos", "s"))
 
+def rebuild(scored: DataFrame, order: list[Column], keep: Column, applies: Column, text: str, out: str) -> DataFrame:
+    """Keep the best ``keep`` sentences of each document in their own order."""
+    rank = F.row_number().over(W.partitionBy("_k").orderBy(*order))
+    picked = F.collect_list(F.when((F.col("rk") <= keep) & applies, F.col("pos")))
+    docs = scored.withColumn("rk", rank).groupBy("_k").agg(
+        F.array_sort(picked).alias("kept"), F.first("doc", ignorenulls=True).alias("doc"))
+    chosen = F.transform("kept", lambda i: F.get("doc.ss", i))
+    return docs.select("doc.*", F.when(F.size("kept") > 0, F.array_join(chosen, " "))
+                       .otherwise(F.col(f"doc.{text}")).alias(out)).drop("ss")
 
-def tfidf_scores(base: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Score of each sentence of (key, n, pos, s); words of four or more characters."""
-    feats = base.withColumns({
+
+def sentence_features(rows: DataFrame) -> DataFrame:
+    """Word count and boost: first or last, question, number."""
+    return rows.withColumns({
         "wc": F.greatest(F.lit(1), F.size(words(F.col("s")))),
         "boost": F.when((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1), 1.8).otherwise(1.0)
         * F.when(F.col("s").endswith("?"), 1.5).otherwise(1.0)
         * F.when(F.col("s").rlike(unicode(r"\b\d+\b")), 1.2).otherwise(1.0),
     })
-    tf = _word_rows(feats, key, 4, ["n", "wc", "boost"])
-    df_in_doc = F.count("word").over(W.partitionBy(key, "word"))
-    weighted = tf.withColumn("df", df_in_doc).withColumn(
-        "w", F.when(F.col("word").isNull(), 0.0).otherwise(
-            F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))))
-    return (weighted.groupBy(key, "pos", "n", "wc", "boost").agg(F.sum("w").alias("raw"))
-            .select(key, "pos", "n", F.round(F.col("raw") / F.col("wc") * F.col("boost"), DIGITS).alias("score")))
+
+
+def tfidf_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scored sentences.  Summing idf over occurrences is the sum of tf * idf over words."""
+    rows = sentence_features(explode_sentences(df, key, sentences(F.col(text))))
+    found = with_sentence_frequency(explode_words(rows, terms(F.col("s"), 4), "wc", "boost"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
+    return sum_by_sentence(found, idf, "wc", "boost").withColumn(
+        "score", F.round(F.col("raw") / F.col("wc") * F.col("boost"), DIGITS))
 
 
 def rank_tfidf(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
                keep: float = 0.35) -> DataFrame:
     """Keep the best share of sentences; the first and last always stay."""
-    split = _split(df, key, sentences(F.col(text)))
-    scored = tfidf_scores(_explode(split.filter(F.size("ss") > 2), key), key)
     forced = ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).cast("int")
     quota = F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(keep)))
-    picked = _positions(scored, key, [forced.desc(), F.desc("score"), F.desc("pos")], quota)
-    return _keep_positions(split, picked, key, text, out)
+    return rebuild(tfidf_scores(df, key, text), [forced.desc(), F.desc("score"), F.desc("pos")], quota,
+                   F.col("n") > 2, text, out)
 
 
 def rank_tfidf_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
                      keep: float = 0.4, stop=vocab.RANK_STOP_WORDS) -> DataFrame:
     """Variant: every word but stop words, each occurrence weighted by its count, nothing forced."""
-    split = _split(df, key, plain_sentences(F.col(text)))
-    base = _explode(split.filter(F.size("ss") > 2), key)
+    rows = explode_sentences(df, key, plain_sentences(F.col(text)))
     token = F.filter(terms(F.col("s")), lambda w: ~w.isin(list(stop)))
-    tf = (base.select(key, "n", "pos", F.explode_outer(token).alias("word"))
-          .groupBy(key, "n", "pos", "word").agg(F.count("word").alias("tf")))
-    weighted = tf.withColumn("df", F.count("word").over(W.partitionBy(key, "word"))).withColumn(
-        "w", F.when(F.col("word").isNull(), 0.0).otherwise(
-            F.col("tf") * F.col("tf") * F.log(F.col("n") / (F.col("df") + 1))))
-    scored = weighted.groupBy(key, "n", "pos").agg(
-        F.round(F.sum("w") / F.greatest(F.lit(1), F.sum("tf")), DIGITS).alias("score"))
+    found = with_sentence_frequency(explode_words(rows, token))
+    tf = F.count("*").over(W.partitionBy("_k", "word", "pos"))
+    weight = F.col("tf") * F.log(F.col("n") / (F.col("df") + 1))
+    scored = sum_by_sentence(found.withColumn("tf", tf), weight).withColumn(
+        "score", F.round(F.col("raw") / F.greatest(F.lit(1), F.col("words")), DIGITS))
     quota = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(keep)))
-    picked = _positions(scored, key, [F.desc("score"), F.desc("pos")], quota)
-    return _keep_positions(split, picked, key, text, out)
+    return rebuild(scored, [F.desc("score"), F.desc("pos")], quota, F.col("n") > 2, text, out)
 
 
 def corpus_idf(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4) -> DataFrame:
@@ -110,7 +128,7 @@ def rank_by_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", top:
     is_hot = F.col("docs") > total * F.lit(common)
     hot = idf.filter(is_hot).select("word", F.col("idf").alias("hot_idf"))
     rare = idf.filter(~is_hot).select(F.col("word").alias("tail_word"), "idf")
-    base = _explode(_split(df, key, sentences(F.col(text))), key)
+    base = by_document(df.select(key, text), key).select(key, F.posexplode(sentences(F.col(text))).alias("pos", "s"))
     tf = (base.select(key, "pos", F.greatest(F.lit(1), F.size(words(F.col("s")))).alias("wc"),
                       F.explode(terms(F.col("s"), 4)).alias("word"))
           .groupBy(key, "pos", "wc", "word").agg(F.count("*").alias("tf")))
@@ -138,7 +156,9 @@ def keep_signal(df: DataFrame, text: str = "text", out: str = "text_out", cluste
     """Keep sentences at or above the upper median of keyword hits, plus the first and last."""
     keywords = sorted({w for ws in (clusters or vocab.SIGNAL_CLUSTERS).values() for w in ws})
     n = F.size("ss")
-    chosen = F.filter("ss", lambda s, i: (F.get("sc", i) >= F.col("cutoff")) | (i == 0) | (i == n - 1))
+    scored = F.zip_with("ss", "sc", lambda s, c: F.struct(s.alias("s"), c.alias("c")))
+    chosen = let(F.struct("cutoff", (n - 1).alias("last")), lambda b: F.transform(
+        F.filter(scored, lambda x, i: (x["c"] >= b["cutoff"]) | (i == 0) | (i == b["last"])), lambda x: x["s"]))
     return (df.withColumn("ss", sentences(F.col(text)))
             .withColumn("sc", signal_scores(F.col("ss"), keywords))
             .withColumn("cutoff", F.greatest(F.lit(1), F.get(F.sort_array("sc"), F.floor(n / 2).cast("int"))))
@@ -183,33 +203,32 @@ def condense(df: DataFrame, key: str = "doc_id", text: str = "text", out: str =
              least_words: int = 60, words_each: int = 50) -> DataFrame:
     """About one sentence per fifty words, by word frequency in the document."""
     flat = F.regexp_replace(F.regexp_replace(F.col(text), BULLET, "\n"), NUMBERED, "\n")
-    split = (by_document(df, key).withColumn("flat", flat)
-             .withColumn("ss", sentences(F.col("flat"))).withColumn("wc", F.size(words(F.col("flat")))))
-    long = split.filter((F.col("wc") >= least_words) & (F.size("ss") > 2))
-    base = long.select(key, "wc", F.size("ss").alias("n"), F.posexplode("ss").alias("pos", "s"))
-    tf = _word_rows(base, key, 4, ["n", "wc"])
-    freq = F.sum("tf").over(W.partitionBy(key, "word"))
-    weight = F.col("tf") * (F.col("f") / F.col("n")) * F.log(F.col("n") / F.col("f"))
-    scored = (tf.withColumn("f", freq)
-              .withColumn("w", F.when(F.col("word").isNull(), 0.0).otherwise(weight))
-              .groupBy(key, "pos", "n", "wc")
-              .agg(F.round(F.sum("w") / F.greatest(F.lit(1), F.sum("tf")), DIGITS).alias("score")))
-    target = F.least(F.greatest(F.lit(2), F.floor(F.col("wc") / words_each)), F.col("n") - 1)
-    picked = _positions(scored, key, [(F.col("pos") == 0).cast("int").desc(), F.desc("score"), F.asc("pos")], target)
-    return _keep_positions(split.drop("flat", "wc"), picked, key, text, out)
+    staged = df.withColumn("_flat", flat).withColumn("_wc", F.size(words(F.col("_flat"))))
+    rows = explode_sentences(staged, key, sentences(F.col("_flat")), F.col("_wc"))
+    found = explode_words(rows, terms(F.col("s"), 4), "_wc").withColumn(
+        "f", F.count("word").over(W.partitionBy("_k", "word")))
+    weight = F.col("f") / F.col("n") * F.log(F.col("n") / F.col("f"))
+    scored = sum_by_sentence(found, weight, "_wc").withColumn(
+        "score", F.round(F.col("raw") / F.greatest(F.lit(1), F.col("words")), DIGITS))
+    target = F.least(F.greatest(F.lit(2), F.floor(F.col("_wc") / words_each)), F.col("n") - 1)
+    order = [(F.col("pos") == 0).cast("int").desc(), F.desc("score"), F.asc("pos")]
+    applies = (F.col("_wc") >= least_words) & (F.col("n") > 2)
+    return rebuild(scored, order, target, applies, text, out).drop("_flat", "_wc")
 
 
 def condense_blocks(df: DataFrame, text: str = "text", out: str = "text_out", block: int = 100,
                     per_block: int = 2) -> DataFrame:
     """First sentences of each block of a hundred words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("ws"), F.lit(1)), F.lit(block))
+    def heads(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1)), F.lit(block))
 
-    def head(start: Column) -> Column:
-        part = F.array_join(F.slice("ws", start, F.lit(block)), " ")
-        return F.array_join(F.slice(F.split(part, r"(?<=[.!?])\s+"), 1, per_block), " ")
+        def head(start: Column) -> Column:
+            part = F.array_join(F.slice(ws, start, F.lit(block)), " ")
+            return F.array_join(F.slice(F.split(part, r"(?<=[.!?])\s+"), 1, per_block), " ")
 
-    return (df.withColumn("ws", words(F.col(text)))
-            .withColumn(out, F.array_join(F.transform(starts, head), " ")).drop("ws"))
+        return F.array_join(F.transform(starts, head), " ")
+
+    return df.withColumn(out, let(words(F.col(text)), heads))
 
 
 def keep_anchored(df: DataFrame, text: str = "text", out: str = "text_out", anchors=None) -> DataFrame:
@@ -242,6 +261,10 @@ def anchor_inventory(df: DataFrame, key: str = "doc_id", text: str = "text", anc
 def chunks(c: Column) -> Column:
     """Paragraphs packed greedily until a chunk reaches its target size."""
     target = F.greatest(F.lit(200), F.floor(F.length(c) / 15).cast("int"))
+    return let(F.struct(c.alias("text"), target.alias("size")), lambda b: _pack(b["text"], b["size"]))
+
+
+def _pack(c: Column, target: Column) -> Column:
     parts = F.filter(F.transform(F.split(c, r"\n\s*\n|\n(?=#{1,6}\s)"), strip), lambda p: p != "")
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("done"), empty.alias("open"), F.lit(0).alias("size"))
@@ -262,7 +285,11 @@ def chunks(c: Column) -> Column:
 
 
 def chunk_score(chunk: Column, position: Column, total: Column) -> Column:
-    ws = words(chunk)
+    return let(F.struct(chunk.alias("chunk"), position.alias("pos"), total.alias("total"), words(chunk).alias("ws")),
+               lambda b: _score(b["chunk"], b["pos"], b["total"], b["ws"]))
+
+
+def _score(chunk: Column, position: Column, total: Column, ws: Column) -> Column:
     n = F.size(ws)
     unique = F.size(F.array_distinct(F.transform(ws, F.lower)))
     numbers = F.regexp_count(chunk, F.lit(unicode(r"\b\d+(?:\.\d+)?%?\b")))
@@ -287,8 +314,8 @@ def keep_chunks(df: DataFrame, text: str = "text", out: str = "text_out", thresh
                 most: int = 8) -> DataFrame:
     """Best chunks of a long text in their own order, each marked with its index."""
     total = F.size("cs")
-    scored = F.transform("cs", lambda c, i: F.struct((-chunk_score(c, i, total)).alias("neg"), i.alias("pos"),
-                                                     c.alias("chunk")))
+    scored = let(F.col("cs"), lambda cs: F.transform(cs, lambda c, i: F.struct(
+        (-chunk_score(c, i, F.size(cs))).alias("neg"), i.alias("pos"), c.alias("chunk"))))
     best = F.slice(F.array_sort("scored"), 1, most)
     ordered = F.array_sort(F.transform("best", lambda b: F.struct(b["pos"].alias("pos"), b["chunk"].alias("chunk"))))
     marked = F.transform(ordered, lambda b: F.concat(F.lit("[§"), b["pos"].cast("string"), F.lit("] "), b["chunk"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
 from quillmill.functions.metrics import est_tokens
-from quillmill.functions.text import lines, strip, unicode, words
+from quillmill.functions.text import let, lines, strip, unicode, words
 
 
 def _weighted(c: Column, rules) -> Column:
@@ -43,9 +43,11 @@ def is_stack_trace(c: Column) -> Column:
 
 def is_log_dump(c: Column) -> Column:
     """Five lines or more, over 40 % of them log-like."""
-    ls = lines(strip(c))
-    logged = F.size(F.filter(ls, lambda x: strip(x).rlike(vocab.LOG_LINE)))
-    return (F.size(ls) >= 5) & (logged / F.size(ls) > 0.4)
+    def dense(ls: Column) -> Column:
+        logged = F.size(F.filter(ls, lambda x: strip(x).rlike(vocab.LOG_LINE)))
+        return (F.size(ls) >= 5) & (logged / F.size(ls) > 0.4)
+
+    return let(lines(strip(c)), dense)
 
 
 def is_log_head(c: Column) -> Column:
@@ -106,10 +108,8 @@ def cascade_replay(requests: DataFrame, configs: DataFrame, default_threshold: f
 
 def decide_tier(df: DataFrame, text: str = "text", threshold: int = 500, signals=vocab.TIER_SIGNALS) -> DataFrame:
     """Adds tier, model, signals found and the reason."""
-    low = F.lower(F.col(text))
-    found = F.filter(F.array(*[F.lit(s) for s in signals]), lambda s: F.col("_low").contains(s))
-    staged = (df.withColumn("_low", low).withColumn("signals", found)
-              .withColumn("token_count", est_tokens(text)).drop("_low"))
+    found = let(F.lower(F.col(text)), lambda low: F.filter(F.array(*[F.lit(s) for s in signals]), lambda s: low.contains(s)))
+    staged = df.withColumn("signals", found).withColumn("token_count", est_tokens(text))
     over, hit = F.col("token_count") > threshold, F.size("signals") > 0
     reason = (F.when(over, F.concat(F.lit("Token count "), F.col("token_count").cast("string"),
                                     F.lit(f" > threshold {threshold}")))

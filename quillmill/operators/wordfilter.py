@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
-from quillmill.functions.text import sentences, strip, unicode, words
+from quillmill.functions.text import let, sentences, strip, unicode, words
 
 
 def _bare(word: Column, marks: str) -> Column:
@@ -18,10 +18,11 @@ def drop_stop_words(c: Column, stop=vocab.STOP_WORDS, keep=vocab.KEEP_WORDS) ->
     droppable = sorted(set(stop) - set(keep))
 
     def prune(sentence: Column) -> Column:
-        ws = words(sentence)
-        last = F.size(ws) - 1
-        kept = F.filter(ws, lambda w, i: (i == 0) | (i == last) | ~_bare(w, ".,!?;:").isin(droppable))
-        return F.when(F.size(ws) <= 2, sentence).otherwise(F.array_join(kept, " "))
+        def of(ws: Column) -> Column:
+            kept = F.filter(ws, lambda w, i: (i == 0) | (i == F.size(ws) - 1) | ~_bare(w, ".,!?;:").isin(droppable))
+            return F.when(F.size(ws) <= 2, sentence).otherwise(F.array_join(kept, " "))
+
+        return let(words(sentence), of)
 
     return F.array_join(F.transform(sentences(c), prune), " ")
 
@@ -35,15 +36,15 @@ def drop_light_words(c: Column, stop=vocab.WEIGHT_STOP_WORDS) -> Column:
     """Longer sentences lose stop words that carry no capital and no digit."""
 
     def prune(sentence: Column) -> Column:
-        ws = words(sentence)
-        last = F.size(ws) - 1
+        def of(ws: Column) -> Column:
+            def heavy(w: Column, i: Column) -> Column:
+                bare = F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
+                return ((i == 0) | (i == F.size(ws) - 1) | w.rlike(r"^\p{Lu}") | w.rlike(r"\p{N}")
+                        | ~bare.isin(list(stop)))
 
-        def heavy(w: Column, i: Column) -> Column:
-            bare = F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
-            return ((i == 0) | (i == last) | w.rlike(r"^\p{Lu}") | w.rlike(r"\p{N}")
-                    | ~bare.isin(list(stop)))
+            return F.when(F.size(ws) <= 5, sentence).otherwise(F.array_join(F.filter(ws, heavy), " "))
 
-        return F.when(F.size(ws) <= 5, sentence).otherwise(F.array_join(F.filter(ws, heavy), " "))
+        return let(words(sentence), of)
 
     parts = F.split(c, r"(?<=[.!?])\s+")
     return F.array_join(F.transform(parts, prune), " ")
@@ -53,28 +54,37 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
-def alias_table(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = vocab.ALIAS_PHRASE,
-                least: int = 2) -> DataFrame:
-    """Title-case phrases seen twice or more in a document, with their short form."""
-    found = (df.filter(F.col(text).rlike(unicode(pattern)))
-             .select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(unicode(pattern)), F.lit(1)))
-                     .alias("pos", "phrase")))
-    parts = F.split("phrase", r"\s+")
+def _alias(phrase: Column) -> Column:
+    parts = F.split(phrase, r"\s+")
     initials = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda w: F.substring(w, 1, 1))
-    alias = F.concat(F.upper(F.array_join(initials, "")), F.lit("-"),
-                     F.upper(F.substring(F.element_at(parts, -1), 1, 1)))
-    return (found.groupBy(key, "phrase").agg(F.min("pos").alias("first_pos"), F.count("*").alias("uses"))
-            .filter(F.col("uses") >= least).withColumn("alias", alias))
+    return F.concat(F.upper(F.array_join(initials, "")), F.lit("-"),
+                    F.upper(F.substring(F.element_at(parts, -1), 1, 1)))
+
+
+def with_aliases(df: DataFrame, text: str = "text", pattern: str = vocab.ALIAS_PHRASE) -> DataFrame:
+    """Adds aliases: title-case phrases seen twice or more, first seen first, with their short form.
+
+    Repeats are neighbours in the sorted matches, so counting is linear and
+    stays inside the row.
+    """
+    found = F.regexp_extract_all(F.col(text), F.lit(unicode(pattern)), F.lit(1))
+    def repeated(phrases: Column) -> Column:
+        return let(F.sort_array(phrases), lambda s: F.array_distinct(F.filter(s, lambda p, i: p == F.get(s, i + 1))))
+
+    first_seen = let(found, lambda m: let(repeated(m), lambda r: F.filter(
+        F.array_distinct(m), lambda p: F.array_contains(r, p))))
+    return df.withColumn("aliases", F.transform(
+        first_seen, lambda p: F.struct(p.alias("phrase"), _alias(p).alias("alias"))))
+
+
+def alias_table(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = vocab.ALIAS_PHRASE) -> DataFrame:
+    """One row per alias: key, phrase, alias."""
+    return with_aliases(df, text, pattern).select(key, F.inline("aliases"))
 
 
-def alias_entities(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
+def alias_entities(df: DataFrame, text: str = "text", out: str = "text_out",
                    pattern: str = vocab.ALIAS_PHRASE) -> DataFrame:
     """Replace repeated phrases by their short form, first seen first."""
-    entry = F.struct("first_pos", "phrase", "alias")
-    folded = alias_table(df, key, text, pattern).groupBy(key).agg(
-        F.array_sort(F.collect_list(entry)).alias("aliases"))
-    replaced = F.aggregate("aliases", F.col(text),
-                           lambda t, a: F.replace(t, a["phrase"], a["alias"]))
-    return (df.join(folded, key, "left")
-            .withColumn(out, F.when(F.col("aliases").isNull(), F.col(text)).otherwise(replaced))
-            .drop("aliases"))
+    replaced = F.aggregate("aliases", F.col(text), lambda t, a: F.replace(t, a["phrase"], a["alias"]))
+    return with_aliases(df, text, pattern).withColumn(
+        out, F.when(F.size("aliases") > 0, replaced).otherwise(F.col(text))).drop("aliases")

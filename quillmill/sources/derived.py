@@ -28,24 +28,48 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload: grouping pre-aggregates and the join back is on the unique id, so
     a payload shared by a third of all rows is no hot key.
     """
+    payload = payloads(spark, sf_dir)
+    count = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
+    events = table(spark, sf_dir, "events")
+    rows = (events.withColumn("doc_id", F.col("event_id") % count)
+            .join(payload, "doc_id").join(organizations(spark, sf_dir), "user_id", "left"))
+    first = (rows.groupBy("organization_id", "payload_hash").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+             .select(F.col("f.event_id").alias("event_id"), F.lit(False).alias("cache_hit")))
+    return audit_columns(rows.join(first, "event_id", "left").withColumn(
+        "cache_hit", F.coalesce("cache_hit", F.lit(True))))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as request payloads with their measures."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    count = docs.agg(F.count("*")).scalar()
-    payload = (docs.withColumn("compressed_payload", drop_stop_words_flat(F.col("text"), DATA_STOP_WORDS))
+    return (docs.withColumn("compressed_payload", drop_stop_words_flat(F.col("text"), DATA_STOP_WORDS))
                .select("doc_id", F.col("text").alias("original_payload"), "compressed_payload",
                        est_tokens("text").alias("tokens_original"),
                        est_tokens("compressed_payload").alias("tokens_compressed"),
                        byte_volume("text").alias("data_bytes_in"),
                        byte_volume("compressed_payload").alias("data_bytes_out"),
                        F.sha2("text", 256).alias("payload_hash")))
-    orgs = table(spark, sf_dir, "customer").select(
+
+
+def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("organization_id"))
-    events = table(spark, sf_dir, "events")
+
+
+def audit_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
+    """The audit rows of a stream of events, without the cache flag."""
+    static = table(spark, sf_dir, "events")
+    events = (spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
+    count = table(spark, sf_dir, "documents").count()
     rows = (events.withColumn("doc_id", F.col("event_id") % count)
-            .join(payload, "doc_id").join(orgs, "user_id", "left"))
-    first = (rows.groupBy("organization_id", "payload_hash").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-             .select(F.col("f.event_id").alias("event_id"), F.lit(False).alias("cache_hit")))
+            .join(payloads(spark, sf_dir), "doc_id").join(organizations(spark, sf_dir), "user_id", "left"))
+    return audit_columns(rows.withColumn("cache_hit", F.lit(None).cast("boolean")))
+
+
+def audit_columns(rows: DataFrame) -> DataFrame:
     response = F.floor(F.col("value") * 10).cast("int")
-    return (rows.join(first, "event_id", "left").withColumn("tokens_response", response).select(
+    return (rows.withColumn("tokens_response", response).select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "user_id",
         F.col("user_id").alias("api_key_id"), "organization_id",
         F.when(F.col("event_id") % 10 != 9, F.col("user_id") % 7).alias("ai_provider_id"),
@@ -56,7 +80,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "data_bytes_in", "data_bytes_out",
         savings_pct("tokens_original", "tokens_compressed").alias("compression_ratio"),
         *[c.alias(k) for k, c in cost_columns("tokens_original", "tokens_compressed", "tokens_response").items()],
-        F.coalesce("cache_hit", F.lit(True)).alias("cache_hit"), "payload_hash"))
+        "cache_hit", "payload_hash"))
 
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +148,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when((kind == "view") & (F.col("event_id") % 3 == 0), "../etc/passwd and eval (1)")
             .when((kind == "signup") & (F.col("event_id") % 5 == 0), "a | bash -c $(id)")
             .otherwise(F.concat(F.lit("  plain \t"), kind, F.lit("\n value "))))
-    orgs = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("organization_id"))
-    return (table(spark, sf_dir, "events").join(orgs, "user_id", "left").select(
+    return (table(spark, sf_dir, "events").join(organizations(spark, sf_dir), "user_id", "left").select(
         F.col("event_id").alias("call_id"), "organization_id", F.col("user_id").alias("api_key_id"),
         F.concat(F.lit("tool_"), (F.col("event_id") % 10).cast("string")).alias("tool_name"),
         F.create_map(F.lit("note"), note, F.lit("props"), F.col("props")).alias("params"), "ts"))
@@ -158,9 +180,7 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = (F.col("event_id") % 250).cast("string")
     first = F.element_at(F.array(*[F.lit(x) for x in ("5.28", "46.212", "193.140", "51.7", "52.9", "10.0", "5.1")]),
                          (F.col("event_id") % 7 + 1).cast("int"))
-    orgs = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("organization_id"))
-    return (table(spark, sf_dir, "events").join(orgs, "user_id", "left").select(
+    return (table(spark, sf_dir, "events").join(organizations(spark, sf_dir), "user_id", "left").select(
         F.col("event_id").alias("request_id"), "organization_id",
         F.concat(first, F.lit(".0."), last).alias("client_ip")))
 
