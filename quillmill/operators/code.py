@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.rows import unroll, unroll_fields
 from quillmill.functions.text import let, lines, rstrip, strip, unicode
 
 NO_STRINGS = "array<string>"
@@ -73,11 +74,10 @@ def consolidate_imports(df: DataFrame, text: str = "text", out: str = "text_out"
 
 def import_inventory(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Modules of the corpus: files that import them and number of import lines."""
-    row = df.select(key, F.explode(lines(F.col(text))).alias("line")).select(key, strip(F.col("line")).alias("line"))
+    row = unroll(df, [key], lines(F.col(text)), "line").select(key, strip(F.col("line")).alias("line"))
     module = F.when(F.col("line").rlike(FROM_IMPORT), F.array(F.regexp_extract("line", FROM_IMPORT, 1))).otherwise(
         F.transform(F.split(F.regexp_extract("line", PLAIN_IMPORT, 1), ","), strip))
-    used = (row.filter(F.col("line").rlike(FROM_IMPORT) | F.col("line").rlike(PLAIN_IMPORT))
-            .select(key, F.explode(module).alias("module")))
+    used = unroll(row.filter(F.col("line").rlike(FROM_IMPORT) | F.col("line").rlike(PLAIN_IMPORT)), [key], module, "module")
     # Grouped by file first, so a module imported everywhere is pre-aggregated twice.
     per_file = used.groupBy("module", key).agg(F.count("*").alias("n"))
     return per_file.groupBy("module").agg(F.count("*").alias("files"), F.sum("n").alias("uses"))
@@ -209,7 +209,7 @@ def _with_blocks(df: DataFrame, text: str) -> DataFrame:
 
 def block_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per function or class: key, pos, block, digest of the normalised block."""
-    return (_with_blocks(df, text).select(key, F.posexplode("blocks").alias("pos", "block"))
+    return (unroll(_with_blocks(df, text), [key], "blocks", "block", "pos")
             .withColumn("digest", F.md5(normalised_block(F.col("block")))))
 
 
@@ -266,7 +266,7 @@ def symbol_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return F.transform(F.arrays_zip(names.alias("n"), details.alias("d")), lambda z, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("pos"), z["n"].alias("name"), z["d"].alias("detail")))
 
-    return df.select(key, F.inline(F.concat(*[found(k, p) for k, p in SYMBOLS.items()])))
+    return unroll_fields(df, [key], F.concat(*[found(k, p) for k, p in SYMBOLS.items()]))
 
 
 TRANSPILE = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill.functions.rows import unroll, unroll_fields
 from quillmill.functions.skew import spread_join
 from quillmill.functions.text import pairs, plain_sentences, sentences, terms
 from quillmill.operators.ranking import carried, explode_sentences
@@ -125,7 +126,7 @@ def first_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Grouping by the sentence pre-aggregates, so a sentence found everywhere
     reaches the reducer as one row per map task.
     """
-    rows = (df.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")))
+    rows = unroll(df, [key], sentences(F.col(text)), "sentence", "pos")
     return (rows.groupBy("sentence").agg(F.min(F.struct(key, "pos")).alias("f"), F.count("*").alias("uses"))
             .select("sentence", F.col(f"f.{key}").alias(key), F.col("f.pos").alias("pos"), "uses"))
 
@@ -152,7 +153,11 @@ def hash_family(n: int = HASHES) -> list[tuple[int, int]]:
 
 def min_hashes(word_set: Column, n: int = HASHES) -> list[Column]:
     base = F.transform(word_set, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
-    return [F.array_min(F.transform(base, lambda h, a=a, b=b: (h * a + b) % PRIME)) for a, b in hash_family(n)]
+
+    def hashed(a: int, b: int) -> Column:
+        return F.array_min(F.transform(base, lambda h: (h * a + b) % PRIME))
+
+    return [hashed(a, b) for a, b in hash_family(n)]
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -180,7 +185,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     band = F.array(*[F.struct(F.lit(b).alias("band"),
                               F.concat_ws(":", *[F.col(f"h{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]).alias("bucket"))
                      for b in range(bands)])
-    member = hashes.select(key, F.inline(band))
+    member = unroll_fields(hashes, [key], band)
     leader = member.groupBy("band", "bucket").agg(F.min(key).alias("original"), F.count("*").alias("members"))
     edges = (spread_join(member, leader.filter("members > 1"), ["band", "bucket"], key)
              .filter(F.col(key) != F.col("original")).select(key, "original").distinct())

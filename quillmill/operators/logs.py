@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.rows import unroll
 from quillmill.functions.text import let, lines, strip
 from quillmill.operators.segment import in_order
 
@@ -20,7 +21,7 @@ def template(line: Column) -> Column:
 
 
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return df.select(key, F.posexplode(lines(strip(F.col(text)))).alias("pos", "line"))
+    return unroll(df, [key], lines(strip(F.col(text))), "line", "pos")
 
 
 IS_ERROR = r"\b(ERROR|FATAL)\b"
@@ -84,6 +85,38 @@ def summarise_logs(rows: DataFrame, key: str = "doc_id", least: int = LEAST_LINE
             .select(key, summary.alias("summary"), "lines", "error_count", "warn_count"))
 
 
+def log_summary(c: Column) -> Column:
+    """The same summary for a log held in one row, without a shuffle."""
+    shown = [F.struct(F.lit(v).alias("name")) for v in vocab.LOG_LEVELS]
+
+    def firsts(found: Column, most: int) -> Column:
+        """First line of each of the first ``most`` templates; distinct is by hash, so this is linear."""
+        def pick(b: Column) -> Column:
+            return F.transform(F.slice(F.array_distinct(b["tpl"]), 1, most),
+                               lambda t: F.concat(F.lit("  • "), F.get(b["cut"], (F.array_position(b["tpl"], t) - 1).cast("int"))))
+
+        return let(F.transform(found, _cut), lambda cut: let(
+            F.struct(cut.alias("cut"), F.transform(cut, template).alias("tpl")), pick))
+
+    def section(title: str, found: Column, listed: Column) -> Column:
+        return F.when(F.size(found) > 0, F.concat(F.lit(f"\n{title} ("), F.size(found).cast("string"), F.lit("):\n"),
+                                                  F.array_join(listed, "\n")))
+
+    def build(ls: Column) -> Column:
+        levels = F.transform(ls, lambda x: F.regexp_extract(strip(x), vocab.LOG_LEVEL, 1))
+        counted = let(levels, lambda lv: F.transform(F.array(*shown), lambda v: F.struct(
+            v["name"].alias("name"), F.size(F.filter(lv, lambda x: x == v["name"])).alias("n"))))
+        spread = F.transform(F.filter(counted, lambda v: v["n"] > 0), lambda v: F.concat(v["name"], F.lit("="), v["n"].cast("string")))
+        errors = F.filter(ls, lambda x: x.rlike(IS_ERROR))
+        warns = F.filter(ls, lambda x: ~x.rlike(IS_ERROR) & x.rlike(IS_WARNING))
+        return F.concat_ws("\n", F.lit("[LOG_SUMMARY]"), F.concat(F.lit("Total lines: "), F.size(ls).cast("string")),
+                           F.concat(F.lit("Level distribution: "), F.array_join(spread, ", ")),
+                           let(errors, lambda e: section("ERRORS", e, firsts(e, 10))),
+                           let(warns, lambda w: section("WARNINGS", w, firsts(F.slice(w, 1, 5), 5))))
+
+    return let(lines(strip(c)), build)
+
+
 def error_templates(rows: DataFrame, line: str = "line", most: int = 20) -> DataFrame:
     """Most frequent line templates of a whole log corpus."""
     return (rows.withColumn("tpl", template(F.col(line))).groupBy("tpl")
@@ -137,7 +170,7 @@ def summarise_output(df: DataFrame, text: str = "text", out: str = "text_out", l
             .drop("ls", "uniq"))
 
 
-def summarise_log_text(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out") -> DataFrame:
+def summarise_log_text(df: DataFrame, text: str = "text", out: str = "text_out", least: int = LEAST_LINES) -> DataFrame:
     """Log summary of whole documents; documents below the line threshold stay."""
-    summary = summarise_logs(split_lines(df, key, text), key).select(key, "summary")
-    return df.join(summary, key, "left").withColumn(out, F.coalesce("summary", text)).drop("summary")
+    long = F.size(lines(strip(F.col(text)))) >= least
+    return df.withColumn(out, F.when(long, log_summary(F.col(text))).otherwise(F.col(text)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.rows import unroll, unroll_fields
+
 # Detection patterns in order of precedence.  They use no look-around, so each
 # can stand alone or in the alternation below.
 PATTERNS = {
@@ -55,7 +57,7 @@ def entities(c: Column, patterns: dict[str, str]) -> Column:
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", switches=None, custom: str = "") -> DataFrame:
     """One row per match: key, entity_type, value, pos (ordinal in the document)."""
     patterns = active_patterns(switches, custom)
-    return (df.select(key, F.posexplode(entities(F.col(text), patterns)).alias("pos", "e"))
+    return (unroll(df, [key], entities(F.col(text), patterns), "e", "pos")
             .select(key, F.col("e.entity_type").alias("entity_type"), F.col("e.value").alias("value"), "pos"))
 
 
@@ -90,7 +92,7 @@ def mask(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "cle
 
 def key_mapping(masked: DataFrame, key: str = "doc_id") -> DataFrame:
     """Placeholder table: key, placeholder, original_value, entity_type."""
-    return masked.select(key, F.inline("mapping"))
+    return unroll_fields(masked, [key], "mapping")
 
 
 def mapping_counts(masked: DataFrame, key: str = "doc_id", shown: int = 5) -> DataFrame:
@@ -126,5 +128,5 @@ def reinject_with(responses: DataFrame, mapping: DataFrame, key: str = "doc_id",
 
 def leaks(masked: DataFrame, key: str = "doc_id", text: str = "clean_content") -> DataFrame:
     """Originals still present in the masked text; expected to be empty."""
-    return masked.select(key, text, F.inline("mapping")).filter(F.col(text).contains(F.col("original_value"))).select(
+    return unroll_fields(masked, [key, text], "mapping").filter(F.col(text).contains(F.col("original_value"))).select(
         key, "placeholder", "original_value")

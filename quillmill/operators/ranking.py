@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.rows import unroll
 from quillmill.functions.text import let, plain_sentences, sentences, strip, terms, unicode, words
 from quillmill.operators.segment import by_document
 
@@ -109,7 +110,7 @@ def rank_tfidf_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out
 def corpus_idf(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4) -> DataFrame:
     """Inverse document frequency of every word over the whole corpus."""
     total = df.agg(F.count("*")).scalar()
-    per_doc = df.select(F.explode(F.array_distinct(terms(F.col(text), least))).alias("word"))
+    per_doc = unroll(df, [], F.array_distinct(terms(F.col(text), least)), "word")
     return (per_doc.groupBy("word").agg(F.count("*").alias("docs"))
             .select("word", "docs", F.log((total + 1) / (F.col("docs") + 1)).alias("idf")))
 
@@ -128,9 +129,9 @@ def rank_by_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", top:
     is_hot = F.col("docs") > total * F.lit(common)
     hot = idf.filter(is_hot).select("word", F.col("idf").alias("hot_idf"))
     rare = idf.filter(~is_hot).select(F.col("word").alias("tail_word"), "idf")
-    base = by_document(df.select(key, text), key).select(key, F.posexplode(sentences(F.col(text))).alias("pos", "s"))
-    tf = (base.select(key, "pos", F.greatest(F.lit(1), F.size(words(F.col("s")))).alias("wc"),
-                      F.explode(terms(F.col("s"), 4)).alias("word"))
+    base = unroll(by_document(df.select(key, text), key), [key], sentences(F.col(text)), "s", "pos")
+    wc = F.greatest(F.lit(1), F.size(words(F.col("s")))).alias("wc")
+    tf = (unroll(base, [key, "pos", wc], terms(F.col("s"), 4), "word")
           .groupBy(key, "pos", "wc", "word").agg(F.count("*").alias("tf")))
     scattered = F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "pos"), F.lit(1024)).cast("string"))
     weighted = (tf.join(F.broadcast(hot), "word", "left")
@@ -189,7 +190,7 @@ def cluster_profile(df: DataFrame, group: str, text: str = "text", clusters=None
     clusters = clusters or vocab.SIGNAL_CLUSTERS
     rows = [(w, c) for c, ws in clusters.items() for w in ws]
     lookup = df.sparkSession.createDataFrame(rows, "word string, cluster string")
-    counted = (df.select(group, F.explode(terms(F.col(text))).alias("word"))
+    counted = (unroll(df, [group], terms(F.col(text)), "word")
                .groupBy(group, "word").agg(F.count("*").alias("hits")))
     return (counted.join(F.broadcast(lookup), "word").groupBy(group)
             .pivot("cluster", sorted(clusters)).agg(F.sum("hits")).na.fill(0))
@@ -304,9 +305,8 @@ def _score(chunk: Column, position: Column, total: Column, ws: Column) -> Column
 
 def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2000) -> DataFrame:
     """Scored chunks of long documents: key, pos, chunk, total, score."""
-    return (df.filter(F.length(text) >= threshold)
-            .select(key, chunks(F.col(text)).alias("cs"))
-            .select(key, F.size("cs").alias("total"), F.posexplode("cs").alias("pos", "chunk"))
+    cut = df.filter(F.length(text) >= threshold).select(key, chunks(F.col(text)).alias("cs"))
+    return (unroll(cut, [key, F.size("cs").alias("total")], "cs", "chunk", "pos")
             .withColumn("score", chunk_score(F.col("chunk"), F.col("pos"), F.col("total"))))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.rows import unroll
 from quillmill.functions.text import strip, unicode
 
 # A rule table is configuration; a larger one is refused, not truncated.
@@ -82,7 +83,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str =
 
 def hit_totals(df: DataFrame) -> DataFrame:
     """Corpus-wide hits and documents per rule, from a table with ``hits``."""
-    return (df.select(F.explode("hits").alias("h")).filter("h.hits > 0")
+    return (unroll(df, [], "hits", "h").filter("h.hits > 0")
             .groupBy(F.col("h.rule").alias("rule"))
             .agg(F.sum("h.hits").alias("hits"), F.count("*").alias("documents")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.rows import unroll
 from quillmill.functions.text import BLANKS, strip, unicode
 
 
@@ -33,7 +34,7 @@ def injection_scan(calls: DataFrame, patterns=vocab.BLOCKED_PATTERNS) -> DataFra
 
 
 def injection_report(calls: DataFrame, patterns=vocab.BLOCKED_PATTERNS) -> DataFrame:
-    return (injection_scan(calls, patterns).select(F.explode("violations").alias("pattern"))
+    return (unroll(injection_scan(calls, patterns), [], "violations", "pattern")
             .groupBy("pattern").agg(F.count("*").alias("hits")))
 
 
@@ -52,7 +53,7 @@ def _compiles(patterns: pd.Series) -> pd.Series:
 def tool_patterns(tools: DataFrame) -> DataFrame:
     """Usable patterns of each tool as an array; blank lines and invalid patterns are skipped."""
     parts = F.filter(F.transform(F.split("blocked_patterns", "\n"), strip), lambda p: p != "")
-    rows = tools.select("tool_id", F.posexplode(parts).alias("pos", "pattern"))
+    rows = unroll(tools, ["tool_id"], parts, "pattern", "pos")
     valid = rows.filter(_compiles("pattern"))
     return valid.groupBy("tool_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "pattern"))), lambda s: s["pattern"]).alias("patterns"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.rows import unroll, unroll_fields
 from quillmill.functions.text import lines, pairs, sentences, terms
 
 
@@ -20,14 +21,14 @@ def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sentence_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sentence: key, pos (from 0), sentence, n (sentences in the document)."""
-    return (df.select(key, sentences(F.col(text)).alias("ss"))
-            .select(key, F.size("ss").alias("n"), F.posexplode("ss").alias("pos", "sentence")))
+    cut = df.select(key, sentences(F.col(text)).alias("ss"))
+    return unroll(cut, [key, F.size("ss").alias("n")], "ss", "sentence", "pos")
 
 
 def line_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: key, pos (from 0), line, indent, blank."""
     bare = F.regexp_replace("line", r"^\s+", "")
-    return (df.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    return (unroll(df, [key], lines(F.col(text)), "line", "pos")
             .withColumn("bare", bare)
             .withColumn("indent", F.length("line") - F.length("bare")))
 
@@ -45,7 +46,7 @@ def feature_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.transform(F.array_distinct("tokens"), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("feature"))),
         F.transform(F.array_distinct(pairs(F.col("tokens"))),
                     lambda w: F.struct(F.lit("pair").alias("kind"), w.alias("feature"))))
-    return base.select(key, "pos", F.inline(found))
+    return unroll_fields(base, [key, "pos"], found)
 
 
 def in_order(position: str, value: str, out: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.rows import unroll_fields
 from quillmill.functions.text import let, sentences, strip, unicode, words
 
 
@@ -37,12 +38,16 @@ def drop_light_words(c: Column, stop=vocab.WEIGHT_STOP_WORDS) -> Column:
 
     def prune(sentence: Column) -> Column:
         def of(ws: Column) -> Column:
-            def heavy(w: Column, i: Column) -> Column:
-                bare = F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
-                return ((i == 0) | (i == F.size(ws) - 1) | w.rlike(r"^\p{Lu}") | w.rlike(r"\p{N}")
-                        | ~bare.isin(list(stop)))
+            # One regex per sentence: blanks stay, so bare words line up with the words.
+            bare = F.split(F.regexp_replace(F.lower(F.array_join(ws, " ")), r"[^\p{L}\p{N}_ ]", ""), " ")
+            both = F.zip_with(ws, bare, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
 
-            return F.when(F.size(ws) <= 5, sentence).otherwise(F.array_join(F.filter(ws, heavy), " "))
+            def heavy(x: Column, i: Column) -> Column:
+                return ((i == 0) | (i == F.size(ws) - 1) | ~x["b"].isin(list(stop))
+                        | x["w"].rlike(r"^\p{Lu}") | x["w"].rlike(r"\p{N}"))
+
+            kept = F.transform(F.filter(both, heavy), lambda x: x["w"])
+            return F.when(F.size(ws) <= 5, sentence).otherwise(F.array_join(kept, " "))
 
         return let(words(sentence), of)
 
@@ -79,7 +84,7 @@ def with_aliases(df: DataFrame, text: str = "text", pattern: str = vocab.ALIAS_P
 
 def alias_table(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = vocab.ALIAS_PHRASE) -> DataFrame:
     """One row per alias: key, phrase, alias."""
-    return with_aliases(df, text, pattern).select(key, F.inline("aliases"))
+    return unroll_fields(with_aliases(df, text, pattern), [key], "aliases")
 
 
 def alias_entities(df: DataFrame, text: str = "text", out: str = "text_out",

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.metrics import byte_volume, cost_columns, est_tokens, savings_pct
+from quillmill.functions.rows import unroll
 from quillmill.functions.text import sentences
 from quillmill.functions.vocab import KEY_PREFIX
 from quillmill.operators.wordfilter import drop_stop_words_flat
-from quillmill.sources.readers import requests_from_turns, table
+from quillmill.sources.readers import documents, requests_from_turns, table
 
 # Words of the test corpus that stand for stop words; fixed values.
 DATA_STOP_WORDS = ["the", "and", "of", "to", "in", "der", "die", "und", "de", "la", "les", "en", "que", "el", "y"]
@@ -41,7 +42,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as request payloads with their measures."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return (docs.withColumn("compressed_payload", drop_stop_words_flat(F.col("text"), DATA_STOP_WORDS))
                .select("doc_id", F.col("text").alias("original_payload"), "compressed_payload",
                        est_tokens("text").alias("tokens_original"),
@@ -237,7 +238,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("content_block_delta").alias("type"), F.struct(piece.alias("text")).alias("delta"))))
         .otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(
             piece.alias("content")).alias("delta"))).alias("choices"))))))
-    rows = base.select("request_id", "provider", F.posexplode(F.array_append(word, F.lit(None).cast("string"))).alias("seq", "piece"))
+    rows = unroll(base, ["request_id", "provider"], F.array_append(word, F.lit(None).cast("string")), "piece", "seq")
     return rows.select("request_id", "seq", "provider",
                        F.when(piece.isNull(), "data: [DONE]").otherwise(raw).alias("raw"),
                        F.timestamp_seconds(F.lit(1704067200) + F.col("request_id") % 1000 + F.col("seq")).alias("ts"))
@@ -253,7 +254,7 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files made from documents: one import pair and one function per sentence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("ss"))
+    docs = documents(spark, sf_dir).select("doc_id", sentences(F.col("text")).alias("ss"))
     ws = F.transform("ss", lambda s: F.regexp_extract_all(F.lower(s), F.lit("([a-z]+)"), F.lit(1)))
     usable = F.filter("ws", lambda w: F.size(w) >= 3)
 
@@ -270,7 +271,7 @@ def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traceback_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracebacks made from documents: one frame per sentence, an error line at the end."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("ss"))
+    docs = documents(spark, sf_dir).select("doc_id", sentences(F.col("text")).alias("ss"))
     ws = F.transform("ss", lambda s: F.regexp_extract_all(F.lower(s), F.lit("([a-z]+)"), F.lit(1)))
     usable = F.filter("ws", lambda w: F.size(w) >= 3)
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
 from quillmill.functions.metrics import est_tokens
+from quillmill.functions.rows import unroll_fields
 from quillmill.functions.text import words
 from quillmill.operators import analytics, dedup, opcode, quotes, ranking, rules, segment, wordfilter
 from quillmill.operators.routing import classify
 from quillmill.plans import pipelines as p
 from quillmill.sources import derived as d
-from quillmill.sources.readers import table
+from quillmill.sources.readers import documents
 from quillmill.suite import sql as q
 from quillmill.suite.usage import ALL_STOP
 
@@ -26,7 +27,7 @@ DATA_RULES = rules.rule_set("data", [(r"of the", "[OT]"), (r"the", "t"), (r"and"
 
 
 def docs(s, sf):
-    return table(s, sf, "documents").select("doc_id", "text")
+    return documents(s, sf).select("doc_id", "text")
 
 
 def out(df):
@@ -68,6 +69,11 @@ def _planted_sql(name):
     return f"SELECT doc_id, CASE doc_id % {len(items)} {case} END || ' ' || text AS text_out FROM documents"
 
 
+# The parts of the hedge rules that occur in the corpus.
+_FILLERS = "(Sure[!,.]?\\s*|Of course[!,.]?\\s*|Certainly[!,.]?\\s*|Absolutely[!,.]?\\s*|No problem[!,.]?\\s*|Happy to help[!,.]?\\s*)"
+_TO_BE = "\\x02to\\x03 \\x02be\\x03"
+
+
 def _tidy(c):
     """What the hedge rules do to text without hedges: blanks and doubled punctuation."""
     flat = q.trim(f"regexp_replace({c}, '  +', ' ', 'g')")
@@ -84,11 +90,11 @@ def _ledger(stages):
 
 
 def _savings_rollup(s, sf):
-    df = table(s, sf, "documents").select("doc_id", "text", "lang")
+    df = documents(s, sf).select("doc_id", "text", "lang")
     stages = [("flat", p.column_operator(lambda c: wordfilter.drop_stop_words_flat(c, d.DATA_STOP_WORDS))),
               ("blocks", ranking.condense_blocks)]
     done = p.run_stages(df, stages)
-    ledger = done.select("lang", F.inline("ledger"))
+    ledger = unroll_fields(done, ["lang"], "ledger")
     return analytics.savings_rollup(ledger)
 
 
@@ -149,7 +155,8 @@ def _custom_rules(s, sf):
 
 def _dispatch(s, sf):
     mixed = docs(s, sf).unionByName(d.code_documents(s, sf).withColumn("doc_id", F.col("doc_id") + 1_000_000))
-    done = p.compress_by_content(mixed)
+    traces = d.traceback_documents(s, sf).withColumn("doc_id", F.col("doc_id") + 2_000_000)
+    done = p.compress_by_content(mixed.unionByName(traces))
     return done.groupBy("pipeline", "content_type").agg(
         F.count("*").alias("documents"), F.sum("tokens_before").alias("tokens_before"),
         F.sum("tokens_after").alias("tokens_after"))
@@ -187,7 +194,7 @@ QUERIES = {
     "x4c_corpus_tfidf": lambda s, sf: ranking.rank_by_corpus(docs(s, sf), top=2),
     "x5_signal": _signal,
     "x5b_signal_substring": lambda s, sf: out(ranking.keep_signal_substring(docs(s, sf), signals=SIGNALS)),
-    "x5c_cluster_profile": lambda s, sf: ranking.cluster_profile(table(s, sf, "documents"), "lang", clusters=CLUSTERS),
+    "x5c_cluster_profile": lambda s, sf: ranking.cluster_profile(documents(s, sf), "lang", clusters=CLUSTERS),
     "x6_condense": lambda s, sf: out(ranking.condense(docs(s, sf))),
     "x6b_blocks": lambda s, sf: out(ranking.condense_blocks(docs(s, sf))),
     "x7_anchored": lambda s, sf: out(ranking.keep_anchored(docs(s, sf), anchors=ANCHORS)),
@@ -240,9 +247,8 @@ _W = "list_sort(list_distinct(" + q.terms("s", 3) + "))"
 
 def _redundant(rows: str, word_sql: str, threshold: float, with_pairs: bool) -> str:
     """Greedy removal: overlaps by join on the feature, then a fold over positions."""
-    t3 = q.terms("s", 3)
-    pairs = (f"list_distinct(list_transform(range(1, len({t3})), lambda i: ({t3})[i] || ' ' || ({t3})[i+1]))"
-             if with_pairs else "[]::VARCHAR[]")
+    pairs = q.let(q.terms("s", 3), "t", "list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1]))")
+    pairs = pairs if with_pairs else "[]::VARCHAR[]"
     return f"""
     sent AS ({rows}),
     feat AS (SELECT doc_id, n, pos, s, {word_sql} AS w, {pairs} AS b FROM sent),
@@ -312,8 +318,10 @@ SQL = {
     **{f"x1{x}_{k}": _planted_sql(n) for x, k, n in (
         ("b", "vocabulary", "vocabulary"), ("c", "polite", "polite"), ("d", "shorthand", "shorthand"),
         ("e", "output", "output"), ("f", "paraphrase", "paraphrase"))},
-    "x1a_hedges": f"""SELECT doc_id, {_tidy('t')} AS text_out FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ', well.'
-        WHEN 1 THEN 'Here it is. ' ELSE 'We agree; the point' END || ' ' || text AS t FROM documents)""",
+    "x1a_hedges": f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{_FILLERS}', '', 'gi') AS t FROM documents),
+        b AS (SELECT doc_id, {q.unmark("regexp_replace(" + q.mark_words("t") + ", '" + _TO_BE + "', '', 'gi')")} AS t FROM a)
+        SELECT doc_id, {_tidy('t')} AS text_out FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ', well.'
+        WHEN 1 THEN 'Here it is. ' ELSE 'We agree; the point' END || ' ' || t AS t FROM b)""",
     "x1g_custom_rule_groups": """SELECT CASE n_nationkey % 3 WHEN 0 THEN 'language:' || CASE WHEN n_nationkey % 2 = 0 THEN 'de' ELSE 'en' END
         WHEN 1 THEN 'programming:' || CASE WHEN n_nationkey % 4 = 1 THEN 'python' ELSE 'generic' END ELSE 'custom' END AS rule_group,
         count(*) AS rules, count(*) FILTER (n_nationkey % 5 <> 4) AS active_rules FROM nation

@@ -10,7 +10,7 @@ from quillmill.operators import wordfilter
 from quillmill.session import checkpoint_path
 from quillmill.sources import derived as d
 from quillmill.sources import readers, writers
-from quillmill.sources.readers import table
+from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
 
 STOP = {
@@ -100,7 +100,7 @@ def _slim(s, sf):
 
 
 def stopword_savings(s, sf):
-    docs = table(s, sf, "documents")
+    docs = documents(s, sf)
     out = docs.withColumn("text_out", wordfilter.drop_stop_words(F.col("text"), ALL_STOP, []))
     return _dbl(a.language_savings(out, "lang"), "usd_saved")
 
@@ -149,7 +149,7 @@ def _export(s, sf):
 
 
 def _simulation(s, sf):
-    docs = table(s, sf, "documents").withColumn("text_out", wordfilter.drop_stop_words_flat(F.col("text"), d.DATA_STOP_WORDS))
+    docs = documents(s, sf).withColumn("text_out", wordfilter.drop_stop_words_flat(F.col("text"), d.DATA_STOP_WORDS))
     sim = writers.simulation_audit(docs.withColumn("tier", F.when(m.est_tokens("text_out") > 500, 2).otherwise(1)), 1)
     return _dbl(sim.withColumns({"original_payload": F.md5("original_payload"),
                                  "compressed_payload": F.md5("compressed_payload")}),
