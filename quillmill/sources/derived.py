@@ -263,7 +263,7 @@ def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(
             F.lit("from "), b, F.lit(" import "), c, F.lit("\nimport "), a, F.lit("\n\n\n\ndef "), a, F.lit("("), b,
             F.lit("):   \n    # "), c, F.lit("\n    url = 'http://"), a, F.lit("'  // link\n    value = "), b,
-            F.lit("\n    return value\n    "), c, F.lit("()\n    pass\n"))
+            F.lit("\n    return value\n        "), c, F.lit("()\n    pass\n"))
 
     return (docs.withColumn("ws", ws)
             .select("doc_id", F.array_join(F.transform(usable, block), "").alias("text")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("usage", "text")
+AREAS = ("usage", "text", "code", "routes")
 
 
 def _modules():
