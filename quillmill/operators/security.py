@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.functions import vocab
 from quillmill.functions.rows import unroll
@@ -38,7 +39,7 @@ def injection_report(calls: DataFrame, patterns=vocab.BLOCKED_PATTERNS) -> DataF
             .groupBy("pattern").agg(F.count("*").alias("hits")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _compiles(patterns: pd.Series) -> pd.Series:
     def ok(p: str) -> bool:
         try:

@@ -65,7 +65,9 @@ def audit_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     count = table(spark, sf_dir, "documents").count()
     rows = (events.withColumn("doc_id", F.col("event_id") % count)
             .join(payloads(spark, sf_dir), "doc_id").join(organizations(spark, sf_dir), "user_id", "left"))
-    return audit_columns(rows.withColumn("cache_hit", F.lit(None).cast("boolean")))
+    # Event time must be an instant; the files hold UTC without a zone.
+    return audit_columns(rows.withColumn("cache_hit", F.lit(None).cast("boolean"))).withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp"))
 
 
 def audit_columns(rows: DataFrame) -> DataFrame:

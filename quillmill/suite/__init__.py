@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("usage", "text", "code", "routes")
+AREAS = ("usage", "text", "code", "routes", "guard", "live")
 
 
 def _modules():

@@ -10,6 +10,7 @@ from quillmill.operators import routing as r
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table, widen
 from quillmill.suite import sql as q
+from quillmill.suite.code import CODE as CODE_SQL
 from quillmill.suite.usage import AUDIT, KEYS, PROVIDERS, _HISTORY
 
 # Patterns without word borders, which the two engines define differently, and
@@ -140,7 +141,7 @@ QUERIES = {
     "h8_replay": lambda s, sf: pc.replay(d.audit(s, sf)),
     "h8_hit_rate": lambda s, sf: pc.hit_rate(d.audit(s, sf)),
     "h9_top_similar": lambda s, sf: pc.top_similar(_vectors(s, sf), k=5, least=0.25),
-    "h9_top_similar_by_label": lambda s, sf: pc.top_similar(_vectors(s, sf), group="label", k=3, least=0.5),
+    "h9_top_similar_by_label": lambda s, sf: pc.top_similar(_vectors(s, sf), group="label", k=3, least=0.2),
 }
 
 _MP = "mp AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT page_id + 1000000, html FROM pages)"
@@ -197,7 +198,9 @@ SQL = {
     "r3_log_dump": f"""WITH t AS (SELECT doc_id, string_split({q.trim("CASE WHEN doc_id % 3 = 0 THEN '2024-01-01 ' || replace(text, chr(10), chr(10) || '2024-01-02 ') ELSE text END")}, chr(10)) AS ls FROM documents)
         SELECT doc_id, len(ls) >= 5 AND len(list_filter(ls, lambda l: regexp_matches({q.trim('l')}, '{vocab.LOG_LINE}'))) / len(ls) > 0.4 AS is_log,
         len(list_filter(ls[1:20], lambda l: regexp_matches({q.trim('l')}, '{vocab.LOG_HEAD_LINE}'))) > 5 AS is_log_head FROM t""",
-    "r4_code_language": None,
+    "r4_code_language": f"""WITH {CODE_SQL}, x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, 'def ', 'function '), 'import ', 'const x = ') ELSE text END AS text FROM code),
+        y AS (SELECT doc_id, {_any('text', vocab.PYTHON_INDICATORS)} AS py, {_any('text', vocab.SCRIPT_INDICATORS)} AS js FROM x)
+        SELECT doc_id, CASE WHEN py > js THEN 'python' WHEN js > py THEN 'javascript' ELSE 'generic' END AS language FROM y""",
     "r5_has_code": f"""WITH {_HISTORY} SELECT request_id, len(list_filter(messages, lambda m: contains(m.content, '```') OR contains(m.content, 'def ') OR contains(m.content, 'class '))) > 0 AS has_code FROM req""",
     "r6_complexity": f"""SELECT doc_id, len({q.words('text')}) > 2000 OR regexp_matches(text, '(?i){"|".join(KEYWORDS)}') OR contains(upper(text), '[HEAVY]') OR contains(upper(text), '[COMPLEX]') AS is_complex FROM documents""",
     "r7_confidence": f"""SELECT conv_id, turn, (CASE WHEN {q.trim('text')} = '' THEN 0.0 ELSE round(greatest(0.0, 1.0 - ({" + ".join(f"len(regexp_extract_all(text, '(?i){p}')) * {w}::DOUBLE" for p, w in HEDGES)})), 6) END)::DOUBLE AS confidence FROM conversations""",
@@ -241,6 +244,5 @@ SQL = {
     "h9_top_similar": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS match_id, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id)
         SELECT vec_id, match_id, round(sim, 6) AS similarity, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, match_id) AS rk FROM s WHERE sim >= 0.25) WHERE rk <= 5""",
     "h9_top_similar_by_label": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS match_id, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)
-        SELECT vec_id, match_id, round(sim, 6) AS similarity, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, match_id) AS rk FROM s WHERE sim >= 0.5) WHERE rk <= 3""",
+        SELECT vec_id, match_id, round(sim, 6) AS similarity, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, match_id) AS rk FROM s WHERE sim >= 0.2) WHERE rk <= 3""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
