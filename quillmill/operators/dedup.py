@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmill.functions.rows import unroll, unroll_fields
+from quillmill.functions.rows import unroll
 from quillmill.functions.skew import spread_join
-from quillmill.functions.text import pairs, plain_sentences, sentences, terms
+from quillmill.functions.text import WORD, pairs, plain_sentences, sentences, terms
 from quillmill.operators.ranking import carried, explode_sentences
 from quillmill.operators.rules import PARAPHRASE, rewrite
 
@@ -151,48 +151,58 @@ def hash_family(n: int = HASHES) -> list[tuple[int, int]]:
     return [(pow(16807, 2 * k + 1, PRIME), pow(16807, 2 * k + 2, PRIME)) for k in range(n)]
 
 
-def min_hashes(word_set: Column, n: int = HASHES) -> list[Column]:
-    base = F.transform(word_set, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
+def word_hashes(word_set: Column) -> Column:
+    return F.transform(word_set, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
 
-    def hashed(a: int, b: int) -> Column:
-        return F.array_min(F.transform(base, lambda h: (h * a + b) % PRIME))
 
-    return [hashed(a, b) for a, b in hash_family(n)]
+def min_hashes(hashes: str, n: int = HASHES) -> list[Column]:
+    """One minimum per member of the family, over a column of word hashes made once."""
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: (h * a + b) % PRIME))
+
+    return [least(a, b) for a, b in hash_family(n)]
+
+
+def _word_set(text: str) -> Column:
+    return F.sort_array(F.array_distinct(terms(F.col(text), 3)))
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """Documents whose words nearly equal those of a smaller-keyed document.
 
-    1. Exact copies of a word set collapse to their first document.
-    2. The rest is banded by min-hash; in each bucket every member is compared
-       with the bucket's first document only.  That is linear in members, so a
-       bucket with a third of the corpus is no harder than any other.
-    3. Each comparison is checked with the exact Jaccard value.
+    1. Exact copies of a word set collapse to their first document; the
+       grouping carries the first one's min-hash bands along, so no text moves.
+    2. In each min-hash bucket every member is compared with the bucket's first
+       document only.  That is linear in members, so a bucket with a third of
+       the corpus is no harder than any other.
+    3. Texts are fetched for the compared documents alone and checked with the
+       exact Jaccard value.
 
     Returns key, original, similarity: the best original per document.
     """
-    sets = (df.select(key, F.sort_array(F.array_distinct(terms(F.col(text), 3))).alias("ws"))
-            .filter(F.size("ws") > 0))
+    # A cheap test for "has a word", so that the filter does not cut the words twice.
+    sets = df.filter(F.col(text).rlike(WORD + "{3}")).select(key, _word_set(text).alias("ws"))
     digest = F.sha2(F.array_join("ws", " "), 256)
-    hashed = sets.withColumn("digest", digest)
-    firsts = hashed.groupBy("digest").agg(F.min(key).alias("original"))
-    copies = (spread_join(hashed.select(key, "digest"), firsts, ["digest"], key)
-              .filter(F.col(key) != F.col("original")).select(key, "original", F.lit(1.0).alias("similarity")))
-    # left_anti on the unique key, not on the hot digest
-    reps = sets.join(copies.select(key), key, "left_anti")
-    hashes = reps.select(key, *[h.alias(f"h{i}") for i, h in enumerate(min_hashes(F.col("ws")))])
     bands = HASHES // BAND_ROWS
-    band = F.array(*[F.struct(F.lit(b).alias("band"),
-                              F.concat_ws(":", *[F.col(f"h{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]).alias("bucket"))
-                     for b in range(bands)])
-    member = unroll_fields(hashes, [key], band)
+    band = F.array(*[F.concat_ws(":", *[F.col(f"h{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(bands)])
+    staged = sets.select(key, digest.alias("digest"), word_hashes(F.col("ws")).alias("hs"))
+    hashed = staged.select(key, "digest", *[h.alias(f"h{i}") for i, h in enumerate(min_hashes("hs"))])
+    reps = (hashed.select(key, "digest", band.alias("bands")).groupBy("digest")
+            .agg(F.min(F.struct(key, "bands")).alias("r"), F.count("*").alias("n"))
+            # Always true; it keeps the count in every use, so that all uses share one shuffle.
+            .filter("n > 0"))
+    firsts = reps.filter("n > 1").select("digest", F.col(f"r.{key}").alias("original"))
+    copies = (spread_join(sets.select(key, digest.alias("digest")), firsts, ["digest"], key)
+              .filter(F.col(key) != F.col("original")).select(key, "original", F.lit(1.0).alias("similarity")))
+    member = unroll(reps, [F.col(f"r.{key}").alias(key)], "r.bands", "bucket", "band")
     leader = member.groupBy("band", "bucket").agg(F.min(key).alias("original"), F.count("*").alias("members"))
     edges = (spread_join(member, leader.filter("members > 1"), ["band", "bucket"], key)
              .filter(F.col(key) != F.col("original")).select(key, "original").distinct())
-    mine = edges.join(reps, key)
-    theirs = reps.select(F.col(key).alias("original"), F.col("ws").alias("other"))
-    needed = theirs.join(edges.select("original").distinct(), "original", "left_semi")
-    checked = (spread_join(mine, needed, ["original"], key)
+    texts = df.select(key, text)
+    mine = edges.join(texts, key).select(key, "original", _word_set(text).alias("ws"))
+    theirs = (texts.join(edges.select(F.col("original").alias(key)).distinct(), key, "left_semi")
+              .select(F.col(key).alias("original"), _word_set(text).alias("other")))
+    checked = (spread_join(mine, theirs, ["original"], key)
                .withColumn("similarity", F.round(_jaccard(F.col("ws"), F.col("other")), 6))
                .filter(F.col("similarity") >= threshold))
     best = checked.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("original")).alias("o"))).alias("m"))
