@@ -186,14 +186,16 @@ def keep_signal_substring(df: DataFrame, text: str = "text", out: str = "text_ou
 
 
 def cluster_profile(df: DataFrame, group: str, text: str = "text", clusters=None) -> DataFrame:
-    """Keyword hits per cluster and group.  The keyword table is a fixed list, so it is broadcast."""
+    """Keyword hits per cluster and group.
+
+    The keyword table is a fixed list, so it is broadcast, and words outside it
+    are gone before anything is grouped.
+    """
     clusters = clusters or vocab.SIGNAL_CLUSTERS
     rows = [(w, c) for c, ws in clusters.items() for w in ws]
     lookup = df.sparkSession.createDataFrame(rows, "word string, cluster string")
-    counted = (unroll(df, [group], terms(F.col(text)), "word")
-               .groupBy(group, "word").agg(F.count("*").alias("hits")))
-    return (counted.join(F.broadcast(lookup), "word").groupBy(group)
-            .pivot("cluster", sorted(clusters)).agg(F.sum("hits")).na.fill(0))
+    hits = unroll(df, [group], terms(F.col(text)), "word").join(F.broadcast(lookup), "word")
+    return hits.groupBy(group).pivot("cluster", sorted(clusters)).agg(F.count("word")).na.fill(0)
 
 
 BULLET = r"(?m)^\s*[-*•]\s+"

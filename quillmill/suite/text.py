@@ -14,7 +14,9 @@ from quillmill.plans import pipelines as p
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents
 from quillmill.suite import sql as q
-from quillmill.suite.usage import ALL_STOP
+from quillmill.suite.routes import CODE, PROSE
+from quillmill.suite.routes import SQL as ROUTE_SQL
+from quillmill.suite.usage import ALL_STOP, AUDIT
 
 # The invented prose holds none of the fixed vocabularies, so these checks use
 # words that occur in it.
@@ -99,7 +101,7 @@ def _savings_rollup(s, sf):
 
 
 def _by_class(s, sf):
-    classes = classify(docs(s, sf)).select("doc_id", "content_type")
+    classes = classify(docs(s, sf), "text", CODE, PROSE).select("doc_id", "content_type")
     return analytics.savings_by_class(d.audit(s, sf), classes)
 
 
@@ -140,8 +142,10 @@ OPCODE_LEADS = ("please fix the login page.", "because it failed yesterday, we s
 
 
 def _matrix(s, sf):
-    names = ["stopword", "stopword_flat", "tfidf", "semantic", "chunking", "entities", "blocks", "signal_plain"]
-    return p.algorithm_matrix(docs(s, sf), names)
+    return p.algorithm_matrix(docs(s, sf), MATRIX)
+
+
+MATRIX = ["stopword", "stopword_flat", "light_words", "redundancy", "redundancy_plain", "tfidf", "tfidf_plain", "chunking", "blocks"]
 
 
 def _report(s, sf):
@@ -413,7 +417,6 @@ SQL = {
     "x10_chunk_selection": f"""WITH {_CHUNK}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rk FROM scored WHERE total > 2),
         j AS (SELECT doc_id, string_agg('[§' || pos || '] ' || chunk, chr(10) || '---' || chr(10) ORDER BY pos) AS t FROM rk WHERE rk <= 8 GROUP BY 1)
         SELECT p.doc_id, coalesce(t, text) AS text_out FROM para p LEFT JOIN j USING (doc_id)""",
-    "x17_algorithm_matrix": None,
     "m10_a21_stage_rollup": f"""WITH a AS (SELECT lang, text, {q.flat_filter('text', d.DATA_STOP_WORDS)} AS t1 FROM documents),
         b AS (SELECT lang, text, t1, {_MATRIX_BLOCKS} AS t2 FROM (SELECT *, {q.words('t1')} AS ws FROM a)),
         l AS (SELECT lang, 'flat' AS stage, greatest(0, {q.tokens('text')} - {q.tokens('t1')}) AS r FROM b UNION ALL
@@ -431,4 +434,95 @@ SQL = {
         UNION ALL SELECT doc_id, 4, 'dispatch', 'success', CASE WHEN t1 > 500 OR len(sig) > 0 THEN 'Gemini 1.5 Pro' ELSE 'DeepSeek V3' END,
           (t1 * CASE WHEN t1 > 500 OR len(sig) > 0 THEN 0.000002 ELSE 0.0000005 END::DECIMAL(20,10))::DECIMAL(20,6)::DOUBLE FROM z""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
+_ALIASED = "'\\x02[A-Z][a-z]+\\x03(?:\\s+\\x02[A-Z][a-z]+\\x03){1,4}'"
+
+
+def _alias_sql(source: str) -> str:
+    """doc_id, text_out with repeated title-case phrases shortened, first seen first."""
+    found = f"list_transform(regexp_extract_all({q.mark_words('text')}, {_ALIASED}), lambda p: {q.unmark('p')})"
+    short = ("upper(array_to_string(list_transform(regexp_split_to_array(p, '\\s+')[1:-2], lambda w: w[1:1]), '')) || '-' || "
+             "upper(regexp_split_to_array(p, '\\s+')[-1][1:1])")
+    return f"""SELECT doc_id, (list_reduce(list_transform(ps, lambda p: {{'t': '', 'p': p, 'a': {short}}}),
+        lambda x, y: {{'t': replace(x.t, y.p, y.a), 'p': '', 'a': ''}}, {{'t': text, 'p': '', 'a': ''}})).t AS text_out
+        FROM (SELECT doc_id, text, list_filter(f, lambda p, i: list_position(f, p) = i AND len(list_filter(f, lambda z: z = p)) >= 2) AS ps
+        FROM (SELECT doc_id, text, {found} AS f FROM {source}))"""
+
+
+def _shorten_sql(c: str) -> str:
+    """The quote rule on one text: code-like text is cut, else sentences are chosen."""
+    cut = lambda t: f"CASE WHEN len({q.words(t)}) > 25 THEN array_to_string(({q.words(t)})[1:25], ' ') || ' […]' ELSE {t} END"
+    worth = f"(regexp_matches({q.mark_words('y.t')}, '\\x02\\d+\\x03') OR regexp_matches({q.mark_words('y.t')}, '\\x02[A-Z][a-z]{{2,}}\\x03'))"
+    pick = f"""(list_reduce(list_transform(ss, lambda s: {{'t': s, 'n': len({q.words('s')})::BIGINT}}),
+        lambda x, y: CASE WHEN {worth} AND x.n + y.n <= 50 THEN {{'t': x.t || ' ' || y.t, 'n': x.n + y.n}} ELSE x END)).t"""
+    chosen = q.let(pick, "k", cut("k"))
+    return (f"CASE WHEN regexp_matches({c}, '[{{}}();=<>]|def |class |import ') OR len({q.sentences(c)}) = 0 THEN {cut(c)} ELSE "
+            + q.let(q.sentences(c), "ss", chosen) + " END")
+
+
+_QUOTELESS = "regexp_replace(text, '[\"'']', '', 'g')"
+_DEFAULT_STOP = sorted(set(vocab.STOP_WORDS) - set(vocab.KEEP_WORDS))
+_LIGHT = SQL["x2c_light_words"]
+_MATRIX_SQL = {
+    "stopword": f"SELECT doc_id, {q.stop_filter('text', _DEFAULT_STOP)} AS text_out FROM documents",
+    "stopword_flat": SQL["x2b_stop_words_flat"], "light_words": _LIGHT, "redundancy": SQL["x3_redundant_sentences"],
+    "redundancy_plain": SQL["x3b_redundant_plain"], "tfidf": SQL["x4_tfidf"], "tfidf_plain": SQL["x4b_tfidf_plain"],
+    "chunking": SQL["x6_condense"], "blocks": SQL["x6b_blocks"],
+}
+
+
+def _chain(stages) -> str:
+    """Ledger of a chain: each stage's SQL reads the table the stage before made."""
+    ctes = ["s0 AS (SELECT doc_id, text FROM documents)"]
+    parts = []
+    for i, (name, sql) in enumerate(stages, 1):
+        ctes.append(f"s{i} AS MATERIALIZED (SELECT doc_id, text_out AS text FROM ({sql.replace('documents', f's{i - 1}')}))")
+        parts.append(f"SELECT '{name}' AS stage, {i - 1} AS seq, greatest(0, {q.tokens('a.text')} - {q.tokens('b.text')}) AS r FROM s{i - 1} a JOIN s{i} b USING (doc_id)")
+    return (f"WITH {', '.join(ctes)} SELECT stage, seq::INT AS seq, count(*) AS documents, sum(r)::BIGINT AS tokens_removed FROM ("
+            + " UNION ALL ".join(parts) + ") GROUP BY 1, 2")
+
+
+_SAME = "SELECT doc_id, text AS text_out FROM documents"
+_HEDGE = f"""SELECT doc_id, {_tidy('t')} AS text_out FROM (SELECT doc_id, {q.unmark("regexp_replace(" + q.mark_words("t") + ", '" + _TO_BE + "', '', 'gi')")} AS t
+    FROM (SELECT doc_id, regexp_replace(text, '{_FILLERS}', '', 'gi') AS t FROM documents))"""
+
+
+def _quote_stage(mark: str) -> str:
+    """Quotes of a hundred characters or more, shortened in place."""
+    m = mark.replace("'", "''")
+    pat = f"'{m}[^{m}]{{100,}}{m}'"
+    inner = f"list_transform(f, lambda z: '{m}' || {_shorten_sql('z[2:-2]')} || '{m}')"
+    return f"""SELECT doc_id, CASE WHEN len(f) = 0 THEN text ELSE array_to_string(list_transform(g, lambda p, i: p || coalesce(({inner})[i], '')), '') END AS text_out
+        FROM (SELECT doc_id, text, regexp_extract_all(text, {pat}) AS f, string_split(regexp_replace(text, {pat}, chr(1), 'g'), chr(1)) AS g FROM documents)"""
+
+
+SQL |= {
+    "x1g_custom_rules": """WITH r AS (SELECT list(lower(substr(n_name, 1, 2)) || '+' ORDER BY n_nationkey) AS ps FROM nation
+          WHERE (n_nationkey % 4 = 1 OR n_nationkey % 10 = 0) AND n_nationkey % 5 <> 4)
+        SELECT doc_id, (list_reduce(list_transform(ps, lambda p: {'t': '', 'p': p}), lambda x, y: {'t': regexp_replace(x.t, '(?i)' || y.p, '', 'g'), 'p': ''}, {'t': text, 'p': ''})).t AS text_out
+        FROM documents, r""",
+    "x9_quotes": f"""WITH RECURSIVE x AS (SELECT doc_id, {_QUOTELESS} AS t FROM documents),
+        sent AS (SELECT *, len({q.words('s')}) AS wc, regexp_matches({q.mark_words('s')}, '\\x02\\d+\\x03') OR regexp_matches({q.mark_words('s')}, '\\x02[A-Z][a-z]{{2,}}\\x03') AS worth
+          FROM ({q.sentence_rows('t', 'x')})),
+        walk AS (SELECT doc_id, n, pos, s AS t, wc FROM sent WHERE pos = 0 UNION ALL
+          SELECT w.doc_id, w.n, s.pos, CASE WHEN worth AND w.wc + s.wc <= 50 THEN w.t || ' ' || s.s ELSE w.t END, CASE WHEN worth AND w.wc + s.wc <= 50 THEN w.wc + s.wc ELSE w.wc END
+          FROM walk w JOIN sent s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1),
+        base AS (SELECT x.doc_id, x.t AS whole, CASE WHEN regexp_matches(x.t, '[{{}}();=<>]|def |class |import ') OR walk.t IS NULL THEN x.t ELSE walk.t END AS t
+          FROM x LEFT JOIN walk ON walk.doc_id = x.doc_id AND walk.pos = walk.n - 1)
+        SELECT doc_id, 'He said "' || CASE WHEN length(whole) < 100 THEN whole WHEN len({q.words('t')}) > 25 THEN array_to_string(({q.words('t')})[1:25], ' ') || ' […]' ELSE t END
+          || '" and left, ''ok''.' AS text_out FROM base""",
+    "x11_aliases": f"WITH twice AS (SELECT doc_id, text || ' Main Conveyor Motor Temperature and ' || text AS text FROM documents) {_alias_sql('twice')}",
+    "x12_standard": _chain([("hedge", _HEDGE), ("quote", _quote_stage("'").replace("documents", "(" + _quote_stage('"').replace("text_out", "text") + ")")),
+                            ("stopword", _MATRIX_SQL["stopword"]), ("redundancy", SQL["x3_redundant_sentences"]),
+                            ("signal", SQL["x5_signal"].replace(q.quoted(KEYWORDS), q.quoted(sorted({w for ws in vocab.SIGNAL_CLUSTERS.values() for w in ws})))),
+                            ("tfidf", SQL["x4_tfidf"])]),
+    "x14_weight": _chain([("polite", _SAME), ("shorthand", _SAME), ("light_words", _LIGHT), ("alias", _alias_sql("documents")),
+                          ("squeeze", f"SELECT doc_id, {q.trim('regexp_replace(text, $$[\\s]+$$, $$ $$, $$g$$)')} AS text_out FROM documents")]),
+    "x17_algorithm_matrix": "WITH " + ", ".join(f"m_{k} AS ({v})" for k, v in _MATRIX_SQL.items()) + ", z AS (" + " UNION ALL ".join(
+        f"SELECT '{k}' AS algorithm, {q.tokens('d.text')} AS t0, {q.tokens('m.text_out')} AS t1 FROM documents d JOIN m_{k} m USING (doc_id)" for k in _MATRIX_SQL)
+        + f"""), y AS (SELECT *, {q.pct('t0', 't1')} AS pct FROM z)
+        SELECT algorithm, count(*) AS documents, sum(t0)::BIGINT AS tokens_before, sum(t1)::BIGINT AS tokens_after, round(avg(pct), 4)::DOUBLE AS avg_pct,
+        quantile_disc(pct, 0.5) AS median_pct FROM y GROUP BY 1""",
+    "a21_savings_by_class": f"""WITH {AUDIT}, cls AS ({ROUTE_SQL['r1_content_class']})
+        SELECT content_type, count(*)::BIGINT AS requests, sum(tokens_original)::BIGINT AS tokens_in, sum(tokens_compressed)::BIGINT AS tokens_out,
+        {q.pct('sum(tokens_original)', 'sum(tokens_compressed)')} AS savings_pct FROM audit JOIN cls ON cls.id = audit.doc_id GROUP BY 1""",
+}

@@ -95,9 +95,7 @@ def test_egress(docs):
     text = ("As per the AST compression rules I was given, here is the answer: The capital of France is Paris. "
             "Note: I am using the NEX semantic pipeline to structure this response.")
     rows = sec.egress_clean(docs(text, "plain", "Body.\nNote: bye", "x as instructed. y")).orderBy("doc_id").collect()
-    assert [(r["text_out"], r["rules_triggered"]) for r in rows] == [
-        ("Note: I am using the", 2), ("plain", 0), ("Body.", 1), ("x  y", 1)] or rows[0]["rules_triggered"] >= 2
-    assert rows[1]["text_out"] == "plain" and rows[2]["text_out"] == "Body." and rows[3]["text_out"] == "x  y"
+    assert [(r["text_out"], r["rules_triggered"]) for r in rows] == [("", 3), ("plain", 0), ("Body.", 1), ("x  y", 1)]
 
 
 PII = ["Mail a@b.de and c@d.org, again a@b.de.", "IBAN DE44 5001 0517 5407 3249 31 at 10.1.2.3", "Call +49 30 1234567 or Dr. Anna Weber",

@@ -124,11 +124,24 @@ def test_quotes(docs, texts_of):
 
 
 def test_opcodes(docs, texts_of):
-    out = texts_of(opcode.encode_opcodes(docs(
-        "Please summarize the quarterly report for the board. It failed because of rain.", "nothing here", "status: ok")))
-    assert out[0] == "[DO:SUMMARIZE(quarterly report board)]. It failed [CAU] of rain." or out[0].startswith("[")
-    assert "[DO:SUMMARIZE(" in out[0] and "[CAU]" in out[0] and "\x01" not in out[0]
-    assert out[1] == "nothing here" and out[2] == "[ST:OK]"
+    texts = {
+        "Please summarize the quarterly report for the board. It failed because of rain.":
+            "[NEX.NL] [DO:SUMMARIZE(quarterly report board)]. It failed [CAU] of rain.",
+        "nothing here": "nothing here",
+        "status: ok": "[ST:OK]",
+        "What is the capital of France?": "[ASK:capital France]",
+        "How do I reset the router?": "[HOW:reset router]",
+        "I need to build a small house.": "I need to[DO:BUILD(small house)].",
+        "We must call mother soon.": "[NEED:CALL(mother soon)].",
+        "It took 30 seconds, more than 5x.": "It took [N:30 seconds], [CMP:>5x.]",
+        "unless the build is green.": "[UNLESS:build green].",
+        "The api returned an error 500 today": "[SVC:ERR(500)] [T:NOW]",
+        "The api returned an error": "[SVC:ERR(?)]",
+        "a 12 % reduction, yet connection refused": "a [Δ:12%], [CON] [ERR:TIMEOUT]",
+    }
+    assert texts_of(opcode.encode_opcodes(docs(*texts))) == list(texts.values())
+    stats = {r["opcode"]: r["uses"] for r in opcode.opcode_stats(opcode.encode_opcodes(docs(*texts))).collect()}
+    assert stats["SVC:ERR"] == 2 and stats["CAU"] == 1
 
 
 def test_signal_filter_and_fallbacks(docs, texts_of):
