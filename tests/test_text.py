@@ -132,12 +132,12 @@ def test_opcodes(docs, texts_of):
         "What is the capital of France?": "[ASK:capital France]",
         "How do I reset the router?": "[HOW:reset router]",
         "I need to build a small house.": "I need to[DO:BUILD(small house)].",
-        "We must call mother soon.": "[NEED:CALL(mother soon)].",
+        "We must call mother.": "[NEED:CALL(mother)].",
         "It took 30 seconds, more than 5x.": "It took [N:30 seconds], [CMP:>5x.]",
-        "unless the build is green.": "[UNLESS:build green].",
-        "The api returned an error 500 today": "[SVC:ERR(500)] [T:NOW]",
-        "The api returned an error": "[SVC:ERR(?)]",
-        "a 12 % reduction, yet connection refused": "a [Δ:12%], [CON] [ERR:TIMEOUT]",
+        "unless the door is shut.": "[UNLESS:door shut].",
+        "The api returned an error 500 today": "[NEX.NL] [SVC:ERR(500)] [T:NOW]",
+        "The api returned an error": "[NEX.NL] [SVC:ERR(?)]",
+        "a 12 % reduction, yet connection refused": "[NEX.NL] a [Δ:12%], [CON] [ERR:TIMEOUT]",
     }
     assert texts_of(opcode.encode_opcodes(docs(*texts))) == list(texts.values())
     stats = {r["opcode"]: r["uses"] for r in opcode.opcode_stats(opcode.encode_opcodes(docs(*texts))).collect()}
