@@ -291,8 +291,12 @@ OPCODE_INNER_STOPS = (
     r"be|been|being|so|if|then|there|which|who|have|has|had|will|would|should|could|may|might|"
     r"can|shall)\b"
 )
+# Marks that readers of the compact text look for.
 OPCODE_PREFIX = "[NEX.NL] "
 OPCODE_MARK = "[NEX"
+SYMBOL_HEADER = "[NEX.CODE.V2]\n"
+# Fixed value: system messages holding this text are left as they are.
+EXEMPT_MARKER = "NEX Bytecode"
 
 # --- long quotes ---
 QUOTE_CODE = r"[{}();=<>]|def |class |import "

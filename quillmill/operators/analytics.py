@@ -118,7 +118,7 @@ def kpis(audit: DataFrame, days: int = 7, as_of=None) -> DataFrame:
         "organization_id", "total_requests", "tokens_original", "tokens_compressed",
         F.when((t0 > 0) & (saved != 0), F.round(saved / (saved + t0 * 0.00001) * 100, 1)).otherwise(0.0)
         .alias("financial_efficiency_pct"),
-        F.when(saved > 0, F.round(saved / 0.001, 2)).otherwise(0.0).alias("roi_multiplier"),
+        F.when(saved > 0, F.round(F.col("cost_saved") * 1000, 2).cast("double")).otherwise(0.0).alias("roi_multiplier"),
         savings_pct("tokens_original", "tokens_compressed").alias("compression_ratio"),
         F.round(F.col("hit") * 100, 1).alias("cache_hit_rate"),
         F.coalesce("avg_latency_window", F.lit(0).cast("long")).alias("avg_latency"))

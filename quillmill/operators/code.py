@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions import vocab
 from quillmill.functions.rows import unroll, unroll_fields
 from quillmill.functions.text import let, lines, rstrip, strip, unicode
 
@@ -280,7 +281,7 @@ TRANSPILE = (
 
 def symbol_text(c: Column) -> Column:
     """Compact text form by pattern; the first line names the format."""
-    return strip(_chain(F.concat(F.lit("[NEX.CODE.V2]\n"), c), TRANSPILE))
+    return strip(_chain(F.concat(F.lit(vocab.SYMBOL_HEADER), c), TRANSPILE))
 
 
 def strip_trailing_comments(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.rows import unroll, unroll_fields
+from quillmill.functions.text import let
 
 # Detection patterns in order of precedence.  They use no look-around, so each
 # can stand alone or in the alternation below.
@@ -61,15 +62,16 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", switches=None
             .select(key, F.col("e.entity_type").alias("entity_type"), F.col("e.value").alias("value"), "pos"))
 
 
-def _numbered(found: str, patterns: dict[str, str]) -> Column:
+def _numbered(found: Column, patterns: dict[str, str]) -> Column:
     """Distinct values with placeholders numbered per type in order of appearance."""
-    def of_type(kind: str) -> Column:
-        values = F.filter(F.array_distinct(found), lambda e: e["entity_type"] == kind)
+    def of_type(distinct: Column, kind: str) -> Column:
+        values = F.filter(distinct, lambda e: e["entity_type"] == kind)
         return F.transform(values, lambda e, i: F.struct(
             F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
             e["value"].alias("original_value"), F.lit(kind).alias("entity_type")))
 
-    return F.concat(*[of_type(k) for k in patterns])
+    # Bound once: a filter on the mapping may be pushed down, and would repeat the search per type.
+    return let(F.array_distinct(found), lambda d: F.concat(*[of_type(d, k) for k in patterns]))
 
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "clean_content", switches=None,
@@ -83,11 +85,10 @@ def mask(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "cle
     by_length = F.array_sort(F.transform("mapping", lambda m: F.struct(
         (-F.length(m["original_value"])).alias("neg"), m["original_value"].alias("v"), m["placeholder"].alias("p"))))
     masked = F.aggregate("longest", F.col(text), lambda t, m: F.replace(t, m["v"], m["p"]))
-    return (df.withColumn("found", entities(F.col(text), patterns))
-            .withColumn("mapping", _numbered("found", patterns))
+    return (df.withColumn("mapping", _numbered(entities(F.col(text), patterns), patterns))
             .withColumn("longest", by_length)
             .withColumn(out, F.when(F.size("longest") > 0, masked).otherwise(F.col(text)))
-            .drop("found", "longest"))
+            .drop("longest"))
 
 
 def key_mapping(masked: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -256,7 +256,7 @@ SQL = {
     "m1_token_variants": f"""SELECT page_id, {q.tokens('html')}::INT AS tokens,
         (CASE WHEN length(r) > 0 THEN {q.tokens('r')} ELSE 0 END)::INT AS tokens_rest FROM
         (SELECT *, regexp_replace(html, '[^%]', '', 'g') AS r FROM pages)""",
-    "m3_ratio": f"""WITH {AUDIT} SELECT id, round(1 - tokens_compressed / tokens_original, 4)::DOUBLE AS ratio FROM audit""",
+    "m3_ratio": f"""WITH {AUDIT} SELECT id, (((tokens_original - tokens_compressed)::BIGINT * 20000 + tokens_original) // (2 * tokens_original) / 10000.0)::DOUBLE AS ratio FROM audit""",
     "m5_simulated_cost": f"""WITH {AUDIT} SELECT id, (tokens_original * CASE WHEN tokens_original > 500 THEN 0.000002
         ELSE 0.0000005 END::DECIMAL(20,10))::DOUBLE AS cost FROM audit""",
     "m7_payload_profile": f"""SELECT conv_id, turn, {q.tokens('text')}::INT AS tokens, length(text)::INT AS chars,
@@ -285,11 +285,11 @@ SQL = {
     "a7_latency": f"""WITH {AUDIT} SELECT organization_id, round(avg(latency_ms), 4)::DOUBLE AS avg_latency,
         round(avg(latency_ms) FILTER ({_since(7)}), 0)::BIGINT AS avg_latency_window FROM audit GROUP BY 1""",
     "a8_kpis": f"""WITH {AUDIT}, x AS (SELECT organization_id, count(*) AS total_requests, sum(tokens_original)::BIGINT AS t0,
-        sum(tokens_compressed)::BIGINT AS t1, sum(cost_saved)::DOUBLE AS saved, avg(cache_hit::INT) AS hit,
+        sum(tokens_compressed)::BIGINT AS t1, sum(cost_saved)::DOUBLE AS saved, sum(cost_saved) AS saved_exact, avg(cache_hit::INT) AS hit,
         round(avg(latency_ms) FILTER ({_since(7)}), 0)::BIGINT AS lat FROM audit GROUP BY 1)
         SELECT organization_id, total_requests, t0 AS tokens_original, t1 AS tokens_compressed,
         (CASE WHEN t0 > 0 AND saved <> 0 THEN round(saved / (saved + t0 * 0.00001::DOUBLE) * 100, 1) ELSE 0 END)::DOUBLE AS financial_efficiency_pct,
-        (CASE WHEN saved > 0 THEN round(saved / 0.001::DOUBLE, 2) ELSE 0 END)::DOUBLE AS roi_multiplier,
+        (CASE WHEN saved > 0 THEN round(saved_exact * 1000, 2) ELSE 0 END)::DOUBLE AS roi_multiplier,
         {q.pct('t0', 't1')} AS compression_ratio, round(hit * 100, 1)::DOUBLE AS cache_hit_rate,
         coalesce(lat, 0) AS avg_latency FROM x""",
     "a9_filtered_log": f"""WITH {AUDIT} SELECT id, organization_id, source, status FROM audit

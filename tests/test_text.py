@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import metrics as m
+from quillmill.functions import vocab
 from quillmill.functions.text import sentences, words
 from quillmill.operators import dedup, opcode, quotes, ranking, rules, wordfilter
 from quillmill.plans import pipelines as p
@@ -186,7 +187,7 @@ def test_content_dispatch(docs):
 
 
 def test_message_arrays(spark):
-    marked = "Use NEX Bytecode please"
+    marked = f"Use {vocab.EXEMPT_MARKER} please"
     df = spark.createDataFrame([(1, [("system", marked), ("user", "please explain in order to win"), ("user", "")])],
                                "request_id long, messages array<struct<role:string,content:string>>")
     r = p.compress_messages(df).collect()[0]
