@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,5 +46,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder."""
+    """A path below the shared checkpoint folder; the same name finds the same place after a restart."""
     return os.path.join(checkpoint_root(spark), name)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared checkpoint folder that no other run uses."""
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import metrics as m
 from quillmill.operators import analytics as a
 from quillmill.operators import wordfilter
-from quillmill.session import checkpoint_path
+from quillmill.session import fresh_path
 from quillmill.sources import derived as d
 from quillmill.sources import readers, writers
 from quillmill.sources.readers import documents, table
@@ -107,7 +107,7 @@ def stopword_savings(s, sf):
 
 def _roundtrip(s, sf):
     """Write audit rows, then scan one organization and a week back with partition pruning."""
-    path = checkpoint_path(s, "audit-sink")
+    path = fresh_path(s, "audit-sink")
     rows = d.audit(s, sf)
     writers.write_audit(rows, path, mode="overwrite")
     import datetime as dt
@@ -118,7 +118,7 @@ def _roundtrip(s, sf):
 
 def _requests_json(s, sf):
     """Requests written as JSON lines, half of them without the optional fields, then read back."""
-    path = checkpoint_path(s, "requests-json")
+    path = fresh_path(s, "requests-json")
     req = d.requests(s, sf).select("request_id", F.lit("m").alias("model"), "messages",
                                    F.when(F.col("request_id") % 2 == 0, 0.3).alias("temperature"),
                                    F.when(F.col("request_id") % 3 == 0, True).alias("stream"))
@@ -129,7 +129,7 @@ def _requests_json(s, sf):
 
 
 def _documents_json(s, sf):
-    path = checkpoint_path(s, "documents-json")
+    path = fresh_path(s, "documents-json")
     table(s, sf, "documents").select("doc_id", "text").write.mode("overwrite").json(path)
     return readers.read_documents(s, path, "json").select("doc_id", *m.payload_profile("text"))
 
@@ -143,7 +143,7 @@ def _turns(s, sf):
 
 
 def _export(s, sf):
-    path = checkpoint_path(s, "report")
+    path = fresh_path(s, "report")
     writers.export_report(s, d.audit(s, sf), 30, path, "parquet")
     return s.read.parquet(f"{path}/provider").select("item", "requests", "tokens_billed", F.col("cost").cast("double"))
 
