@@ -30,6 +30,7 @@ def compact_whitespace(c: Column) -> Column:
     return F.regexp_replace(one_blank, r"(?<!\n)(?<!^)  +", " ")
 
 
+# Import lines.
 FROM_IMPORT = r"^from\s+([\w.]+)\s+import\s+(.+)$"
 PLAIN_IMPORT = r"^import\s+(.+)$"
 
@@ -90,7 +91,7 @@ def unfence(c: Column) -> Column:
     return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1))).otherwise(c)
 
 
-# Markup comments go before the -- rule, which would cut them to "<!".
+# Fixed values.  Markup comments go before the -- rule, which would cut them to "<!".
 COMMENTS = (
     (r"^#!.*\n?", ""),
     (r"<!--[\s\S]*?-->", ""),
@@ -184,6 +185,7 @@ def drop_unreachable_plain(df: DataFrame, text: str = "text", out: str = "text_o
     return df.withColumn("ls", lines(F.col(text))).withColumn(out, strip(tidy)).drop("ls")
 
 
+# Where a block starts.
 BLOCK_START = r"(?m)(?=^(?:async\s+)?def\s+\w+|^class\s+\w+)"
 BLOCK = r"^((?:async\s+)?def\s+\w+|class\s+\w+)"
 # Words that keep their meaning when names are normalised (fixed values).
@@ -237,6 +239,7 @@ def clone_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             .select("digest", "copies", "files", F.col(f"f.{key}").alias("first_file"), F.col("f.pos").alias("first_pos")))
 
 
+# Rewrites of temp-then-return, return-bool and else-after-return forms.
 FLOW_RULES = (
     (r"(?m)(\s+)(\w+)\s*=\s*(.+)\n\1return\s+\2\b", "$1return $3"),
     (r"(?m)(\s+)(\w+)\s*=\s*(.+)\n\1yield\s+\2\b", "$1yield $3"),
@@ -270,6 +273,7 @@ def symbol_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return unroll_fields(df, [key], F.concat(*[found(k, p) for k, p in SYMBOLS.items()]))
 
 
+# The pattern form of the symbol text.
 TRANSPILE = (
     (r"function\s+(\w+)\s*\(([^)]*)\)\s*\{", "[FN:$1($2)]"),
     (r"class\s+(\w+)", "[CLS:$1]"),

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.rows import unroll
 from quillmill.functions.skew import spread_join
-from quillmill.functions.text import WORD, pairs, plain_sentences, sentences, terms
+from quillmill.functions.text import WORD, let, pairs, plain_sentences, sentences, terms
 from quillmill.operators.ranking import carried, explode_sentences
 from quillmill.operators.rules import PARAPHRASE, rewrite
 
 # Similarity above which a sentence is redundant.
 REDUNDANT = 0.55
 REDUNDANT_PLAIN = 0.7
+# A prefix feature held by more sentences than this gets no lists of earlier holders.
+HEAVY = 256
 
 
 def _none() -> Column:
@@ -38,12 +40,17 @@ def _distinct_sentences(feats: DataFrame) -> DataFrame:
     return first.withColumn("idx", F.row_number().over(W.partitionBy("_k").orderBy(empty, "pos")) - 1)
 
 
-def _back_edges(first: DataFrame, threshold: float) -> DataFrame:
+def _back_edges(first: DataFrame, threshold: float, heavy: int) -> DataFrame:
     """Per sentence: feature ids by kind and the earlier sentences that may be similar.
 
     Two sets can only pass the threshold when they share a feature among the
     first |x| - ceil(t|x|) + 1, rarest first.  Earlier holders of such a
     feature come from a running window, so no pair becomes a row.
+
+    In templated text even the rarest features are common, and lists of earlier
+    holders would grow with the square of the document.  Such features make
+    their sentences ``heavy`` instead; the greedy pass compares those with the
+    kept heavy ones, which are few because templated sentences fall early.
     """
     tagged = F.concat(
         F.transform("w", lambda f: F.struct(F.lit("w").alias("kind"), f.alias("f"))),
@@ -58,11 +65,15 @@ def _back_edges(first: DataFrame, threshold: float) -> DataFrame:
     prefix = (ids.select("*", F.posexplode_outer(F.slice("ids", F.lit(1), head)).alias("ppos", "fid"))
               .withColumn("doc", carried("ppos"))
               .withColumn("ids", F.when(F.col("ppos") == 0, F.col("ids"))))
-    before = W.partitionBy("_k", "kind", "fid").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    return (prefix.withColumn("earlier", F.collect_list("idx").over(before)).groupBy("_k", "idx", "pos")
+    holders = W.partitionBy("_k", "kind", "fid")
+    before = holders.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    marked = (prefix.withColumn("heavy", F.count("*").over(holders) > heavy)
+              .withColumn("earlier", F.collect_list(F.when(~F.col("heavy"), F.col("idx"))).over(before)))
+    return (marked.groupBy("_k", "idx", "pos")
             .agg(F.first(F.when(F.col("kind") == "w", F.col("ids")), ignorenulls=True).alias("w"),
                  F.first(F.when(F.col("kind") == "b", F.col("ids")), ignorenulls=True).alias("b"),
                  F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("back"),
+                 F.max("heavy").alias("heavy"),
                  F.first("doc", ignorenulls=True).alias("doc")))
 
 
@@ -71,7 +82,7 @@ def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
 
     One row per document: doc and kept (positions).
     """
-    row = F.struct("idx", "pos", "w", "b", "back")
+    row = F.struct("idx", "pos", "w", "b", "back", "heavy")
     docs = edges.groupBy("_k").agg(
         F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), row))).alias("rows"),
         F.first("doc", ignorenulls=True).alias("doc"))
@@ -80,17 +91,22 @@ def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
         by_pair = F.when(r["b"].isNotNull() & q["b"].isNotNull(), _jaccard(r["b"], q["b"])).otherwise(0.0)
         return (_jaccard(r["w"], q["w"]) > threshold) | (by_pair > threshold)
 
+    start = F.struct(F.array().cast("array<boolean>").alias("ok"), F.array().cast("array<int>").alias("heavy"))
+
     def step(acc: Column, r: Column) -> Column:
-        fallen = F.exists(r["back"], lambda p: F.get(acc, p) & similar(r, F.get("rows", p)))
-        return F.array_append(acc, ~fallen)
+        near = F.exists(r["back"], lambda p: F.get(acc["ok"], p) & similar(r, F.get("rows", p)))
+        common = r["heavy"] & F.exists(acc["heavy"], lambda p: similar(r, F.get("rows", p)))
+        return let(near | common, lambda fallen: F.struct(
+            F.array_append(acc["ok"], ~fallen).alias("ok"),
+            F.when(r["heavy"] & ~fallen, F.array_append(acc["heavy"], r["idx"])).otherwise(acc["heavy"]).alias("heavy")))
 
-    flags = F.aggregate("rows", F.array().cast("array<boolean>"), step)
+    flags = F.aggregate("rows", start, step, lambda acc: acc["ok"])
     marked = F.zip_with("rows", flags, lambda r, f: F.struct(r["pos"].alias("pos"), f.alias("ok")))
     return docs.select("_k", "doc", F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["pos"]).alias("kept"))
 
 
 def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-                   threshold: float = REDUNDANT) -> DataFrame:
+                   threshold: float = REDUNDANT, heavy: int = HEAVY) -> DataFrame:
     """Drop sentences too similar, by words or by word pairs, to a kept earlier one.
 
     Paraphrase markers go first; up to two sentences stay untouched; sentences
@@ -102,19 +118,19 @@ def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out:
     tokens = rows.withColumn("t", F.when(F.col("n") > 2, terms(F.col("s"), 3)).otherwise(_none()))
     feats = tokens.select("_k", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
                           F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b"))
-    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold), threshold)
+    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     chosen = F.array_join(F.transform("kept", lambda i: F.get("doc.ss", i)), " ")
     return kept.select("doc.*", F.when(F.size("doc.ss") <= 2, F.col("doc._s")).otherwise(chosen).alias(out)).drop(
         "ss", "_s")
 
 
 def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-                         threshold: float = REDUNDANT_PLAIN) -> DataFrame:
+                         threshold: float = REDUNDANT_PLAIN, heavy: int = HEAVY) -> DataFrame:
     """Variant: words of any length only; sentences without words are kept."""
     rows = explode_sentences(df, key, plain_sentences(F.col(text)))
     feats = rows.select("_k", "doc", "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"),
                         _none().alias("b"))
-    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold), threshold)
+    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     wordless = F.filter(F.transform("doc.ss", lambda s, i: F.when(F.size(terms(s)) == 0, i)), lambda i: i.isNotNull())
     stays = F.transform(F.array_sort(F.concat("kept", wordless)), lambda i: F.get("doc.ss", i))
     return kept.select("doc.*", F.array_join(stays, " ").alias(out)).drop("ss")

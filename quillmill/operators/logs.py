@@ -124,6 +124,7 @@ def error_templates(rows: DataFrame, line: str = "line", most: int = 20) -> Data
             .orderBy(F.desc("hits"), "tpl").limit(most))
 
 
+# Exception line and stack frame.
 EXCEPTION = r"(?m)^(\w+(?:Error|Exception|Warning|Fault)[^:\n]*):?[ \t]*(.*?)$"
 FRAME = r'File "([^"]+)", line (\d+), in (\w+)'
 

@@ -97,12 +97,11 @@ def flatten_params(df: DataFrame, key: str = "call_id", raw: str = "params_json"
         leaves = flat if leaves is None else leaves.unionByName(flat)
         if last:
             break
-        inner = level.filter(nested)
-        inner.createOrReplaceTempView("_quillmill_level")
-        part = df.sparkSession.sql(
-            f"SELECT {key}, path || CASE WHEN t.key IS NULL THEN '[' || t.pos || ']' ELSE '.' || t.key END AS path, "
-            "t.value AS v FROM _quillmill_level, LATERAL variant_explode(v) AS t")
-        level = part
+        parts = level.filter(nested).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
+            "pos", F.col("key").alias("_name"), "value"))
+        step = F.when(F.col("_name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
+            F.concat(F.lit("."), F.col("_name")))
+        level = parts.select(key, F.concat("path", step).alias("path"), F.col("value").alias("v"))
     return leaves.withColumn("value", clean_value(F.col("value")))
 
 

@@ -84,6 +84,13 @@ def test_copied_sentences_do_not_pair_up(docs, texts_of):
     assert out.count("The same line") == 1 and "thing199" in out
 
 
+def test_templated_document(docs, texts_of):
+    """Every sentence shares most words, so any list of earlier holders would be quadratic."""
+    text = " ".join(f"Line number says thing{i} and word{i} here today again." for i in range(6000))
+    out = texts_of(dedup.drop_redundant(docs(text)))[0]
+    assert out == "Line number says thing0 and word0 here today again."
+
+
 def test_near_copies_with_a_hot_bucket(spark):
     """A third of the documents are near copies of one another; each gets an original."""
     base = [f"token{i}" for i in range(80)]
