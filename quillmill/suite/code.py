@@ -188,3 +188,28 @@ SQL = {
         SELECT algorithm, count(*) AS documents, sum(t0)::BIGINT AS tokens_before, sum(t1)::BIGINT AS tokens_after, round(avg(pct), 4)::DOUBLE AS avg_pct,
         quantile_disc(pct, 0.5) AS median_pct FROM z GROUP BY 1""",
 }
+
+_HEAD = f"'from ' || b || ' import ' || c || {_N} || 'import ' || a || {_N}"
+_BODY = f"'def ' || a || '(' || b || '):   ' || {_N} || '    url = ''http:' || {_N} || '    value = ' || b || {_N} || '    return value' || {_N}"
+_DEAD = f"'        ' || c || '()' || {_N} || '    pass' || {_N}"
+_NEXT = ("CASE WHEN lead(a) OVER w IS NULL THEN '' ELSE 'from ' || lead(b) OVER w || ' import ' || lead(c) OVER w || " + _N
+         + " || 'import ' || lead(a) OVER w || " + _N + " END")
+_MERGED = ("list_transform(list_sort(list_distinct(list_transform(fl, lambda x: split_part(x, ' ', 2)))), lambda m: 'from ' || m || ' import ' || "
+           + q.let("array_to_string(list_sort(list_distinct(list_transform(list_filter(fl, lambda x: split_part(x, ' ', 2) = m), lambda x: split_part(x, ' ', 4)))), ', ')",
+                   "j", "CASE WHEN length(j) > 60 THEN '(' || j || ')' ELSE j END") + ")")
+_STEPS = ("comments", "unreachable", "duplicates", "flow", "imports", "whitespace")
+# The text after each stage of the code chain, built from the words each source was made of.
+SQL["c13_code_pipeline"] = f"""WITH {CODE},
+  b0 AS (SELECT *, [a, b, lead(b) OVER w, lead(c) OVER w, lead(a) OVER w] AS names, {_BODY} || {_NEXT} AS block, lead(a) OVER w IS NULL AS is_last,
+         row_number() OVER w AS at FROM part WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  b1 AS (SELECT *, list_transform(names, lambda n: CASE WHEN n IS NULL THEN '-' WHEN n IN {_KW} THEN n ELSE '_' END) AS shape FROM b0),
+  b2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, shape ORDER BY pos) AS rn FROM b1),
+  t AS (SELECT doc_id, count(*) AS n, {q.trim(f"string_agg({_HEAD} || {_BODY} || {_DEAD}, '' ORDER BY pos)")} AS t1, {q.trim(f"string_agg({_HEAD} || {_BODY}, '' ORDER BY pos)")} AS t2,
+        arg_min({_HEAD}, pos) || string_agg(CASE WHEN is_last THEN rtrim(block, {_N}) ELSE block END, {_N} ORDER BY pos) FILTER (rn = 1) AS t3 FROM b2 GROUP BY 1),
+  u AS (SELECT code.doc_id, text AS t0, coalesce(t1, '') AS t1, coalesce(t2, '') AS t2, CASE WHEN coalesce(n, 0) < 2 THEN coalesce(t2, '') ELSE t3 END AS t3 FROM code LEFT JOIN t USING (doc_id)),
+  v AS (SELECT *, regexp_replace(t3, '    value = ([a-z]+)\\n    return value', '    return \\1', 'g') AS t4 FROM u),
+  l AS (SELECT *, list_filter(string_split(t4, {_N}), lambda x: starts_with(x, 'from ')) AS fl, list_filter(string_split(t4, {_N}), lambda x: starts_with(x, 'import ')) AS pl,
+        list_filter(string_split(t4, {_N}), lambda x: NOT starts_with(x, 'from ') AND NOT starts_with(x, 'import ')) AS rest FROM v),
+  y AS (SELECT *, {q.trim(f"array_to_string(list_concat(list_sort(list_distinct(pl)), {_MERGED}, [''], rest), {_N})")} AS t5 FROM l),
+  z AS (SELECT *, {_MATRIX["whitespace"].replace("text", "t5")} AS t6 FROM y)
+  {" UNION ALL ".join(f"SELECT '{s}' AS stage, count(*) AS documents, sum(greatest(0, {q.tokens(f't{i}')} - {q.tokens(f't{i + 1}')}))::BIGINT AS tokens_removed FROM z" for i, s in enumerate(_STEPS))}"""
