@@ -416,7 +416,6 @@ KEY_PREFIX = "fk-"
 CACHE_SIMILARITY = 0.85
 CACHE_REGEN_WEIGHT = 0.001
 CACHE_MISMATCH_WEIGHT = 10.0
-CACHE_CANDIDATES = 100
 EMBEDDING_BUCKETS = 128
 
 # --- logs ---

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.rows import unroll
 from quillmill.functions.skew import spread_join
 from quillmill.functions.text import WORD, let, pairs, plain_sentences, sentences, terms
-from quillmill.operators.ranking import carried, explode_sentences
+from quillmill.operators.ranking import carried, explode_sentences, unpacked
 from quillmill.operators.rules import PARAPHRASE, rewrite
 
 # Similarity above which a sentence is redundant.
@@ -106,22 +106,21 @@ def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-                   threshold: float = REDUNDANT, heavy: int = HEAVY) -> DataFrame:
+                   threshold: float = REDUNDANT, heavy: int = HEAVY, spread: bool = True) -> DataFrame:
     """Drop sentences too similar, by words or by word pairs, to a kept earlier one.
 
     Paraphrase markers go first; up to two sentences stay untouched; sentences
     without a word of three characters are dropped.  One shuffle in all.
     """
     staged = df.withColumn("_s", rewrite(F.col(text), PARAPHRASE))
-    rows = explode_sentences(staged, key, sentences(F.col("_s")))
+    rows = explode_sentences(staged, key, sentences(F.col("_s")), spread=spread)
     # Short documents take part without features.
     tokens = rows.withColumn("t", F.when(F.col("n") > 2, terms(F.col("s"), 3)).otherwise(_none()))
     feats = tokens.select("_k", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
                           F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b"))
     kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     chosen = F.array_join(F.transform("kept", lambda i: F.get("doc.ss", i)), " ")
-    return kept.select("doc.*", F.when(F.size("doc.ss") <= 2, F.col("doc._s")).otherwise(chosen).alias(out)).drop(
-        "ss", "_s")
+    return unpacked(kept, key, F.when(F.size("doc.ss") <= 2, F.col("doc._s")).otherwise(chosen).alias(out)).drop("_s")
 
 
 def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
@@ -133,7 +132,7 @@ def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text",
     kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     wordless = F.filter(F.transform("doc.ss", lambda s, i: F.when(F.size(terms(s)) == 0, i)), lambda i: i.isNotNull())
     stays = F.transform(F.array_sort(F.concat("kept", wordless)), lambda i: F.get("doc.ss", i))
-    return kept.select("doc.*", F.array_join(stays, " ").alias(out)).drop("ss")
+    return unpacked(kept, key, F.array_join(stays, " ").alias(out))
 
 
 def first_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

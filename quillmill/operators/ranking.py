@@ -20,13 +20,15 @@ def carried(position: str) -> Column:
     return F.when(F.col(position).isNull() | (F.col(position) == 0), F.col("doc")).alias("doc")
 
 
-def explode_sentences(df: DataFrame, key: str, ss: Column, *extra: Column) -> DataFrame:
+def explode_sentences(df: DataFrame, key: str, ss: Column, *extra: Column, spread: bool = True) -> DataFrame:
     """One shuffle by document, then one row per sentence: key, doc, n, pos, s.
 
     ``doc`` keeps all columns and the sentence array, so the texts are rebuilt
     without joining the source again: the plan reads and moves each text once.
+    A job that follows another one in a chain finds its input spread already
+    and passes ``spread=False``.
     """
-    base = by_document(df, key).withColumn("ss", ss)
+    base = (by_document(df, key) if spread else df).withColumn("ss", ss)
     doc = F.struct(*[F.col(c) for c in df.columns], F.col("ss"))
     return (base.select(F.col(key).alias("_k"), doc.alias("doc"), F.size("ss").alias("n"), *extra,
                         F.posexplode_outer("ss").alias("pos", "s"))
@@ -54,15 +56,22 @@ def sum_by_sentence(word_rows: DataFrame, weight: Column, *carry: str) -> DataFr
         weighted.alias("raw"), F.count("word").alias("words"), F.first("doc", ignorenulls=True).alias("doc"))
 
 
-def rebuild(scored: DataFrame, order: list[Column], keep: Column, applies: Column, text: str, out: str) -> DataFrame:
+def unpacked(docs: DataFrame, key: str, *more: Column) -> DataFrame:
+    """The document's columns again.  The key comes from the grouping, so its partitioning stays known."""
+    rest = [n for n in docs.schema["doc"].dataType.names if n not in (key, "ss")]
+    return docs.select(F.col("_k").alias(key), *[F.col("doc")[n].alias(n) for n in rest], *more)
+
+
+def rebuild(scored: DataFrame, order: list[Column], keep: Column, applies: Column, key: str, text: str,
+            out: str) -> DataFrame:
     """Keep the best ``keep`` sentences of each document in their own order."""
     rank = F.row_number().over(W.partitionBy("_k").orderBy(*order))
     picked = F.collect_list(F.when((F.col("rk") <= keep) & applies, F.col("pos")))
     docs = scored.withColumn("rk", rank).groupBy("_k").agg(
         F.array_sort(picked).alias("kept"), F.first("doc", ignorenulls=True).alias("doc"))
     chosen = F.transform("kept", lambda i: F.get("doc.ss", i))
-    return docs.select("doc.*", F.when(F.size("kept") > 0, F.array_join(chosen, " "))
-                       .otherwise(F.col(f"doc.{text}")).alias(out)).drop("ss")
+    return unpacked(docs, key, F.when(F.size("kept") > 0, F.array_join(chosen, " "))
+                    .otherwise(F.col("doc")[text]).alias(out))
 
 
 def sentence_features(rows: DataFrame) -> DataFrame:
@@ -75,9 +84,9 @@ def sentence_features(rows: DataFrame) -> DataFrame:
     })
 
 
-def tfidf_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tfidf_scores(df: DataFrame, key: str = "doc_id", text: str = "text", spread: bool = True) -> DataFrame:
     """Scored sentences.  Summing idf over occurrences is the sum of tf * idf over words."""
-    rows = sentence_features(explode_sentences(df, key, sentences(F.col(text))))
+    rows = sentence_features(explode_sentences(df, key, sentences(F.col(text)), spread=spread))
     found = with_sentence_frequency(explode_words(rows, terms(F.col("s"), 4), "wc", "boost"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
     return sum_by_sentence(found, idf, "wc", "boost").withColumn(
@@ -85,12 +94,12 @@ def tfidf_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def rank_tfidf(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-               keep: float = 0.35) -> DataFrame:
+               keep: float = 0.35, spread: bool = True) -> DataFrame:
     """Keep the best share of sentences; the first and last always stay."""
     forced = ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).cast("int")
     quota = F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(keep)))
-    return rebuild(tfidf_scores(df, key, text), [forced.desc(), F.desc("score"), F.desc("pos")], quota,
-                   F.col("n") > 2, text, out)
+    return rebuild(tfidf_scores(df, key, text, spread), [forced.desc(), F.desc("score"), F.desc("pos")], quota,
+                   F.col("n") > 2, key, text, out)
 
 
 def rank_tfidf_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
@@ -104,7 +113,7 @@ def rank_tfidf_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out
     scored = sum_by_sentence(found.withColumn("tf", tf), weight).withColumn(
         "score", F.round(F.col("raw") / F.greatest(F.lit(1), F.col("words")), DIGITS))
     quota = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(keep)))
-    return rebuild(scored, [F.desc("score"), F.desc("pos")], quota, F.col("n") > 2, text, out)
+    return rebuild(scored, [F.desc("score"), F.desc("pos")], quota, F.col("n") > 2, key, text, out)
 
 
 def corpus_idf(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4) -> DataFrame:
@@ -203,11 +212,11 @@ NUMBERED = r"(?m)^\s*\d+[.)\s]\s+"
 
 
 def condense(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-             least_words: int = 60, words_each: int = 50) -> DataFrame:
+             least_words: int = 60, words_each: int = 50, spread: bool = True) -> DataFrame:
     """About one sentence per fifty words, by word frequency in the document."""
     flat = F.regexp_replace(F.regexp_replace(F.col(text), BULLET, "\n"), NUMBERED, "\n")
     staged = df.withColumn("_flat", flat).withColumn("_wc", F.size(words(F.col("_flat"))))
-    rows = explode_sentences(staged, key, sentences(F.col("_flat")), F.col("_wc"))
+    rows = explode_sentences(staged, key, sentences(F.col("_flat")), F.col("_wc"), spread=spread)
     found = explode_words(rows, terms(F.col("s"), 4), "_wc").withColumn(
         "f", F.count("word").over(W.partitionBy("_k", "word")))
     weight = F.col("f") / F.col("n") * F.log(F.col("n") / F.col("f"))
@@ -216,7 +225,7 @@ def condense(df: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     target = F.least(F.greatest(F.lit(2), F.floor(F.col("_wc") / words_each)), F.col("n") - 1)
     order = [(F.col("pos") == 0).cast("int").desc(), F.desc("score"), F.asc("pos")]
     applies = (F.col("_wc") >= least_words) & (F.col("n") > 2)
-    return rebuild(scored, order, target, applies, text, out).drop("_flat", "_wc")
+    return rebuild(scored, order, target, applies, key, text, out).drop("_flat", "_wc")
 
 
 def condense_blocks(df: DataFrame, text: str = "text", out: str = "text_out", block: int = 100,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.rows import unroll, unroll_fields
-from quillmill.functions.text import lines, pairs, sentences, terms
+from quillmill.functions.text import pairs, sentences, terms
 
 
 def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -25,20 +25,6 @@ def sentence_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return unroll(cut, [key, F.size("ss").alias("n")], "ss", "sentence", "pos")
 
 
-def line_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line: key, pos (from 0), line, indent, blank."""
-    bare = F.regexp_replace("line", r"^\s+", "")
-    return (unroll(df, [key], lines(F.col(text)), "line", "pos")
-            .withColumn("bare", bare)
-            .withColumn("indent", F.length("line") - F.length("bare")))
-
-
-def word_features(sentence: Column) -> tuple[Column, Column]:
-    """Distinct words of three or more characters and distinct adjacent pairs."""
-    tokens = terms(sentence, 3)
-    return F.array_distinct(tokens), F.array_distinct(pairs(tokens))
-
-
 def feature_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Exploded features of every sentence: key, pos, kind (word or pair), feature."""
     base = sentence_table(df, key, text).withColumn("tokens", terms(F.col("sentence"), 3))

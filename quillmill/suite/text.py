@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
-from quillmill.functions.metrics import est_tokens
 from quillmill.functions.rows import unroll_fields
-from quillmill.functions.text import words
 from quillmill.operators import analytics, dedup, opcode, quotes, ranking, rules, segment, wordfilter
 from quillmill.operators.routing import classify
 from quillmill.plans import pipelines as p

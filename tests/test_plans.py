@@ -29,6 +29,12 @@ def test_ranked_jobs_shuffle_the_text_once(raw, op):
     assert text.count("Exchange") == 1 and "Join" not in text and "FileScan" in text and text.count("FileScan") == 1
 
 
+@pytest.mark.parametrize("stages", [p.STANDARD, p.DENSE], ids=["standard", "dense"])
+def test_chains_shuffle_the_text_once(raw, stages):
+    text = plan(p.run_stages(raw, stages))
+    assert text.count("Exchange") == 1 and text.count("FileScan") == 1 and "Join" not in text
+
+
 def test_row_local_jobs_do_not_shuffle(raw):
     for df in (p.run_stages(raw, p.WEIGHT), p.run_stages(raw, p.CODE), p.compress_by_content(raw), ranking.keep_signal(raw), ranking.keep_chunks(raw)):
         assert "Exchange" not in plan(df)
