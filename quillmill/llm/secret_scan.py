@@ -47,14 +47,14 @@ def window_entropy(text: str, width: int) -> Iterator[tuple[int, float]]:
     count: dict[str, int] = {}
     total = 0.0
     for i, ch in enumerate(text):
-        c = count.get(ch, 0)
-        total += weight[c + 1] - weight[c]
-        count[ch] = c + 1
         if i >= width:
             old = text[i - width]
             c = count[old]
             total += weight[c - 1] - weight[c]
             count[old] = c - 1
+        c = count.get(ch, 0)
+        total += weight[c + 1] - weight[c]
+        count[ch] = c + 1
         if i >= width - 1:
             yield i - width + 1, math.log2(width) - total / width
 
