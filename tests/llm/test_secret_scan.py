@@ -54,7 +54,7 @@ def test_added_spans_and_allow_list():
 def test_rows(spark):
     rows = [(1, 'é token = "abcdef12"'), (None, None), (2, ""), (2, "")]
     got = S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert got[0].spans == "assign:2:20" and got[0].base_sha256 == hashlib.sha256(b"assign:2:20").hexdigest()
+    assert got[0].spans == "assign:2:19" and got[0].base_sha256 == hashlib.sha256(b"assign:2:19").hexdigest()
     assert [r.doc_id for r in got] == [1, None, 2, 2] and got[1].spans == "" and got[1].n_assign == 0
     empty = S.scan_secrets(spark.createDataFrame([], "doc_id long, text string, spans string"))
     assert empty.count() == 0
