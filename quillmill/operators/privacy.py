@@ -2,93 +2,138 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.patterns import alternation, groups
 from quillmill.functions.rows import unroll, unroll_fields
-from quillmill.functions.text import let
 
-# Detection patterns in order of precedence.  They use no look-around, so each
-# can stand alone or in the alternation below.
+# Given names that begin a full name without a title.
+GIVEN = ("Anna|Anne|Carlos|Charles|Claire|Clara|Daniel|David|Elena|Emily|Emma|Eva|Hans|Isabel|Jack|James|Jan|Jean|John|Jose|Juan|Julia|Karl|"
+         "Klaus|Laura|Linda|Lisa|Lucas|Luis|Maria|Marie|Mark|Martin|Mary|Michael|Michel|Nina|Paul|Peter|Pierre|Robert|Sarah|Sofia|Sophie|"
+         "Stefan|Susan|Thomas|Tom|William")
+# Detection patterns in order of precedence.  They use no look-around, so other
+# engines can run them too.
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "IBAN": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "ID": r"\b[A-Z]{2,10}-[0-9]{4,}\b",
     "PHONE": r"\+?[0-9][0-9 ()/.-]{6,}[0-9]",
-    "NAME": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?\b",
+    "NAME": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?\b|\b(?:" + GIVEN + r") [A-Z][a-z]+\b",
 }
+# Found first and left as they are: dates are no telephone numbers.
+UNTOUCHED = {"_DATE": r"\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\b"}
+LITERAL = "PLACEHOLDER"
+# Noncharacters that mark matches and their groups, and the one that replaces them in texts.
+MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3"
 SEPARATOR = "|||"
 
 
-def custom_patterns(text: str) -> dict[str, str]:
-    """Lines of ``regex|||LABEL``; lines without both parts are skipped."""
-    found: dict[str, str] = {}
+def custom_lines(text: str) -> list[tuple[str, str]]:
+    """(label, pattern) of each ``regex|||LABEL`` line that has both parts."""
+    found = []
     for line in text.splitlines():
         pattern, sep, label = line.partition(SEPARATOR)
         label = label.strip().strip("[]").upper()
         if sep and pattern.strip() and label:
-            found[label] = f"{found[label]}|{pattern.strip()}" if label in found else pattern.strip()
+            found.append((label, pattern.strip()))
+    return found
+
+
+def custom_patterns(text: str) -> dict[str, str]:
+    """Patterns by label; lines without both parts and patterns the engine rejects are skipped."""
+    found: dict[str, str] = {}
+    for label, pattern in custom_lines(text):
+        if groups(pattern) is not None:
+            found[label] = f"{found[label]}|{pattern}" if label in found else pattern
     return found
 
 
+def rejected_patterns(text: str) -> list[tuple[str, str]]:
+    """The (label, pattern) lines that ``custom_patterns`` skips because the engine rejects them."""
+    return [line for line in custom_lines(text) if groups(line[1]) is None]
+
+
 def active_patterns(switches: dict[str, bool] | None = None, custom: str = "") -> dict[str, str]:
-    """Built-in patterns that are switched on, preceded by custom ones."""
+    """Built-in patterns that are switched on, preceded by custom ones; what ``UNTOUCHED`` names is never masked."""
     builtin = {k: p for k, p in PATTERNS.items() if (switches or {}).get(k, True)}
     return {**custom_patterns(custom), **builtin}
 
 
 def entities(c: Column, patterns: dict[str, str]) -> Column:
-    """Matches in order of appearance as (type, value).
+    """Matches in order of appearance as (type, value), those of ``UNTOUCHED`` kinds included.
 
-    One alternation finds them, so a value is taken once, by the first type
-    that fits; the type is then read off the value itself.
+    One alternation finds them; the type is the alternative that matched.  A
+    replacement that names all groups shows which: the text is marked once, with
+    noncharacters that are taken out of it before.
     """
-    union = "|".join(f"(?:{p})" for p in patterns.values())
-
-    def typed(value: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        for name, p in reversed(list(patterns.items())):
-            kind = F.when(value.rlike(f"^(?:{p})$"), name).otherwise(kind)
-        return F.struct(kind.alias("entity_type"), value.alias("value"))
-
-    return F.transform(F.regexp_extract_all(c, F.lit(f"({union})"), F.lit(1)), typed)
+    union, places = alternation(patterns)
+    values = F.regexp_extract_all(c, F.lit(union), F.lit(0))
+    marks = MARKS[1].join(f"${p}" for p in places)
+    marked = F.regexp_replace(F.translate(c, MARKS, MARKS[3] * 3), union, f"{MARKS[0]}{marks}{MARKS[2]}")
+    fields = F.transform(F.regexp_extract_all(marked, F.lit(f"{MARKS[0]}([^{MARKS[2]}]*){MARKS[2]}"), F.lit(1)),
+                         lambda m: F.array_position(F.transform(F.split(m, MARKS[1], -1), lambda x: x != ""), True))
+    kinds = F.array(*[F.lit(k) for k in patterns])
+    return F.zip_with(values, fields, lambda v, k: F.struct(
+        F.get(kinds, (k - 1).cast("int")).alias("entity_type"), v.alias("value")))
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", switches=None, custom: str = "") -> DataFrame:
     """One row per match: key, entity_type, value, pos (ordinal in the document)."""
     patterns = active_patterns(switches, custom)
-    return (unroll(df, [key], entities(F.col(text), patterns), "e", "pos")
+    found = F.filter(entities(F.col(text), {**UNTOUCHED, **patterns}), lambda e: e["entity_type"].isin(list(patterns)))
+    return (unroll(df, [key], found, "e", "pos")
             .select(key, F.col("e.entity_type").alias("entity_type"), F.col("e.value").alias("value"), "pos"))
 
 
-def _numbered(found: Column, patterns: dict[str, str]) -> Column:
-    """Distinct values with placeholders numbered per type in order of appearance."""
-    def of_type(distinct: Column, kind: str) -> Column:
-        values = F.filter(distinct, lambda e: e["entity_type"] == kind)
-        return F.transform(values, lambda e, i: F.struct(
-            F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
-            e["value"].alias("original_value"), F.lit(kind).alias("entity_type")))
-
-    # Bound once: a filter on the mapping may be pushed down, and would repeat the search per type.
-    return let(F.array_distinct(found), lambda d: F.concat(*[of_type(d, k) for k in patterns]))
+def _numbered(kinds: list[str]):
+    """Of a document's matches: what stands for each, and the mapping, numbered per type in order of appearance."""
+    order = {k: i for i, k in enumerate(kinds)}
+
+    @F.pandas_udf("struct<stand:array<string>,mapping:array<struct<placeholder:string,original_value:string,entity_type:string>>>")
+    def number(found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for matches in found:
+            names: dict[tuple[str, str], str] = {}
+            count: dict[str, int] = {}
+            stand = []
+            for m in matches if matches is not None else ():
+                kind, value = m["entity_type"], m["value"]
+                if kind not in order:
+                    stand.append(value)
+                    continue
+                if (kind, value) not in names:
+                    count[kind] = count.get(kind, 0) + 1
+                    names[kind, value] = f"[{kind}_{count[kind]}]"
+                stand.append(names[kind, value])
+            listed = sorted(names.items(), key=lambda n: order[n[0][0]])  # stable, so appearance decides inside a type
+            rows.append((stand, [{"placeholder": p, "original_value": v, "entity_type": k} for (k, v), p in listed]))
+        return pd.DataFrame(rows, columns=["stand", "mapping"])
+
+    return number
 
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "clean_content", switches=None,
          custom: str = "") -> DataFrame:
-    """Adds the masked text and its mapping, all inside the row.
+    """Adds the masked text and its mapping, all inside the row and in one pass from left to right.
 
-    Longer values are replaced first, so a value inside another one cannot
-    break it.
+    Text that looks like a placeholder is masked itself, so what ``reinject``
+    gives back is the input.  Null texts stay null with an empty mapping.
     """
     patterns = active_patterns(switches, custom)
-    by_length = F.array_sort(F.transform("mapping", lambda m: F.struct(
-        (-F.length(m["original_value"])).alias("neg"), m["original_value"].alias("v"), m["placeholder"].alias("p"))))
-    masked = F.aggregate("longest", F.col(text), lambda t, m: F.replace(t, m["v"], m["p"]))
-    return (df.withColumn("mapping", _numbered(entities(F.col(text), patterns), patterns))
-            .withColumn("longest", by_length)
-            .withColumn(out, F.when(F.size("longest") > 0, masked).otherwise(F.col(text)))
-            .drop("longest"))
+    own = "|".join(re.escape(k) for k in [*patterns, LITERAL])
+    every = {LITERAL: rf"\[(?:{own})_[0-9]+\]", **UNTOUCHED, **patterns}
+    union, _ = alternation(every)
+    number = _numbered([*patterns, LITERAL])
+    found = df.withColumn("_said", number(entities(F.col(text), every)))
+    woven = F.array_join(F.zip_with(F.split(F.col(text), union, -1), F.col("_said.stand"),
+                                    lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    return (found.withColumn("mapping", F.col("_said.mapping"))
+            .withColumn(out, F.when(F.size("_said.stand") > 0, woven).otherwise(F.col(text))).drop("_said"))
 
 
 def key_mapping(masked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -110,12 +155,18 @@ def type_counts(masked: DataFrame, key: str = "doc_id") -> DataFrame:
     return per_doc.groupBy("entity_type").agg(F.sum("n").alias("entities"), F.count("*").alias("documents"))
 
 
+def _restored(texts: pd.Series, mappings: pd.Series) -> pd.Series:
+    """One pass over what looks like a placeholder; what the mapping does not know stays."""
+    shape, out = re.compile(r"\[[^\[\]]+_[0-9]+\]"), []
+    for text, mapping in zip(texts, mappings):
+        known = {m["placeholder"]: m["original_value"] for m in mapping} if mapping is not None else {}
+        out.append(text if text is None or not known else shape.sub(lambda m: known.get(m.group(), m.group()), text))
+    return pd.Series(out, dtype=object)
+
+
 def reinject(df: DataFrame, text: str = "clean_content", out: str = "restored") -> DataFrame:
-    """Placeholders back to originals; higher numbers first, so [X_1] cannot touch [X_12]."""
-    order = F.array_sort(F.transform("mapping", lambda m: F.struct(
-        (-F.length(m["placeholder"])).alias("neg"), m["placeholder"].alias("p"), m["original_value"].alias("v"))))
-    back = F.aggregate(order, F.col(text), lambda t, m: F.replace(t, m["p"], m["v"]))
-    return df.withColumn(out, F.when(F.size("mapping") > 0, back).otherwise(F.col(text)))
+    """Placeholders back to originals."""
+    return df.withColumn(out, F.pandas_udf(_restored, "string")(F.col(text), F.col("mapping")))
 
 
 def reinject_with(responses: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "text",

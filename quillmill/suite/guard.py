@@ -124,11 +124,13 @@ chk AS (SELECT x.*, CASE WHEN x.key IS NULL OR NOT starts_with(x.key, 'fk-') THE
 
 
 def _detect(patterns: dict[str, str]) -> str:
-    """Matches by one alternation; the type is the first pattern that fits the value."""
-    union = "|".join(f"(?:{p})" for p in patterns.values())
-    kind = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in patterns.items())
-    return f"""m AS (SELECT doc_id, regexp_extract_all(text, '{union}') AS f FROM documents),
-hit AS (SELECT doc_id, value, pos, CASE {kind} END AS entity_type FROM (SELECT doc_id, unnest(f) AS value, generate_subscripts(f, 1) - 1 AS pos FROM m)),
+    """Matches by one alternation; the type is the first pattern that fits the value.  Dates take part and are dropped."""
+    every = {**v.UNTOUCHED, **patterns}
+    union = "|".join(f"(?:{p})" for p in every.values())
+    kind = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in every.items())
+    return f"""m AS (SELECT doc_id, regexp_extract_all(text, '{union}') AS f, regexp_split_to_array(text, '{union}') AS gaps FROM documents),
+raw AS (SELECT doc_id, value, pos, CASE {kind} END AS entity_type FROM (SELECT doc_id, unnest(f) AS value, generate_subscripts(f, 1) - 1 AS pos FROM m)),
+hit AS (SELECT doc_id, value, entity_type, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos FROM raw WHERE entity_type <> '_DATE'),
 map AS (SELECT doc_id, entity_type, value AS original_value, pos, '[' || entity_type || '_' || row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY pos) || ']' AS placeholder
   FROM (SELECT doc_id, entity_type, value, min(pos) AS pos FROM hit GROUP BY 1, 2, 3))"""
 
@@ -136,9 +138,10 @@ map AS (SELECT doc_id, entity_type, value AS original_value, pos, '[' || entity_
 _PLAIN = _detect(v.PATTERNS)
 _CUSTOM = _detect(v.active_patterns(None, CUSTOM))
 _ORDER = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(v.active_patterns(None, CUSTOM))) + " END"
-_MASKED = """pk AS (SELECT doc_id, list({'v': original_value, 'p': placeholder} ORDER BY length(original_value) DESC, original_value) AS ms FROM map GROUP BY 1)
-SELECT d.doc_id, CASE WHEN ms IS NULL THEN text ELSE (list_reduce(list_transform(ms, lambda m: {'t': '', 'v': m.v, 'p': m.p}), lambda a, m: {'t': replace(a.t, m.v, m.p), 'v': '', 'p': ''}, {'t': text, 'v': '', 'p': ''})).t END AS clean_content
-FROM documents d LEFT JOIN pk USING (doc_id)"""
+_MASKED = """ms AS (SELECT raw.doc_id, list(coalesce(placeholder, value) ORDER BY raw.pos) AS ps, count(DISTINCT placeholder) AS n FROM raw
+  LEFT JOIN map ON map.doc_id = raw.doc_id AND map.entity_type = raw.entity_type AND original_value = value GROUP BY 1)
+SELECT d.doc_id, CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_zip(gaps, ps), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') END AS clean_content
+FROM documents d JOIN m USING (doc_id) LEFT JOIN ms USING (doc_id)"""
 _RESP = f"""resp AS (SELECT conv_id * 1000 + turn AS rid, text, {q.tokens('text')}::INT AS n FROM conversations WHERE role = 'assistant')"""
 
 
