@@ -219,7 +219,8 @@ SIGNAL_SUBSTRINGS = (
 
 # --- entity anchors: a sentence matching one is kept ---
 ENTITY_ANCHORS = {
-    "proper_noun": r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b",
+    # The repeat is possessive: it runs in a loop, where a plain one recurses once per word.
+    "proper_noun": r"\b[A-Z][a-z]{2,}\b(?:\s+[A-Z][a-z]{2,}\b)*+",
     "percent": r"\b\d+(?:\.\d+)?(?:\s*%|\s*x\b|\s*times?\b)",
     "currency": r"\b\$\s*[\d,]+(?:\.\d{2})?\b",
     "year": r"\b(?:19|20)\d{2}\b",
@@ -303,7 +304,7 @@ QUOTE_CODE = r"[{}();=<>]|def |class |import "
 
 # --- chunk selection ---
 ACTION_WORDS = r"\b(must|should|required|critical|important|ensure|implement|configure)\b"
-TITLE_PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+TITLE_PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+\b)++"
 ALIAS_PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4})\b"
 
 # --- content class: pattern, weight ---

@@ -108,13 +108,15 @@ def latency(audit: DataFrame, days: int = 7, as_of=None) -> DataFrame:
 
 def kpis(audit: DataFrame, days: int = 7, as_of=None) -> DataFrame:
     """Ratio, efficiency, return and averages of each organization, with zero guards."""
-    base = token_totals(audit).join(
-        audit.groupBy("organization_id").agg(F.count("*").alias("total_requests"),
-                                             F.avg(F.col("cache_hit").cast("int")).alias("hit")), "organization_id")
-    lat = latency(audit, days, as_of).select("organization_id", "avg_latency_window")
+    inside = F.col("timestamp") >= _days_before(_as_of(audit, as_of), days)
+    base = audit.groupBy("organization_id").agg(
+        _total("tokens_original").alias("tokens_original"), _total("tokens_compressed").alias("tokens_compressed"),
+        _money("cost_saved").alias("cost_saved"), F.count("*").alias("total_requests"),
+        F.avg(F.col("cache_hit").cast("int")).alias("hit"),
+        F.round(F.avg(F.when(inside, F.col("latency_ms"))), 0).cast("long").alias("avg_latency_window"))
     saved = F.col("cost_saved").cast("double")
     t0 = F.col("tokens_original")
-    return base.join(lat, "organization_id").select(
+    return base.select(
         "organization_id", "total_requests", "tokens_original", "tokens_compressed",
         F.when((t0 > 0) & (saved != 0), F.round(saved / (saved + t0 * 0.00001) * 100, 1)).otherwise(0.0)
         .alias("financial_efficiency_pct"),
@@ -222,11 +224,6 @@ def report(audit: DataFrame, days: int = 30, as_of=None) -> DataFrame:
         savings_pct("tokens_in", "tokens_out").alias("savings_pct"))
 
 
-def report_tables(audit: DataFrame, days: int = 30, as_of=None) -> dict[str, DataFrame]:
-    sections = report(audit, days, as_of)
-    return {name: sections.filter(F.col("section") == name).drop("section") for name in ("total", "provider", "key")}
-
-
 def search(audit: DataFrame, needle: str = "", status: str = "all") -> DataFrame:
     """Rows whose payload holds the needle, with their own savings."""
     rows = filtered(audit, status=status)

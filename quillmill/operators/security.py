@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmill.functions import vocab
+from quillmill.functions.patterns import groups
 from quillmill.functions.rows import unroll
 from quillmill.functions.text import BLANKS, strip, unicode
 
@@ -39,23 +36,26 @@ def injection_report(calls: DataFrame, patterns=vocab.BLOCKED_PATTERNS) -> DataF
             .groupBy("pattern").agg(F.count("*").alias("hits")))
 
 
-@F.pandas_udf(T.BooleanType())
-def _compiles(patterns: pd.Series) -> pd.Series:
-    def ok(p: str) -> bool:
-        try:
-            re.compile(p)
-            return True
-        except (re.error, TypeError):
-            return False
+def pattern_lines(tools: DataFrame) -> DataFrame:
+    """tool_id, pos, pattern: the non-blank pattern lines of each tool."""
+    parts = F.filter(F.transform(F.split("blocked_patterns", "\n"), strip), lambda p: p != "")
+    return unroll(tools, ["tool_id"], parts, "pattern", "pos")
+
 
-    return patterns.map(ok)
+def rejected_lines(tools: DataFrame) -> list[str]:
+    """Distinct patterns that the executors' regex engine rejects.
+
+    Patterns are configuration; they pass the driver one by one, and only
+    rejected ones are kept.
+    """
+    return [r.pattern for r in pattern_lines(tools).select("pattern").distinct().toLocalIterator() if groups(r.pattern) is None]
 
 
 def tool_patterns(tools: DataFrame) -> DataFrame:
-    """Usable patterns of each tool as an array; blank lines and invalid patterns are skipped."""
-    parts = F.filter(F.transform(F.split("blocked_patterns", "\n"), strip), lambda p: p != "")
-    rows = unroll(tools, ["tool_id"], parts, "pattern", "pos")
-    valid = rows.filter(_compiles("pattern"))
+    """Usable patterns of each tool as an array; blank lines and patterns the engine rejects are skipped."""
+    rejected = rejected_lines(tools)
+    rows = pattern_lines(tools)
+    valid = rows.filter(~F.col("pattern").isin(rejected)) if rejected else rows
     return valid.groupBy("tool_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "pattern"))), lambda s: s["pattern"]).alias("patterns"))
 
@@ -80,22 +80,34 @@ def clean_params(calls: DataFrame) -> DataFrame:
     return calls.withColumn("params", F.transform_values("params", lambda k, v: clean_value(v)))
 
 
-def flatten_params(df: DataFrame, key: str = "call_id", raw: str = "params_json", depth: int = 8) -> DataFrame:
-    """(call, path, value) rows of nested JSON parameters.
+def nesting(raw: Column) -> Column:
+    """How deep a JSON text nests; strings do not count.  One walk over its brackets."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), start, step, lambda a: a["most"])
+
+
+def flatten_params(df: DataFrame, key: str = "call_id", raw: str = "params_json") -> DataFrame:
+    """(call, path, value) rows of nested JSON parameters, as deep as the data nest.
 
-    Each round takes one level of the variants apart; ``depth`` bounds the
-    nesting and deeper values are kept as JSON text under their path.
+    Each round takes one level of the variants apart; the depth is read off the
+    brackets in a pass before, which brings one number to the driver.
     """
+    depth = df.agg(F.max(nesting(F.col(raw)))).first()[0] or 0
     level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(raw).alias("v"))
     leaves = None
     for i in range(depth + 1):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        last = i == depth
-        flat = level.filter(F.col("v").isNotNull() & (F.lit(True) if last else ~nested)).select(
-            key, "path", F.when(nested, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+        flat = level.filter(F.col("v").isNotNull() & ~nested).select(
+            key, "path", F.try_variant_get("v", "$", "string").alias("value"))
         leaves = flat if leaves is None else leaves.unionByName(flat)
-        if last:
+        if i == depth:
             break
         parts = level.filter(nested).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(
             "pos", F.col("key").alias("_name"), "value"))

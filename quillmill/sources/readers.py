@@ -15,18 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
-
-    A large table has more splits than cores and is returned as it is; a small
-    file with one row group would otherwise run on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return widen(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def read_audit(spark: SparkSession, path: str, org: int | None = None,

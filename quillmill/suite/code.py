@@ -8,7 +8,7 @@ from quillmill.functions.rows import unroll_fields
 from quillmill.operators import code, logs
 from quillmill.plans import pipelines as p
 from quillmill.sources import derived as d
-from quillmill.sources.readers import documents, table, widen
+from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
 
 
@@ -25,7 +25,7 @@ def out(df):
 
 
 def pages(s, sf):
-    return widen(table(s, sf, "pages"), "page_id")
+    return table(s, sf, "pages")
 
 
 def _fenced(s, sf):

@@ -8,7 +8,7 @@ from quillmill.functions import vocab
 from quillmill.operators import promptcache as pc
 from quillmill.operators import routing as r
 from quillmill.sources import derived as d
-from quillmill.sources.readers import documents, table, widen
+from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
 from quillmill.suite.code import CODE as CODE_SQL
 from quillmill.suite.usage import AUDIT, KEYS, PROVIDERS, _HISTORY
@@ -23,7 +23,7 @@ SIGNALS = ("tion", "keit", "mente", "elle")
 
 
 def _markup_and_prose(s, sf):
-    page = widen(table(s, sf, "pages"), "page_id").select((F.col("page_id") + 1_000_000).alias("id"), F.col("html").alias("text"))
+    page = table(s, sf, "pages").select((F.col("page_id") + 1_000_000).alias("id"), F.col("html").alias("text"))
     return documents(s, sf).select(F.col("doc_id").alias("id"), "text").unionByName(page)
 
 

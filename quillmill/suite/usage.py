@@ -144,8 +144,8 @@ def _turns(s, sf):
 
 def _export(s, sf):
     path = fresh_path(s, "report")
-    writers.export_report(s, d.audit(s, sf), 30, path, "parquet")
-    return s.read.parquet(f"{path}/provider").select("item", "requests", "tokens_billed", F.col("cost").cast("double"))
+    writers.export_report(d.audit(s, sf), 30, path, "parquet")
+    return _dbl(s.read.parquet(path), "cost", "cost_saved")
 
 
 def _simulation(s, sf):
@@ -171,7 +171,7 @@ QUERIES = {
         "cache_hit"), "cost_original", "cost_actual", "cost_saved"),
     "m1_token_variants": lambda s, sf: table(s, sf, "pages").select(
         "page_id", m.est_tokens("html").alias("tokens"),
-        m.est_tokens(F.regexp_replace("html", r"[^%]", ""), empty_zero=True).alias("tokens_rest")),
+        m.est_tokens(F.regexp_replace("html", r"<[^>]*>", ""), empty_zero=True).alias("tokens_rest")),
     "m3_ratio": lambda s, sf: _slim(s, sf).select("id", m.compression_ratio("tokens_original", "tokens_compressed").alias("ratio")),
     "m5_simulated_cost": lambda s, sf: _slim(s, sf).select("id", m.simulated_cost(
         "tokens_original", F.when(F.col("tokens_original") > 500, 2).otherwise(1)).cast("double").alias("cost")),
@@ -182,7 +182,7 @@ QUERIES = {
     "a2_token_totals": lambda s, sf: _dbl(a.token_totals(_slim(s, sf)), "cost_saved"),
     "a3_recent_requests": lambda s, sf: a.recent(_slim(s, sf), d.providers(s, sf)).select(
         "id", "timestamp", "status", "ai_provider_id", "provider_name", "tokens_original"),
-    "a4_daily_rollup": lambda s, sf: _dbl(a.daily(_slim(s, sf).filter("dayofmonth(timestamp) % 9 <> 0"), 21), "cost"),
+    "a4_daily_rollup": lambda s, sf: _dbl(a.daily(_slim(s, sf), 60), "cost"),
     "a5_provider_usage": lambda s, sf: _dbl(a.provider_usage(_slim(s, sf), d.providers(s, sf), 7), "cost"),
     "a6_peak_hours": lambda s, sf: a.peak_hours(_slim(s, sf), 7),
     "a7_latency": lambda s, sf: a.latency(_slim(s, sf), 7),
@@ -242,9 +242,6 @@ SQL = {
         (t1 * CASE WHEN t1 > 500 THEN 0.000002 ELSE 0.0000005 END::DECIMAL(20,10))::DECIMAL(10,6)::DOUBLE AS cost_actual,
         (greatest(0, t0 - t1) * 0.0000005::DECIMAL(20,10))::DECIMAL(10,6)::DOUBLE AS cost_saved,
         'success' AS status, 'simulate' AS source, strlen(text) AS data_bytes_in, strlen(c) AS data_bytes_out FROM x""",
-    "s8_report_export": f"""WITH {AUDIT} SELECT coalesce(ai_provider_id::VARCHAR, 'unknown') AS item, count(*) AS requests,
-        sum(CASE WHEN tokens_compressed > 0 THEN tokens_compressed ELSE tokens_original END)::BIGINT AS tokens_billed,
-        {_money('cost_actual')} AS cost FROM audit WHERE {_since(30)} GROUP BY 1""",
     "slice_stopword_savings": f"""WITH x AS (SELECT lang, {q.tokens('text')} AS t0, {q.tokens('c')} AS t1 FROM
         (SELECT lang, text, {q.stop_filter('text', ALL_STOP)} AS c FROM documents))
         SELECT lang, count(*) AS documents, sum(t0)::BIGINT AS tokens_before, sum(t1)::BIGINT AS tokens_after,
@@ -255,7 +252,7 @@ SQL = {
         cost_saved::DOUBLE AS cost_saved, data_bytes_in, data_bytes_out, cache_hit FROM audit""",
     "m1_token_variants": f"""SELECT page_id, {q.tokens('html')}::INT AS tokens,
         (CASE WHEN length(r) > 0 THEN {q.tokens('r')} ELSE 0 END)::INT AS tokens_rest FROM
-        (SELECT *, regexp_replace(html, '[^%]', '', 'g') AS r FROM pages)""",
+        (SELECT *, regexp_replace(html, '<[^>]*>', '', 'g') AS r FROM pages)""",
     "m3_ratio": f"""WITH {AUDIT} SELECT id, (((tokens_original - tokens_compressed)::BIGINT * 20000 + tokens_original) // (2 * tokens_original) / 10000.0)::DOUBLE AS ratio FROM audit""",
     "m5_simulated_cost": f"""WITH {AUDIT} SELECT id, (tokens_original * CASE WHEN tokens_original > 500 THEN 0.000002
         ELSE 0.0000005 END::DECIMAL(20,10))::DOUBLE AS cost FROM audit""",
@@ -271,12 +268,12 @@ SQL = {
         {_money('cost_saved')} AS cost_saved FROM audit GROUP BY 1""",
     "a3_recent_requests": f"""WITH {AUDIT}, {PROVIDERS} SELECT a.id, a."timestamp", a.status, a.ai_provider_id, p.provider_name,
         a.tokens_original FROM {_newest(10)} a LEFT JOIN provider p ON p.provider_id = a.ai_provider_id""",
-    "a4_daily_rollup": f"""WITH {AUDIT}, f AS (SELECT * FROM audit WHERE day("timestamp") % 9 <> 0),
+    "a4_daily_rollup": f"""WITH {AUDIT}, f AS (SELECT * FROM audit),
         t AS (SELECT max("timestamp") AS m FROM f),
-        spine AS (SELECT unnest(generate_series(m::DATE - 20, m::DATE, INTERVAL 1 DAY))::DATE AS day FROM t)
+        spine AS (SELECT unnest(generate_series(m::DATE - 59, m::DATE, INTERVAL 1 DAY))::DATE AS day FROM t)
         SELECT spine.day, coalesce(sum(tokens_original), 0)::BIGINT AS tokens_original,
         coalesce(sum(tokens_compressed), 0)::BIGINT AS tokens_compressed, count(f.id) AS requests, {_money('cost_actual')} AS cost
-        FROM spine LEFT JOIN f ON f."timestamp"::DATE = spine.day AND f."timestamp" >= (SELECT m FROM t) - INTERVAL 21 DAYS GROUP BY 1""",
+        FROM spine LEFT JOIN f ON f."timestamp"::DATE = spine.day AND f."timestamp" >= (SELECT m FROM t) - INTERVAL 60 DAYS GROUP BY 1""",
     "a5_provider_usage": f"""WITH {AUDIT}, {PROVIDERS} SELECT provider_name, count(*) AS requests,
         sum(tokens_original)::BIGINT AS tokens, {_money('cost_actual')} AS cost
         FROM audit a JOIN provider p ON p.provider_id = a.ai_provider_id WHERE {_since(7)} GROUP BY 1""",
@@ -336,3 +333,5 @@ SQL = {
         tokens_original + tokens_response AS total_tokens, compression_ratio AS compression_pct,
         cost_actual::DOUBLE AS cost_actual, cost_saved::DOUBLE AS cost_saved, latency_ms FROM audit""",
 }
+# The exported files hold the report of their own window.
+SQL["s8_report_export"] = SQL["a16_report"].replace(_since(14), _since(30))
