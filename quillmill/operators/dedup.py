@@ -35,9 +35,9 @@ def _distinct_sentences(feats: DataFrame) -> DataFrame:
     the first can matter; this also keeps copied lines from pairing up.
     Sentences without features come last and take no part.
     """
-    first = feats.groupBy("_k", "w", "b").agg(F.min("pos").alias("pos"), F.first("doc", ignorenulls=True).alias("doc"))
+    first = feats.groupBy("_k", "_r", "w", "b").agg(F.min("pos").alias("pos"), F.first("doc", ignorenulls=True).alias("doc"))
     empty = (F.size("w") == 0).cast("int")
-    return first.withColumn("idx", F.row_number().over(W.partitionBy("_k").orderBy(empty, "pos")) - 1)
+    return first.withColumn("idx", F.row_number().over(W.partitionBy("_k", "_r").orderBy(empty, "pos")) - 1)
 
 
 def _back_edges(first: DataFrame, threshold: float, heavy: int) -> DataFrame:
@@ -55,21 +55,21 @@ def _back_edges(first: DataFrame, threshold: float, heavy: int) -> DataFrame:
     tagged = F.concat(
         F.transform("w", lambda f: F.struct(F.lit("w").alias("kind"), f.alias("f"))),
         F.transform("b", lambda f: F.struct(F.lit("b").alias("kind"), f.alias("f"))))
-    feature = (first.select("_k", "idx", "pos", "doc", F.posexplode_outer(tagged).alias("fpos", "x"))
-               .select("_k", "idx", "pos", carried("fpos"), F.col("x.kind").alias("kind"), F.col("x.f").alias("f")))
-    freq = F.count("*").over(W.partitionBy("_k", "kind", "f"))
-    fid = F.dense_rank().over(W.partitionBy("_k", "kind").orderBy("freq", "f"))
-    ids = (feature.withColumn("freq", freq).withColumn("fid", fid).groupBy("_k", "idx", "pos", "kind")
+    feature = (first.select("_k", "_r", "idx", "pos", "doc", F.posexplode_outer(tagged).alias("fpos", "x"))
+               .select("_k", "_r", "idx", "pos", carried("fpos"), F.col("x.kind").alias("kind"), F.col("x.f").alias("f")))
+    freq = F.count("*").over(W.partitionBy("_k", "_r", "kind", "f"))
+    fid = F.dense_rank().over(W.partitionBy("_k", "_r", "kind").orderBy("freq", "f"))
+    ids = (feature.withColumn("freq", freq).withColumn("fid", fid).groupBy("_k", "_r", "idx", "pos", "kind")
            .agg(F.sort_array(F.collect_list("fid")).alias("ids"), F.first("doc", ignorenulls=True).alias("doc")))
     head = F.greatest((F.size("ids") - F.ceil(F.size("ids") * F.lit(threshold)) + 1).cast("int"), F.lit(1))
     prefix = (ids.select("*", F.posexplode_outer(F.slice("ids", F.lit(1), head)).alias("ppos", "fid"))
               .withColumn("doc", carried("ppos"))
               .withColumn("ids", F.when(F.col("ppos") == 0, F.col("ids"))))
-    holders = W.partitionBy("_k", "kind", "fid")
+    holders = W.partitionBy("_k", "_r", "kind", "fid")
     before = holders.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     marked = (prefix.withColumn("heavy", F.count("*").over(holders) > heavy)
               .withColumn("earlier", F.collect_list(F.when(~F.col("heavy"), F.col("idx"))).over(before)))
-    return (marked.groupBy("_k", "idx", "pos")
+    return (marked.groupBy("_k", "_r", "idx", "pos")
             .agg(F.first(F.when(F.col("kind") == "w", F.col("ids")), ignorenulls=True).alias("w"),
                  F.first(F.when(F.col("kind") == "b", F.col("ids")), ignorenulls=True).alias("b"),
                  F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("back"),
@@ -83,7 +83,7 @@ def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
     One row per document: doc and kept (positions).
     """
     row = F.struct("idx", "pos", "w", "b", "back", "heavy")
-    docs = edges.groupBy("_k").agg(
+    docs = edges.groupBy("_k", "_r").agg(
         F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), row))).alias("rows"),
         F.first("doc", ignorenulls=True).alias("doc"))
 
@@ -102,7 +102,7 @@ def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
 
     flags = F.aggregate("rows", start, step, lambda acc: acc["ok"])
     marked = F.zip_with("rows", flags, lambda r, f: F.struct(r["pos"].alias("pos"), f.alias("ok")))
-    return docs.select("_k", "doc", F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["pos"]).alias("kept"))
+    return docs.select("_k", "_r", "doc", F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["pos"]).alias("kept"))
 
 
 def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
@@ -116,7 +116,7 @@ def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out:
     rows = explode_sentences(staged, key, sentences(F.col("_s")), spread=spread)
     # Short documents take part without features.
     tokens = rows.withColumn("t", F.when(F.col("n") > 2, terms(F.col("s"), 3)).otherwise(_none()))
-    feats = tokens.select("_k", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
+    feats = tokens.select("_k", "_r", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
                           F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b"))
     kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     chosen = F.array_join(F.transform("kept", lambda i: F.get("doc.ss", i)), " ")
@@ -127,7 +127,7 @@ def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text",
                          threshold: float = REDUNDANT_PLAIN, heavy: int = HEAVY) -> DataFrame:
     """Variant: words of any length only; sentences without words are kept."""
     rows = explode_sentences(df, key, plain_sentences(F.col(text)))
-    feats = rows.select("_k", "doc", "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"),
+    feats = rows.select("_k", "_r", "doc", "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"),
                         _none().alias("b"))
     kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
     wordless = F.filter(F.transform("doc.ss", lambda s, i: F.when(F.size(terms(s)) == 0, i)), lambda i: i.isNotNull())

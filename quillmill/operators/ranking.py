@@ -21,16 +21,17 @@ def carried(position: str) -> Column:
 
 
 def explode_sentences(df: DataFrame, key: str, ss: Column, *extra: Column, spread: bool = True) -> DataFrame:
-    """One shuffle by document, then one row per sentence: key, doc, n, pos, s.
+    """One shuffle by document, then one row per sentence: key, _r, doc, n, pos, s.
 
     ``doc`` keeps all columns and the sentence array, so the texts are rebuilt
     without joining the source again: the plan reads and moves each text once.
     A job that follows another one in a chain finds its input spread already
     and passes ``spread=False``.
     """
-    base = (by_document(df, key) if spread else df).withColumn("ss", ss)
+    # _r tells rows with one key apart; it is made and used inside one stage.
+    base = (by_document(df, key) if spread else df).withColumns({"ss": ss, "_r": F.monotonically_increasing_id()})
     doc = F.struct(*[F.col(c) for c in df.columns], F.col("ss"))
-    return (base.select(F.col(key).alias("_k"), doc.alias("doc"), F.size("ss").alias("n"), *extra,
+    return (base.select(F.col(key).alias("_k"), "_r", doc.alias("doc"), F.size("ss").alias("n"), *extra,
                         F.posexplode_outer("ss").alias("pos", "s"))
             .withColumn("doc", carried("pos")))
 
@@ -38,13 +39,13 @@ def explode_sentences(df: DataFrame, key: str, ss: Column, *extra: Column, sprea
 def explode_words(sentence_rows: DataFrame, tokens: Column, *carry: str) -> DataFrame:
     """One row per word occurrence; a sentence without words keeps one row with no word."""
     return (sentence_rows.withColumn("_t", tokens)
-            .select("_k", "doc", "n", "pos", *carry, F.posexplode_outer("_t").alias("wpos", "word"))
+            .select("_k", "_r", "doc", "n", "pos", *carry, F.posexplode_outer("_t").alias("wpos", "word"))
             .withColumn("doc", carried("wpos")))
 
 
 def with_sentence_frequency(word_rows: DataFrame) -> DataFrame:
     """Adds df, the sentences of the document that hold the word."""
-    by_word = W.partitionBy("_k", "word")
+    by_word = W.partitionBy("_k", "_r", "word")
     first = F.lag("pos").over(by_word.orderBy("pos")).eqNullSafe(F.col("pos"))
     return word_rows.withColumn("_f", (~first).cast("int")).withColumn("df", F.sum("_f").over(by_word))
 
@@ -52,7 +53,7 @@ def with_sentence_frequency(word_rows: DataFrame) -> DataFrame:
 def sum_by_sentence(word_rows: DataFrame, weight: Column, *carry: str) -> DataFrame:
     """Sentence rows with raw (summed weight) and words (occurrences)."""
     weighted = F.sum(F.when(F.col("word").isNull(), 0.0).otherwise(weight))
-    return word_rows.groupBy("_k", "pos", "n", *carry).agg(
+    return word_rows.groupBy("_k", "_r", "pos", "n", *carry).agg(
         weighted.alias("raw"), F.count("word").alias("words"), F.first("doc", ignorenulls=True).alias("doc"))
 
 
@@ -65,9 +66,9 @@ def unpacked(docs: DataFrame, key: str, *more: Column) -> DataFrame:
 def rebuild(scored: DataFrame, order: list[Column], keep: Column, applies: Column, key: str, text: str,
             out: str) -> DataFrame:
     """Keep the best ``keep`` sentences of each document in their own order."""
-    rank = F.row_number().over(W.partitionBy("_k").orderBy(*order))
+    rank = F.row_number().over(W.partitionBy("_k", "_r").orderBy(*order))
     picked = F.collect_list(F.when((F.col("rk") <= keep) & applies, F.col("pos")))
-    docs = scored.withColumn("rk", rank).groupBy("_k").agg(
+    docs = scored.withColumn("rk", rank).groupBy("_k", "_r").agg(
         F.array_sort(picked).alias("kept"), F.first("doc", ignorenulls=True).alias("doc"))
     chosen = F.transform("kept", lambda i: F.get("doc.ss", i))
     return unpacked(docs, key, F.when(F.size("kept") > 0, F.array_join(chosen, " "))
@@ -108,7 +109,7 @@ def rank_tfidf_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out
     rows = explode_sentences(df, key, plain_sentences(F.col(text)))
     token = F.filter(terms(F.col("s")), lambda w: ~w.isin(list(stop)))
     found = with_sentence_frequency(explode_words(rows, token))
-    tf = F.count("*").over(W.partitionBy("_k", "word", "pos"))
+    tf = F.count("*").over(W.partitionBy("_k", "_r", "word", "pos"))
     weight = F.col("tf") * F.log(F.col("n") / (F.col("df") + 1))
     scored = sum_by_sentence(found.withColumn("tf", tf), weight).withColumn(
         "score", F.round(F.col("raw") / F.greatest(F.lit(1), F.col("words")), DIGITS))
@@ -218,7 +219,7 @@ def condense(df: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     staged = df.withColumn("_flat", flat).withColumn("_wc", F.size(words(F.col("_flat"))))
     rows = explode_sentences(staged, key, sentences(F.col("_flat")), F.col("_wc"), spread=spread)
     found = explode_words(rows, terms(F.col("s"), 4), "_wc").withColumn(
-        "f", F.count("word").over(W.partitionBy("_k", "word")))
+        "f", F.count("word").over(W.partitionBy("_k", "_r", "word")))
     weight = F.col("f") / F.col("n") * F.log(F.col("n") / F.col("f"))
     scored = sum_by_sentence(found, weight, "_wc").withColumn(
         "score", F.round(F.col("raw") / F.greatest(F.lit(1), F.col("words")), DIGITS))
