@@ -1,6 +1,7 @@
 """Inputs that must not end a job, lose rows or be cut."""
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -74,11 +75,11 @@ def test_streams_assemble_what_the_batch_form_does(spark, tmp_path):
 
 
 def test_two_streams_into_one_table(spark, tmp_path):
-    path = str(tmp_path / "fact")
+    path, run = str(tmp_path / "fact"), uuid.uuid4().hex
     for name in ("one", "two"):
         source = str(tmp_path / name)
         spark.range(5).select("id", F.lit("2024-01-01 10:00:00").cast("timestamp").alias("timestamp"), F.lit(1).alias("organization_id")).write.parquet(source)
         stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
         for _ in range(2):  # a second start finds nothing new
-            live.append_audit(stream, path, f"{tmp_path.name}-{name}").start().awaitTermination()
+            live.append_audit(stream, path, f"{run}-{name}").start().awaitTermination()
     assert read_audit(spark, path).count() == 10 and read_audit(spark, path, org=1).count() == 10
