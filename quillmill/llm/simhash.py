@@ -19,6 +19,8 @@ BITS = 64
 BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Fingerprints of one bucket that a task compares at once; larger buckets are cut and their cuts compared pair by pair.
 TILE = 20_000
+#: What a comparison costs beside a probe.
+CANDIDATE_COST = 0.02
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -62,14 +64,15 @@ def segments(count: int, radius: int) -> list[tuple[int, int, int]]:
     If ``radius`` bits differ over m segments, one of the first ``radius % m + 1``
     segments differs in at most ``radius // m`` bits or one of the others in one
     bit less.  The number of segments is the one with the least probes and
-    expected candidates; every choice finds the same links.
+    expected candidates (a probe moves a row, a candidate is one comparison); every
+    choice finds the same links.
     """
     best = None
-    for m in range(2, radius + 2):
+    for m in range(1, max(2, radius + 1)):
         inner = [radius // m] * (radius % m + 1) + [radius // m - 1] * (m - radius % m - 1)
         sizes = [BITS // m + (i < BITS % m) for i in range(m)]
         balls = [sum(math.comb(b, i) for i in range(r + 1)) if r >= 0 else 0 for b, r in zip(sizes, inner)]
-        cost = sum(ball * (1 + count / 2.0 ** b) for b, ball in zip(sizes, balls))
+        cost = sum(ball * (1 + CANDIDATE_COST * count / 2.0 ** b) for b, ball in zip(sizes, balls))
         if best is None or cost < best[0]:
             starts = np.cumsum([0, *sizes]).tolist()
             best = cost, [(s, b, r) for s, b, r in zip(starts, sizes, inner) if r >= 0]
@@ -102,11 +105,15 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def star(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join exactly the connected fingerprints of one group, fewer than it has members.
+    """Edges that join exactly the connected fingerprints of one group, at most two for each member.
 
     A walk compares each member it reaches with those not yet reached, so a dense
     group costs little more than one comparison for each member.
     """
+    if len(fps) <= 256:
+        i, j = np.nonzero(np.triu(distance(fps[:, None], fps[None, :]) <= radius, 1))
+        if len(i) <= 2 * len(fps):
+            return list(zip(fps[i].tolist(), fps[j].tolist()))
     edges, rest = [], fps
     while len(rest) > 1:
         root, front, rest = rest[0], [rest[0]], rest[1:]
