@@ -28,7 +28,7 @@ DIGIT = re.compile(r"[0-9]")
 CANDIDATES = {
     "number": re.compile(r"(?<![\w.+(-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![\w-]|\.[0-9])"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "name": re.compile(r"(?<![^\s(\"'])[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?![^\s.,;:!?)\"'])"),
+    "name": re.compile(r"(?<![^\s(\"'])(?!(?:Dear|Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Contact|Hello|Hi|Name)\b)[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?![^\s.,;:!?)\"'])"),
 }
 
 # Shapes, gazetteer and context words of the labelers.
