@@ -155,70 +155,43 @@ def dedup_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", out:
             .drop("own"))
 
 
-# Modulus, multipliers and offsets of the min-hash family (from a rule, below).
-PRIME = 2147483647
-HASHES = 16
-BAND_ROWS = 4
-
-
-def hash_family(n: int = HASHES) -> list[tuple[int, int]]:
-    """Multiplier and offset of the k-th hash: odd powers of a primitive root."""
-    return [(pow(16807, 2 * k + 1, PRIME), pow(16807, 2 * k + 2, PRIME)) for k in range(n)]
-
-
-def word_hashes(word_set: Column) -> Column:
-    return F.transform(word_set, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
-
-
-def min_hashes(hashes: str, n: int = HASHES) -> list[Column]:
-    """One minimum per member of the family, over a column of word hashes made once."""
-    def least(a: int, b: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: (h * a + b) % PRIME))
-
-    return [least(a, b) for a, b in hash_family(n)]
-
-
-def _word_set(text: str) -> Column:
-    return F.sort_array(F.array_distinct(terms(F.col(text), 3)))
-
-
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Documents whose words nearly equal those of a smaller-keyed document.
+    """Documents whose words nearly equal those of a smaller-keyed document; every such pair is found.
 
-    1. Exact copies of a word set collapse to their first document; the
-       grouping carries the first one's min-hash bands along, so no text moves.
-    2. In each min-hash bucket every member is compared with the bucket's first
-       document only.  That is linear in members, so a bucket with a third of
-       the corpus is no harder than any other.
-    3. Texts are fetched for the compared documents alone and checked with the
-       exact Jaccard value.
+    1. Documents with one word set collapse to the first of them.
+    2. Each set is put in one order for all, rarest word first.  Two sets can
+       only reach the threshold if they share one of their first
+       |x| - ceil(t|x|) + 1 words, so the sets are joined on those alone, and
+       words that only one set has are left out.
+    3. Pairs of fitting size are compared by their hashed words.
 
-    Returns key, original, similarity: the best original per document.
+    Texts do not move, only 64-bit hashes of words.  Returns key, original,
+    similarity: the best original per document, of equals the smallest.
     """
     # A cheap test for "has a word", so that the filter does not cut the words twice.
-    sets = df.filter(F.col(text).rlike(WORD + "{3}")).select(key, _word_set(text).alias("ws"))
-    digest = F.sha2(F.array_join("ws", " "), 256)
-    bands = HASHES // BAND_ROWS
-    band = F.array(*[F.concat_ws(":", *[F.col(f"h{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(bands)])
-    staged = sets.select(key, digest.alias("digest"), word_hashes(F.col("ws")).alias("hs"))
-    hashed = staged.select(key, "digest", *[h.alias(f"h{i}") for i, h in enumerate(min_hashes("hs"))])
-    reps = (hashed.select(key, "digest", band.alias("bands")).groupBy("digest")
-            .agg(F.min(F.struct(key, "bands")).alias("r"), F.count("*").alias("n"))
+    sets = df.filter(F.col(text).rlike(WORD + "{3}")).select(key, F.array_sort(F.transform(
+        F.array_distinct(terms(F.col(text), 3)), lambda w: F.xxhash64(w))).alias("hs"))
+    digest = F.sha2(F.array_join(F.transform("hs", lambda h: h.cast("string")), " "), 256)
+    reps = (sets.select(key, "hs", digest.alias("digest")).groupBy("digest")
+            .agg(F.min(F.struct(key, "hs")).alias("r"), F.count("*").alias("n"))
             # Always true; it keeps the count in every use, so that all uses share one shuffle.
             .filter("n > 0"))
     firsts = reps.filter("n > 1").select("digest", F.col(f"r.{key}").alias("original"))
     copies = (spread_join(sets.select(key, digest.alias("digest")), firsts, ["digest"], key)
               .filter(F.col(key) != F.col("original")).select(key, "original", F.lit(1.0).alias("similarity")))
-    member = unroll(reps, [F.col(f"r.{key}").alias(key)], "r.bands", "bucket", "band")
-    leader = member.groupBy("band", "bucket").agg(F.min(key).alias("original"), F.count("*").alias("members"))
-    edges = (spread_join(member, leader.filter("members > 1"), ["band", "bucket"], key)
-             .filter(F.col(key) != F.col("original")).select(key, "original").distinct())
-    texts = df.select(key, text)
-    mine = edges.join(texts, key).select(key, "original", _word_set(text).alias("ws"))
-    theirs = (texts.join(edges.select(F.col("original").alias(key)).distinct(), key, "left_semi")
-              .select(F.col(key).alias("original"), _word_set(text).alias("other")))
-    checked = (spread_join(mine, theirs, ["original"], key)
-               .withColumn("similarity", F.round(_jaccard(F.col("ws"), F.col("other")), 6))
+    own = reps.select(F.col(f"r.{key}").alias(key), F.col("r.hs").alias("hs"))
+    words = unroll(own, [key, F.size("hs").alias("size")], "hs", "h")
+    holders = words.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    # Words of one holder come first in every order, so only their number counts.
+    ranked = words.join(holders, "h").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("fs"))
+    least = threshold - 1e-6  # similarities are rounded, so the filters leave some room
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1 - (F.col("size") - F.size("fs"))
+    prefix = unroll(ranked, [key, "size"], F.slice("fs", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), "f").select(key, "size", F.col("f.h").alias("h"))
+    other = prefix.select(F.col(key).alias("original"), F.col("size").alias("osize"), "h")
+    fits = (F.col("osize") >= F.col("size") * F.lit(least)) & (F.col("size") >= F.col("osize") * F.lit(least))
+    pairs_ = prefix.join(other, "h").filter((F.col(key) > F.col("original")) & fits).select(key, "original").distinct()
+    checked = (pairs_.join(own, key).join(own.select(F.col(key).alias("original"), F.col("hs").alias("other")), "original")
+               .withColumn("similarity", F.round(_jaccard(F.col("hs"), F.col("other")), 6))
                .filter(F.col("similarity") >= threshold))
     best = checked.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("original")).alias("o"))).alias("m"))
     near = best.select(key, (-F.col("m.o")).alias("original"), F.col("m.similarity").alias("similarity"))

@@ -268,17 +268,6 @@ def _redundant(rows: str, word_sql: str, threshold: float, with_pairs: bool) ->
             ELSE list_append(a, x.pos) END, []::BIGINT[])) AS pos FROM r)"""
 
 
-
-
-def _shingle_hash(k: int) -> str:
-    a, b = dedup.hash_family()[k]
-    return f"list_min(list_transform(h, lambda x: (x * {a}::HUGEINT + {b}) % {dedup.PRIME}))"
-
-
-_BANDS = " UNION ALL ".join(
-    f"SELECT doc_id, {b} AS band, concat_ws(':', " + ", ".join(_shingle_hash(b * dedup.BAND_ROWS + r) for r in range(dedup.BAND_ROWS))
-    + ") AS bucket FROM hs" for b in range(dedup.HASHES // dedup.BAND_ROWS))
-
 _FLATTENED = ("regexp_replace(regexp_replace(text, '(?m)^\\s*[-*•]\\s+', chr(10), 'g'), '(?m)^\\s*\\d+[.)\\s]\\s+', chr(10), 'g')")
 _MATRIX_BLOCKS = (
     "array_to_string(list_transform(range(1, greatest(len(ws), 1) + 1, 100), lambda b: array_to_string(list_slice("
@@ -350,11 +339,9 @@ SQL = {
     "x3c_near_copies": f"""WITH sets AS (SELECT doc_id, list_sort(list_distinct({q.terms('text', 3)})) AS ws FROM documents),
         g AS (SELECT *, min(doc_id) OVER (PARTITION BY ws) AS original FROM sets WHERE len(ws) > 0),
         reps AS (SELECT * FROM g WHERE original = doc_id),
-        hs AS (SELECT doc_id, list_transform(ws, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT) AS h FROM reps),
-        bands AS ({_BANDS}),
-        edge AS (SELECT DISTINCT doc_id, lead FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, bucket) AS lead FROM bands) WHERE lead <> doc_id),
-        sim AS (SELECT e.doc_id, e.lead AS original, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS similarity
-                FROM edge e JOIN reps a ON a.doc_id = e.doc_id JOIN reps b ON b.doc_id = e.lead)
+        wd AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM reps),
+        sim AS (SELECT a.doc_id, b.doc_id AS original, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity
+                FROM wd a JOIN wd b ON a.w = b.w AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id)
         SELECT doc_id, original, 1.0::DOUBLE AS similarity FROM g WHERE original <> doc_id UNION ALL
         SELECT doc_id, arg_max(original, (similarity, -original)), max(similarity) FROM sim WHERE similarity >= 0.7 GROUP BY doc_id""",
     "x4_tfidf": f"""WITH sent AS ({_SENT}),

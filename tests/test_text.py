@@ -214,3 +214,13 @@ def test_corpus_dedup_and_near_copies(docs, texts_of):
         " ".join(base), far, " ".join(reversed(base)), near)).collect()}
     assert got[2] == (0, 1.0) and 1 not in got
     assert got[3][0] == 0 and got[3][1] == round(58 / 62, 6)
+
+
+def test_every_planted_near_copy_is_found(spark):
+    """400 pairs of Jaccard 0.739, and two copies that share words with an unrelated first document."""
+    rows = []
+    for i in range(400):
+        base = [f"p{i}word{j}" for j in range(85)] + [f"common{j}" for j in range(15)]
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(base[15:] + [f"q{i}word{j}" for j in range(15)]))]
+    got = {r["doc_id"]: (r["original"], r["similarity"]) for r in dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000 + i: (i, round(85 / 115, 6)) for i in range(400)}
