@@ -49,25 +49,25 @@ FILLER_SENTENCES = (
     r"|No problem[!,.]?\s*|Happy to help[!,.]?\s*)"
 )
 HEDGES = (
-    # classic hedges
+    # softening words
     r"I think|I believe|I guess|I suppose|perhaps|maybe|possibly",
     r"probably|might be|could be|seems like|it appears|sort of|kind of",
     r"more or less|in a way|to some extent|roughly speaking",
-    # discourse markers
+    # words that only connect
     r"as you (may |might |probably )?know|it(?:'s| is) worth noting(?: that)?",
     r"(just |simply )?to (be|note|clarify|reiterate|recap|summarize|point out),?",
     r"needless to say,?|it goes without saying(?: that)?",
     r"as (I|we) mentioned( before| earlier| previously)?,?",
     r"at the end of the day,?",
-    # social padding
+    # courtesies
     r"I hope this helps?\.?|feel free to (ask|reach out|contact us),?",
     r"please (don'?t hesitate|feel free) to (ask|contact|reach out)\.?",
     r"let me know if you (have|need|want) (any|more|further) (questions?|help|information)\.?",
     r"thank(s| you) for (asking|your question|reaching out)\.?",
-    # affirmations
+    # agreement
     r"that(?:'s| is) a (great|good|excellent|wonderful|interesting) (question|point)\.?",
     r"great question[!.]?",
-    # empty lead-ins
+    # openings without content
     r"so basically,?|well, (essentially|basically|actually),?",
     r"honestly,?|truthfully,?|frankly,?|candidly,?",
     r"to be (honest|fair|clear|transparent),?",

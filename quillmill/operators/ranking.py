@@ -125,30 +125,19 @@ def corpus_idf(df: DataFrame, key: str = "doc_id", text: str = "text", least: in
             .select("word", "docs", F.log((total + 1) / (F.col("docs") + 1)).alias("idf")))
 
 
-def rank_by_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", top: int = 1,
-                   common: float = 0.01) -> DataFrame:
+def rank_by_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", top: int = 1) -> DataFrame:
     """Best sentences of each document by corpus-wide weights.
 
-    Words found in more than ``common`` of all documents are hot join keys.
-    There are at most (mean distinct words per document / common) of them, so
-    that part of the word table is broadcast.  Rows already served get a
-    scattered key in the second join, which handles the long tail by shuffle.
+    Word counts per sentence meet the word table on the word.  The engine
+    broadcasts the word table while it is small and splits the rows of hot
+    words over tasks beyond that.
     """
-    total = df.agg(F.count("*")).scalar()
-    idf = corpus_idf(df, key, text)
-    is_hot = F.col("docs") > total * F.lit(common)
-    hot = idf.filter(is_hot).select("word", F.col("idf").alias("hot_idf"))
-    rare = idf.filter(~is_hot).select(F.col("word").alias("tail_word"), "idf")
+    idf = corpus_idf(df, key, text).select("word", "idf")
     base = unroll(by_document(df.select(key, text), key), [key], sentences(F.col(text)), "s", "pos")
     wc = F.greatest(F.lit(1), F.size(words(F.col("s")))).alias("wc")
     tf = (unroll(base, [key, "pos", wc], terms(F.col("s"), 4), "word")
           .groupBy(key, "pos", "wc", "word").agg(F.count("*").alias("tf")))
-    scattered = F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "pos"), F.lit(1024)).cast("string"))
-    weighted = (tf.join(F.broadcast(hot), "word", "left")
-                .withColumn("tail_word", F.when(F.col("hot_idf").isNull(), F.col("word")).otherwise(scattered))
-                .join(rare, "tail_word", "left"))
-    scored = (weighted.groupBy(key, "pos", "wc")
-              .agg(F.sum(F.col("tf") * F.coalesce("hot_idf", "idf")).alias("raw"))
+    scored = (tf.join(idf, "word").groupBy(key, "pos", "wc").agg(F.sum(F.col("tf") * F.col("idf")).alias("raw"))
               .select(key, "pos", F.round(F.col("raw") / F.col("wc"), 6).alias("score")))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "pos"))
     return scored.withColumn("rk", rank).filter(F.col("rk") <= top)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.patterns import groups
 from quillmill.functions import vocab
 from quillmill.functions.rows import unroll
 from quillmill.functions.text import strip, unicode
@@ -98,19 +99,21 @@ def clean_output(c: Column) -> Column:
     return rewrite(c, OUTPUT)
 
 
-def rules_from_table(df: DataFrame, organization_id=None) -> list[Rule]:
+def rules_from_table(df: DataFrame, organization_id=None, most: int = MAX_RULES) -> list[Rule]:
     """Custom rules visible to an organization: active, its own or system ones.
 
-    Every rule table row becomes a driver-side object, so the size is checked.
+    Rules run one after another inside the plan, so each adds a step to it: more
+    than ``most`` are refused rather than cut.  Patterns that the regex engine
+    rejects are skipped.
     """
     from quillmill.sources.readers import visible_to_org
 
     visible = visible_to_org(df.filter("is_active"), organization_id)
     group = group_key()
-    rows = visible.select("rule_id", group.alias("grp"), "pattern", "replacement").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; split the rule table")
-    ordered = sorted(rows, key=lambda r: r["rule_id"])
+    rows = visible.select("rule_id", group.alias("grp"), "pattern", "replacement").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules; split the rule table")
+    ordered = sorted((r for r in rows if groups("(?i)" + r["pattern"]) is not None), key=lambda r: r["rule_id"])
     return [Rule(r["rule_id"], "(?i)" + r["pattern"], literal(r["replacement"] or ""), r["grp"]) for r in ordered]
 
 

@@ -88,3 +88,8 @@ for _name, _fn, _level, _side, _label in _CODE:
 register("output_rules", column_operator(rules.clean_output), "text", "light", "output", "Output clean-up")
 register("log_summary", logs.summarise_log_text, "code", "aggressive", "input", "Log summary")
 register("trace_summary", logs.summarise_traceback, "code", "aggressive", "input", "Traceback summary")
+
+
+def registered(kind: str) -> list[str]:
+    """Names of all algorithms of a kind."""
+    return [n for n, a in REGISTRY.items() if a.kind == kind]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.rows import unroll_fields
 from quillmill.operators import code, logs
 from quillmill.plans import pipelines as p
+from quillmill.plans.registry import registered
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
@@ -70,6 +71,7 @@ QUERIES = {
     "c12_long_output": lambda s, sf: out(logs.summarise_output(documents(s, sf))),
     "c13_code_pipeline": _ledger,
     "c14_code_matrix": _matrix,
+    "c14_registry_matrix": lambda s, sf: p.algorithm_matrix(src(s, sf), registered("code")),
 }
 
 TRIPLES = f"""

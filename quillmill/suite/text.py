@@ -9,6 +9,7 @@ from quillmill.functions.rows import unroll_fields
 from quillmill.operators import analytics, dedup, opcode, quotes, ranking, rules, segment, wordfilter
 from quillmill.operators.routing import classify
 from quillmill.plans import pipelines as p
+from quillmill.plans.registry import registered
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents
 from quillmill.suite import sql as q
@@ -215,6 +216,7 @@ QUERIES = {
     "x15_content_dispatch": _dispatch,
     "x16_message_arrays": _messages,
     "x17_algorithm_matrix": _matrix,
+    "x17_registry_matrix": lambda s, sf: p.algorithm_matrix(docs(s, sf), registered("text")),
     "x18_request_report": _report,
     "m10_a21_stage_rollup": _savings_rollup,
     "a21_savings_by_class": _by_class,
