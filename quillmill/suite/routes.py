@@ -106,7 +106,30 @@ def _cosine(s, sf):
 
 def _embeddings(s, sf):
     e = pc.embed(documents(s, sf).select("doc_id", "text"), "doc_id", "text")
-    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(pc.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+    return e.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).select("doc_id", "bucket", F.round("x", 6).alias("value"))
+
+
+def _prompts(s, sf):
+    """Documents as prompts of their language's team: even ids are cached, odd ones ask."""
+    rows = documents(s, sf).select("doc_id", "lang", "text")
+    told = rows.select(F.col("doc_id").alias("request_id"), F.col("lang").alias("organization_id"), F.lit("default").alias("embedding_model"),
+                       F.sha2("text", 256).alias("prompt_hash"), F.timestamp_seconds(F.col("doc_id")).alias("timestamp"))
+    return told.join(pc.embed(rows, "doc_id", "text").withColumnRenamed("doc_id", "request_id"), "request_id")
+
+
+def _two_levels(s, sf):
+    prompts = _prompts(s, sf)
+    entries = prompts.filter("request_id % 2 = 0").withColumnRenamed("request_id", "entry_id").withColumn("tokens_used", F.lit(4000))
+    return prompts.filter("request_id % 2 = 1"), entries
+
+
+def _two_level_lookup(s, sf):
+    return pc.two_level_lookup(*_two_levels(s, sf))
+
+
+def _entry_hits(s, sf):
+    asked, entries = _two_levels(s, sf)
+    return pc.entry_hits(pc.two_level_lookup(asked, entries), asked)
 
 
 QUERIES = {
@@ -137,6 +160,8 @@ QUERIES = {
     "h4_cosine": _cosine,
     "h5_exact_lookup": _exact,
     "h6_semantic_lookup": _semantic,
+    "h5_h6_two_level_lookup": _two_level_lookup,
+    "h5_h6_entry_hits": _entry_hits,
     "h7_upsert": _upsert,
     "h8_replay": lambda s, sf: pc.replay(d.audit(s, sf)),
     "h8_hit_rate": lambda s, sf: pc.hit_rate(d.audit(s, sf)),
@@ -186,6 +211,21 @@ _REPLAY = """x AS (SELECT *, row_number() OVER (PARTITION BY organization_id, pa
 _FIRST_HALF = """f AS (SELECT organization_id, payload_hash AS prompt_hash, arg_min(id, ("timestamp", id)) AS first_id, count(*) - 1 AS hit_count
   FROM audit WHERE day("timestamp") <= 15 GROUP BY 1, 2)"""
 
+_VECTOR = """gram AS (SELECT doc_id, md5(substr(t, i, 3)) AS h FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents)),
+  part AS (SELECT doc_id, (k // 2) % 128 AS bucket, sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) AS v FROM (SELECT doc_id, ('0x' || substr(h, 1, 5))::INT AS k FROM gram) GROUP BY 1, 2),
+  len AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM part GROUP BY 1),
+  vec AS (SELECT d.doc_id, b.bucket::INT AS bucket, CASE WHEN norm > 0 THEN coalesce(v, 0) / norm ELSE 0.0 END AS x FROM documents d
+    CROSS JOIN (SELECT unnest(range(128)) AS bucket) b LEFT JOIN part p ON p.doc_id = d.doc_id AND p.bucket = b.bucket LEFT JOIN len ON len.doc_id = d.doc_id)"""
+_TWO_LEVELS = f"""{_VECTOR}, pr AS (SELECT doc_id, lang, sha256(text) AS h, vs FROM documents JOIN (SELECT doc_id, list(x ORDER BY bucket) AS vs FROM vec GROUP BY 1) USING (doc_id)),
+  ent AS (SELECT * FROM pr WHERE doc_id % 2 = 0), ask AS (SELECT * FROM pr WHERE doc_id % 2 = 1),
+  ex AS (SELECT lang, h, min(doc_id) AS entry_id FROM ent GROUP BY 1, 2),
+  lk AS (SELECT ask.*, ex.entry_id FROM ask LEFT JOIN ex ON ex.lang = ask.lang AND ex.h = ask.h),
+  nr AS (SELECT * FROM (SELECT lk.doc_id, e.doc_id AS near_id, list_cosine_similarity(lk.vs, e.vs) AS sim,
+      row_number() OVER (PARTITION BY lk.doc_id ORDER BY round(list_cosine_similarity(lk.vs, e.vs), 12) DESC, e.doc_id) AS rk
+      FROM lk JOIN ent e ON e.lang = lk.lang AND lk.entry_id IS NULL) WHERE rk = 1 AND sim >= 0.85 AND 4.0 > (1 - sim) * 10),
+  found AS (SELECT lk.doc_id AS request_id, lang AS organization_id, CASE WHEN entry_id IS NOT NULL THEN 'exact' WHEN near_id IS NOT NULL THEN 'semantic' ELSE 'none' END AS match_type,
+      coalesce(entry_id, near_id) AS entry_id, CASE WHEN entry_id IS NOT NULL THEN 1.0 ELSE round(sim, 4) END::DOUBLE AS similarity FROM lk LEFT JOIN nr ON nr.doc_id = lk.doc_id)"""
+
 SQL = {
     "r1_content_class": f"""WITH {_MP}, x AS (SELECT id, text, round({_weights(CODE)}, 6) AS c, round({_weights(PROSE)}, 6) AS p FROM mp),
         y AS (SELECT id, {q.trim('text')} = '' AS blank, CASE WHEN c + p > 0 THEN c / (c + p) END AS ratio FROM x)
@@ -228,7 +268,10 @@ SQL = {
     "h1_fingerprint": f"WITH {_HISTORY} SELECT request_id, sha256(to_json(list_transform(messages, lambda m: {{'content': m.content, 'role': m.role}}))) AS prompt_hash FROM req",
     "h2_query_text": f"""WITH {_HISTORY}, x AS (SELECT request_id, messages, list_filter(messages, lambda m: m.role IN ('user', 'human')) AS u FROM req)
         SELECT request_id, CASE WHEN len(u) > 0 THEN u[-1].content ELSE {q.join("list_filter(list_transform(messages, lambda m: m.content), lambda c: c <> '')")} END AS query_text FROM x""",
-    "h3_embedding": "SELECT doc_id, 128 AS dims, (CASE WHEN length(text) >= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS norm FROM documents",
+    "h3_embedding": f"WITH {_VECTOR} SELECT doc_id, bucket, round(x, 6)::DOUBLE AS value FROM vec",
+    "h5_h6_two_level_lookup": f"WITH {_TWO_LEVELS} SELECT request_id, organization_id, match_type, entry_id, similarity FROM found",
+    "h5_h6_entry_hits": f"""WITH {_TWO_LEVELS} SELECT entry_id, count(*) AS hit_count, count(*) FILTER (match_type = 'semantic') AS semantic_hits,
+        make_timestamp(max(request_id) * 1000000) AS last_hit_at FROM found WHERE entry_id IS NOT NULL GROUP BY 1""",
     "h4_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "h5_exact_lookup": f"""WITH {AUDIT}, {_FIRST_HALF} SELECT id AS request_id, a.organization_id, f.prompt_hash IS NOT NULL AS hit, 'r' || first_id AS response_json
         FROM audit a LEFT JOIN f ON f.organization_id = a.organization_id AND f.prompt_hash = a.payload_hash WHERE day("timestamp") > 15""",
