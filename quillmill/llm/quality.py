@@ -36,7 +36,7 @@ RULES = (
     Rule("symbols per word", "symbol_ratio", None, 0.10),
     Rule("words with a letter", "letter_ratio", 0.60, None),
     Rule("stop words", "stop_ratio", 0.02, None),
-    Rule("repeated lines", "dup_line_ratio", None, 0.30),
+    Rule("repeated lines", "dup_line_ratio", None, 0.50),
     Rule("bullet lines", "bullet_ratio", None, 0.90),
     Rule("lines cut by an ellipsis", "ellipsis_ratio", None, 0.30),
 )
