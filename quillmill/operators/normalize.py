@@ -52,14 +52,19 @@ def normalise_responses(df: DataFrame, key: str = "request_id", raw: str = "raw"
 FENCE = r"```(?:json)?\s*([\s\S]*?)```"
 
 
+def compact(json: Column) -> Column:
+    """JSON text without blanks between its tokens; keys keep their order and numbers their digits."""
+    return F.regexp_replace(json, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")
+
+
 def reformat_json(df: DataFrame, text: str = "text", out: str = "text_out") -> DataFrame:
-    """Object or array text, or the fenced JSON in it, as canonical text; anything else unchanged."""
+    """Object or array text, or the fenced JSON in it, as compact text; anything else unchanged."""
     bare = strip(F.col(text))
     looks = bare.startswith("{") | bare.startswith("[")
-    return (df.withColumn("_v", F.when(looks, F.try_parse_json(bare)))
-            .withColumn("_f", F.when(looks & F.col("_v").isNull(),
-                                     F.try_parse_json(strip(F.regexp_extract(bare, FENCE, 1)))))
-            .withColumn(out, F.coalesce(F.to_json("_v"), F.to_json("_f"), F.col(text)))
+    fenced = strip(F.regexp_extract(bare, FENCE, 1))
+    return (df.withColumn("_v", F.when(looks, F.try_parse_json(bare)).isNotNull())
+            .withColumn("_f", F.when(looks & ~F.col("_v"), F.try_parse_json(fenced)).isNotNull())
+            .withColumn(out, F.when(F.col("_v"), compact(bare)).when(F.col("_f"), compact(fenced)).otherwise(F.col(text)))
             .drop("_v", "_f"))
 
 

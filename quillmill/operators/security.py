@@ -82,7 +82,7 @@ def clean_params(calls: DataFrame) -> DataFrame:
 
 def nesting(raw: Column) -> Column:
     """How deep a JSON text nests; strings do not count.  One walk over its brackets."""
-    bare = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    bare = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]+", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:

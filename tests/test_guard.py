@@ -133,6 +133,7 @@ def test_normalised_responses(spark):
 
 def test_json_and_layout(spark, docs, texts_of):
     assert texts_of(n.reformat_json(docs(' {"a" : 1} ', "[1, 2", "[x ```json\n{\"b\": 2}``` ", "text"))) == ['{"a":1}', "[1, 2", '{"b":2}', "text"]
+    assert texts_of(n.reformat_json(docs('{"b": 1.0, "a": 2, "s": "x  \\" y", "e": 1e5}'))) == ['{"b":1.0,"a":2,"s":"x  \\" y","e":1e5}']
     df = spark.createDataFrame([(1, [("system", "s"), ("assistant", "a"), ("tool", "t")])], "i int, messages array<struct<role:string,content:string>>")
     assert n.to_parts_layout(df).collect()[0]["payload"] == (
         '{"contents":[{"role":"model","parts":[{"text":"a"}]},{"role":"user","parts":[{"text":"t"}]}],"systemInstruction":{"parts":[{"text":"s"}]}}')
