@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
+from quillmill.functions.metrics import est_tokens
+from quillmill.functions.text import strip
 from quillmill.operators import promptcache as pc
 from quillmill.operators import routing as r
+from quillmill.operators.wordfilter import drop_stop_words_flat
+from quillmill.plans.gateway import gateway_audit
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
 from quillmill.suite.code import CODE as CODE_SQL
+from quillmill.suite.code import _MATRIX as _CODE_MATRIX
 from quillmill.suite.usage import AUDIT, KEYS, PROVIDERS, _HISTORY
 
 # Patterns without word borders, which the two engines define differently, and
@@ -109,6 +114,17 @@ def _embeddings(s, sf):
     return e.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).select("doc_id", "bucket", F.round("x", 6).alias("value"))
 
 
+def _gateway(s, sf):
+    asked = d.requests(s, sf).select("request_id", (F.col("conv_id") % 150 + 1).alias("api_key_id"), "messages",
+                                     F.timestamp_seconds(F.col("request_id")).alias("timestamp"))
+    given = d.requests(s, sf).filter("request_id % 19 <> 0").select(
+        "request_id", F.col("response").alias("content"), (F.col("request_id") % 700).cast("int").alias("prompt_tokens"),
+        est_tokens("response").alias("completion_tokens"))
+    rows = gateway_audit(asked, given, d.api_keys(s, sf), d.cascade_configs(s, sf), d.providers(s, sf),
+                         prose=lambda c: drop_stop_words_flat(c, d.DATA_STOP_WORDS), clean=strip, keywords=KEYWORDS)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("cost_original", "cost_actual", "cost_saved")}).drop("original_payload", "data_bytes_in")
+
+
 def _prompts(s, sf):
     """Documents as prompts of their language's team: even ids are cached, odd ones ask."""
     rows = documents(s, sf).select("doc_id", "lang", "text")
@@ -161,6 +177,7 @@ QUERIES = {
     "h5_exact_lookup": _exact,
     "h6_semantic_lookup": _semantic,
     "h5_h6_two_level_lookup": _two_level_lookup,
+    "m6_r10_gateway_audit": _gateway,
     "h5_h6_entry_hits": _entry_hits,
     "h7_upsert": _upsert,
     "h8_replay": lambda s, sf: pc.replay(d.audit(s, sf)),
@@ -269,6 +286,24 @@ SQL = {
     "h2_query_text": f"""WITH {_HISTORY}, x AS (SELECT request_id, messages, list_filter(messages, lambda m: m.role IN ('user', 'human')) AS u FROM req)
         SELECT request_id, CASE WHEN len(u) > 0 THEN u[-1].content ELSE {q.join("list_filter(list_transform(messages, lambda m: m.content), lambda c: c <> '')")} END AS query_text FROM x""",
     "h3_embedding": f"WITH {_VECTOR} SELECT doc_id, bucket, round(x, 6)::DOUBLE AS value FROM vec",
+    "m6_r10_gateway_audit": f"""WITH {_HISTORY}, {PROVIDERS}, {KEYS},
+        o AS (SELECT organization_id, min(provider_id) FILTER (is_default) AS dft, min(provider_id) AS any_id FROM provider WHERE is_active GROUP BY 1),
+        a AS (SELECT request_id AS id, (request_id // 1000) % 150 + 1 AS api_key_id, CASE WHEN request_id % 19 <> 0 THEN response END AS content, list_transform(messages, lambda m: m.content) AS cs FROM req),
+        b AS (SELECT *, len(list_filter(cs, lambda c: contains(c, '```') OR contains(c, 'def ') OR contains(c, 'class '))) > 0 AS code FROM a),
+        c AS (SELECT *, array_to_string(list_transform(cs, lambda c: CASE WHEN code THEN {_CODE_MATRIX['squeeze'].replace('text', 'c')} ELSE {q.flat_filter('c', d.DATA_STOP_WORDS)} END), ' ') AS sent FROM b),
+        e AS (SELECT c.*, user_id, k.organization_id, {q.tokens("array_to_string(cs, ' ')")}::INT AS t0, {q.tokens('sent')}::INT AS t1, linked_provider_id AS linked, dft, any_id,
+          len({q.words('sent')}) > 2000 OR regexp_matches(sent, '(?i){"|".join(KEYWORDS)}') OR contains(upper(sent), '[HEAVY]') OR contains(upper(sent), '[COMPLEX]') AS complex,
+          CASE WHEN n_nationkey % 4 <> 0 AND n_nationkey % 6 <> 5 THEN n_nationkey % 7 END AS cheap, CASE WHEN n_nationkey % 4 <> 0 AND n_nationkey % 3 <> 2 THEN (n_nationkey + 3) % 7 END AS heavy
+          FROM c LEFT JOIN api_key k ON k.api_key_id = c.api_key_id LEFT JOIN nation ON n_nationkey = k.organization_id LEFT JOIN o ON o.organization_id = k.organization_id),
+        f AS (SELECT e.*, coalesce(linked, CASE WHEN complex AND heavy IS NOT NULL THEN heavy WHEN NOT complex AND cheap IS NOT NULL THEN cheap ELSE dft END) AS wanted FROM e),
+        g AS (SELECT f.*, CASE WHEN s_suppkey IS NOT NULL THEN wanted ELSE any_id END AS pid FROM f LEFT JOIN supplier ON s_suppkey = wanted),
+        h AS (SELECT *, CASE WHEN pid IS NULL THEN 'No AI provider configured.' WHEN content IS NULL THEN 'No response.' END AS err FROM g),
+        i AS (SELECT *, CASE WHEN err IS NOT NULL THEN '[Gateway error: ' || err || ']' WHEN code THEN {_CODE_MATRIX['squeeze'].replace('text', 'content')} ELSE {q.trim('content')} END AS fin,
+          CASE WHEN err IS NULL THEN {q.tokens('content')}::INT ELSE 0 END AS tr, greatest(CASE WHEN content IS NULL THEN 0 ELSE id % 700 END, t1) AS billed FROM h),
+        j AS (SELECT *, t0 * 0.0000001400::DECIMAL(20,10) + tr * 0.0000002800::DECIMAL(20,10) AS c0, billed * 0.0000001400::DECIMAL(20,10) + tr * 0.0000002800::DECIMAL(20,10) AS c1 FROM i)
+        SELECT id, make_timestamp(id * 1000000) AS "timestamp", user_id, api_key_id, organization_id, pid AS ai_provider_id, 'gateway' AS source, CASE WHEN err IS NULL THEN 'success' ELSE 'error' END AS status,
+          err AS error_message, sent AS compressed_payload, fin AS final_response, t0 AS tokens_original, t1 AS tokens_compressed, tr AS tokens_response, {q.pct('t0', 't1')} AS compression_ratio,
+          c0::DECIMAL(10,6)::DOUBLE AS cost_original, c1::DECIMAL(10,6)::DOUBLE AS cost_actual, greatest(0, c0 - c1)::DECIMAL(10,6)::DOUBLE AS cost_saved, strlen(fin)::BIGINT AS data_bytes_out FROM j""",
     "h5_h6_two_level_lookup": f"WITH {_TWO_LEVELS} SELECT request_id, organization_id, match_type, entry_id, similarity FROM found",
     "h5_h6_entry_hits": f"""WITH {_TWO_LEVELS} SELECT entry_id, count(*) AS hit_count, count(*) FILTER (match_type = 'semantic') AS semantic_hits,
         make_timestamp(max(request_id) * 1000000) AS last_hit_at FROM found WHERE entry_id IS NOT NULL GROUP BY 1""",
