@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions.rows import unroll
 from quillmill.functions.skew import spread_join
-from quillmill.functions.text import WORD, let, pairs, plain_sentences, sentences, terms
-from quillmill.operators.ranking import carried, explode_sentences, unpacked
+from quillmill.functions.text import WORD, pairs, plain_sentences, sentences, terms
 from quillmill.operators.rules import PARAPHRASE, rewrite
+from quillmill.operators.segment import by_document
 
 # Similarity above which a sentence is redundant.
 REDUNDANT = 0.55
 REDUNDANT_PLAIN = 0.7
-# A prefix feature held by more sentences than this gets no lists of earlier holders.
-HEAVY = 256
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -28,111 +25,101 @@ def _jaccard(a: Column, b: Column) -> Column:
     return common / F.greatest(F.lit(1), F.size(a) + F.size(b) - common)
 
 
-def _distinct_sentences(feats: DataFrame) -> DataFrame:
-    """First sentence of each feature set, numbered densely.
+class _Kept:
+    """Feature sets kept so far, by feature; tells whether a new set is similar to one of them.
 
-    A sentence with the sets of an earlier one always falls with it, so only
-    the first can matter; this also keeps copied lines from pairing up.
-    Sentences without features come last and take no part.
+    Overlaps with all kept sets are counted from the lists of the new set's
+    features, so sets without a common feature cost nothing.
     """
-    first = feats.groupBy("_k", "_r", "w", "b").agg(F.min("pos").alias("pos"), F.first("doc", ignorenulls=True).alias("doc"))
-    empty = (F.size("w") == 0).cast("int")
-    return first.withColumn("idx", F.row_number().over(W.partitionBy("_k", "_r").orderBy(empty, "pos")) - 1)
-
 
-def _back_edges(first: DataFrame, threshold: float, heavy: int) -> DataFrame:
-    """Per sentence: feature ids by kind and the earlier sentences that may be similar.
+    def __init__(self):
+        self.holders: dict[int, array] = {}
+        self.sizes = array("q")
+
+    def near(self, features: np.ndarray, threshold: float) -> bool:
+        lists = [np.frombuffer(h, np.int64) for f in features.tolist() if (h := self.holders.get(f)) is not None]
+        if not lists:
+            return False
+        found = np.concatenate(lists)
+        if 4 * len(found) < len(self.sizes):
+            which, common = np.unique(found, return_counts=True)
+        else:
+            common = np.bincount(found)
+            which = np.flatnonzero(common)
+            common = common[which]
+        union = len(features) + np.frombuffer(self.sizes, np.int64)[which] - common
+        return bool((common / np.maximum(1, union) > threshold).any())
+
+    def add(self, features: np.ndarray) -> None:
+        for f in features.tolist():
+            self.holders.setdefault(f, array("q")).append(len(self.sizes))
+        self.sizes.append(len(features))
+
+
+def _accepted(threshold: float):
+    """Greedy pass over a document's sentences: one falls when similar, by words or by pairs, to a kept earlier one.
+
+    The column function has the positions that stay.  Sentences without words take no part.
+    """
+    def passed(words: list, pairs: list) -> list[int]:
+        by_word, by_pair, seen, kept = _Kept(), _Kept(), set(), []
+        for pos, (w, b) in enumerate(zip(words, pairs)):
+            if not len(w):
+                continue
+            same = w.tobytes()
+            if (same, b.tobytes()) in seen or by_word.near(w, threshold) or (len(b) and by_pair.near(b, threshold)):
+                continue
+            seen.add((same, b.tobytes()))
+            kept.append(pos)
+            by_word.add(w)
+            if len(b):
+                by_pair.add(b)
+        return kept
 
-    Two sets can only pass the threshold when they share a feature among the
-    first |x| - ceil(t|x|) + 1, rarest first.  Earlier holders of such a
-    feature come from a running window, so no pair becomes a row.
+    def run(words: pd.Series, pairs: pd.Series) -> pd.Series:
+        return pd.Series([passed(w, b) for w, b in zip(words, pairs)], dtype=object)
 
-    In templated text even the rarest features are common, and lists of earlier
-    holders would grow with the square of the document.  Such features make
-    their sentences ``heavy`` instead; the greedy pass compares those with the
-    kept heavy ones, which are few because templated sentences fall early.
-    """
-    tagged = F.concat(
-        F.transform("w", lambda f: F.struct(F.lit("w").alias("kind"), f.alias("f"))),
-        F.transform("b", lambda f: F.struct(F.lit("b").alias("kind"), f.alias("f"))))
-    feature = (first.select("_k", "_r", "idx", "pos", "doc", F.posexplode_outer(tagged).alias("fpos", "x"))
-               .select("_k", "_r", "idx", "pos", carried("fpos"), F.col("x.kind").alias("kind"), F.col("x.f").alias("f")))
-    freq = F.count("*").over(W.partitionBy("_k", "_r", "kind", "f"))
-    fid = F.dense_rank().over(W.partitionBy("_k", "_r", "kind").orderBy("freq", "f"))
-    ids = (feature.withColumn("freq", freq).withColumn("fid", fid).groupBy("_k", "_r", "idx", "pos", "kind")
-           .agg(F.sort_array(F.collect_list("fid")).alias("ids"), F.first("doc", ignorenulls=True).alias("doc")))
-    head = F.greatest((F.size("ids") - F.ceil(F.size("ids") * F.lit(threshold)) + 1).cast("int"), F.lit(1))
-    prefix = (ids.select("*", F.posexplode_outer(F.slice("ids", F.lit(1), head)).alias("ppos", "fid"))
-              .withColumn("doc", carried("ppos"))
-              .withColumn("ids", F.when(F.col("ppos") == 0, F.col("ids"))))
-    holders = W.partitionBy("_k", "_r", "kind", "fid")
-    before = holders.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    marked = (prefix.withColumn("heavy", F.count("*").over(holders) > heavy)
-              .withColumn("earlier", F.collect_list(F.when(~F.col("heavy"), F.col("idx"))).over(before)))
-    return (marked.groupBy("_k", "_r", "idx", "pos")
-            .agg(F.first(F.when(F.col("kind") == "w", F.col("ids")), ignorenulls=True).alias("w"),
-                 F.first(F.when(F.col("kind") == "b", F.col("ids")), ignorenulls=True).alias("b"),
-                 F.array_distinct(F.flatten(F.collect_list("earlier"))).alias("back"),
-                 F.max("heavy").alias("heavy"),
-                 F.first("doc", ignorenulls=True).alias("doc")))
-
-
-def _accepted(edges: DataFrame, threshold: float) -> DataFrame:
-    """Greedy pass in order: a sentence falls when similar to an accepted earlier one.
-
-    One row per document: doc and kept (positions).
-    """
-    row = F.struct("idx", "pos", "w", "b", "back", "heavy")
-    docs = edges.groupBy("_k", "_r").agg(
-        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), row))).alias("rows"),
-        F.first("doc", ignorenulls=True).alias("doc"))
+    return F.pandas_udf(run, "array<int>")
 
-    def similar(r: Column, q: Column) -> Column:
-        by_pair = F.when(r["b"].isNotNull() & q["b"].isNotNull(), _jaccard(r["b"], q["b"])).otherwise(0.0)
-        return (_jaccard(r["w"], q["w"]) > threshold) | (by_pair > threshold)
 
-    start = F.struct(F.array().cast("array<boolean>").alias("ok"), F.array().cast("array<int>").alias("heavy"))
+def _features(tokens: Column) -> Column:
+    """The distinct words of each sentence as hashes, in one order."""
+    return F.transform(tokens, lambda t: F.array_sort(F.array_distinct(F.transform(t, lambda w: F.xxhash64(w)))))
 
-    def step(acc: Column, r: Column) -> Column:
-        near = F.exists(r["back"], lambda p: F.get(acc["ok"], p) & similar(r, F.get("rows", p)))
-        common = r["heavy"] & F.exists(acc["heavy"], lambda p: similar(r, F.get("rows", p)))
-        return let(near | common, lambda fallen: F.struct(
-            F.array_append(acc["ok"], ~fallen).alias("ok"),
-            F.when(r["heavy"] & ~fallen, F.array_append(acc["heavy"], r["idx"])).otherwise(acc["heavy"]).alias("heavy")))
 
-    flags = F.aggregate("rows", start, step, lambda acc: acc["ok"])
-    marked = F.zip_with("rows", flags, lambda r, f: F.struct(r["pos"].alias("pos"), f.alias("ok")))
-    return docs.select("_k", "_r", "doc", F.transform(F.filter(marked, lambda m: m["ok"]), lambda m: m["pos"]).alias("kept"))
+def _picked(kept: Column) -> Column:
+    return F.array_join(F.transform(kept, lambda i: F.get("_ss", i)), " ")
 
 
 def drop_redundant(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-                   threshold: float = REDUNDANT, heavy: int = HEAVY, spread: bool = True) -> DataFrame:
+                   threshold: float = REDUNDANT, spread: bool = True) -> DataFrame:
     """Drop sentences too similar, by words or by word pairs, to a kept earlier one.
 
     Paraphrase markers go first; up to two sentences stay untouched; sentences
-    without a word of three characters are dropped.  One shuffle in all.
+    without a word of three characters are dropped.  Column functions make the
+    features; the pass, whose every step rests on the ones before, runs over
+    their hashes in the row.  Texts are spread by key, nothing else moves.
     """
     staged = df.withColumn("_s", rewrite(F.col(text), PARAPHRASE))
-    rows = explode_sentences(staged, key, sentences(F.col("_s")), spread=spread)
+    base = (by_document(staged, key) if spread else staged).withColumn("_ss", sentences(F.col("_s")))
     # Short documents take part without features.
-    tokens = rows.withColumn("t", F.when(F.col("n") > 2, terms(F.col("s"), 3)).otherwise(_none()))
-    feats = tokens.select("_k", "_r", "doc", "pos", F.sort_array(F.array_distinct("t")).alias("w"),
-                          F.sort_array(F.array_distinct(pairs(F.col("t")))).alias("b"))
-    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
-    chosen = F.array_join(F.transform("kept", lambda i: F.get("doc.ss", i)), " ")
-    return unpacked(kept, key, F.when(F.size("doc.ss") <= 2, F.col("doc._s")).otherwise(chosen).alias(out)).drop("_s")
+    tokens = F.when(F.size("_ss") > 2, F.transform("_ss", lambda s: terms(s, 3))).otherwise(F.array().cast("array<array<string>>"))
+    marked = base.withColumn("_t", tokens).withColumns(
+        {"_w": _features(F.col("_t")), "_b": _features(F.transform("_t", lambda t: pairs(t)))})
+    done = marked.withColumn("_k", _accepted(threshold)("_w", "_b"))
+    return done.withColumn(out, F.when(F.size("_ss") <= 2, F.col("_s")).otherwise(_picked(F.col("_k")))).drop(
+        "_s", "_ss", "_t", "_w", "_b", "_k")
 
 
 def drop_redundant_plain(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text_out",
-                         threshold: float = REDUNDANT_PLAIN, heavy: int = HEAVY) -> DataFrame:
+                         threshold: float = REDUNDANT_PLAIN) -> DataFrame:
     """Variant: words of any length only; sentences without words are kept."""
-    rows = explode_sentences(df, key, plain_sentences(F.col(text)))
-    feats = rows.select("_k", "_r", "doc", "pos", F.sort_array(F.array_distinct(terms(F.col("s")))).alias("w"),
-                        _none().alias("b"))
-    kept = _accepted(_back_edges(_distinct_sentences(feats), threshold, heavy), threshold)
-    wordless = F.filter(F.transform("doc.ss", lambda s, i: F.when(F.size(terms(s)) == 0, i)), lambda i: i.isNotNull())
-    stays = F.transform(F.array_sort(F.concat("kept", wordless)), lambda i: F.get("doc.ss", i))
-    return unpacked(kept, key, F.array_join(stays, " ").alias(out))
+    base = by_document(df, key).withColumn("_ss", plain_sentences(F.col(text)))
+    marked = base.withColumn("_w", _features(F.transform("_ss", lambda s: terms(s))))
+    none = F.transform("_w", lambda w: F.array().cast("array<bigint>"))
+    done = marked.withColumn("_k", _accepted(threshold)(F.col("_w"), none))
+    wordless = F.filter(F.transform("_w", lambda w, i: F.when(F.size(w) == 0, i)), lambda i: i.isNotNull())
+    return done.withColumn(out, _picked(F.array_sort(F.concat("_k", wordless)))).drop("_ss", "_w", "_k")
 
 
 def first_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
