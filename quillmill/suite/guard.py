@@ -136,8 +136,10 @@ map AS (SELECT doc_id, entity_type, value AS original_value, pos, '[' || entity_
 
 
 _PLAIN = _detect(v.PATTERNS)
-_CUSTOM = _detect(v.active_patterns(None, CUSTOM))
-_ORDER = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(v.active_patterns(None, CUSTOM))) + " END"
+# Without the engine's check of custom patterns, which needs a session.
+_WITH_CUSTOM = {**dict(v.custom_lines(CUSTOM)), **v.PATTERNS}
+_CUSTOM = _detect(_WITH_CUSTOM)
+_ORDER = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(_WITH_CUSTOM)) + " END"
 _MASKED = """ms AS (SELECT raw.doc_id, list(coalesce(placeholder, value) ORDER BY raw.pos) AS ps, count(DISTINCT placeholder) AS n FROM raw
   LEFT JOIN map ON map.doc_id = raw.doc_id AND map.entity_type = raw.entity_type AND original_value = value GROUP BY 1)
 SELECT d.doc_id, CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_transform(list_zip(gaps, ps), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') END AS clean_content
