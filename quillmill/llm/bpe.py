@@ -16,7 +16,7 @@ from quillmill.llm.common import map_rows, worker_held
 
 WORD_END = "</w>"
 #: Encoded words a task remembers; the oldest half is forgotten beyond it, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 # White space, letters newer than Python's tables with their lower case, printable bytes.
 SPACE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -146,8 +146,8 @@ def vocabulary(path: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
-                     with_text: bool = False) -> DataFrame:
-    """One row per input row: n_tokens, digests of ids and decoded text, and with ``with_text`` both themselves.
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: n_tokens, digests of ids and decoded text, and themselves (ids, decoded) if in ``keep``.
 
     The vocabulary (a few MB, by its file's size) is broadcast.  Null texts count
     as empty: no tokens, empty decoded text.  Rows are independent.
@@ -158,18 +158,16 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def make(keys, texts):
         codec = worker_held("codec", tag, lambda: Codec(json.loads(shared.value[0]), *shared.value[1:]))
         out = {"doc_id": keys, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        if with_text:
-            out |= {"ids": [], "decoded": []}
+        out |= {k: [] for k in keep}
         for t in texts:
             ids, n, decoded = codec.encode(t or "")
             ids, decoded = " ".join(ids), " ".join(decoded)
             out["n_tokens"].append(n)
             out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            if with_text:
-                out["ids"].append(ids)
-                out["decoded"].append(decoded)
+            for k in keep:
+                out[k].append(ids if k == "ids" else decoded)
         yield out
 
-    more = ", ids string, decoded string" if with_text else ""
+    more = "".join(f", {k} string" for k in keep)
     return map_rows(docs, [key, text], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more, make)

@@ -61,7 +61,7 @@ def test_rows(spark):
     import hashlib
 
     df = spark.createDataFrame([(1, "Hello world"), (None, None), (2, ""), (2, "")], "doc_id long, text string")
-    got = encode_documents(df, PATH, with_text=True).collect()
+    got = encode_documents(df, PATH, keep=("ids", "decoded")).collect()
     none = hashlib.sha256(b"").hexdigest()
     assert got[0].n_tokens == 2 and got[0].decoded == library()("Hello world")[2]
     assert [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got[1:]] == [(None, 0, none, none), (2, 0, none, none), (2, 0, none, none)]
