@@ -50,12 +50,13 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long); null and blank texts have fingerprint zero."""
+    """doc_id, fp (the fingerprint as a signed long) and mark (a hash of the text); null and blank texts have fingerprint zero."""
 
-    def make(keys, texts):
-        yield {"doc_id": keys, "fp": [signed(fingerprint(t, width)) for t in texts]}
+    def make(keys, texts, marks):
+        yield {"doc_id": keys, "fp": [signed(fingerprint(t, width)) for t in texts], "mark": marks}
 
-    return map_rows(docs, [key, text], "doc_id long, fp long", make)
+    return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")),
+                    ["doc_id", "text", "mark"], "doc_id long, fp long, mark long", make)
 
 
 def segments(count: int, radius: int) -> list[tuple[int, int, int]]:
@@ -203,36 +204,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     fingerprints (16 bytes a row) are written once to the shared folder, since
     they are read for the index and again for the result.
     """
+    marked = stored_fingerprints(docs, key, text)
+    return marked.join(labelled(marked, radius), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def stored_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "simhash")
     fingerprints(docs, key, text).write.parquet(path)
-    marked = spark.read.parquet(path)
-    return marked.join(labelled(marked, radius), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spark.read.parquet(path)
 
 
 def labelled(marked: DataFrame, radius: int = 4) -> DataFrame:
-    """fp, component_id for each distinct fingerprint of doc_id, fp."""
+    """fp, root (one fingerprint of its group), component_id for each distinct fingerprint of doc_id, fp."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = components(near_links(nodes.select("fp"), radius))  # node, root: linked fingerprints only
     grouped = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return grouped.join(least, "root").select("fp", "component_id")
+    return grouped.join(least, "root").select("fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """The rows of ``docs`` without those that copy another: of a group the row with the smallest id stays.
 
-    Of rows that share this id the first by text stays.  Groups of null ids keep
-    one row too.  Only ids and fingerprints move until the rows that stay are
-    known; then each is joined to its row.
+    Of rows that share this id the first by a hash of the text stays, and of equal
+    rows one; a group of null ids keeps a row too.  Only ids and hashes move until
+    the rows that stay are known; then each is joined to its row.
     """
-    groups = near_duplicates(docs, key, text, radius)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
-    kept = docs.join(keepers, F.col(key).eqNullSafe(F.col("_id")))
-    single = kept.where("_rows = 1").select(*docs.columns)
-    first = kept.where("_rows > 1").groupBy(F.col("_id").alias("_g")).agg(
-        F.min_by(F.struct(*docs.columns), F.struct(F.col(text), F.xxhash64(*docs.columns))).alias("_r")).select("_r.*")
-    return single.unionByName(first)
+    marked = stored_fingerprints(docs, key, text)
+    rows = marked.join(labelled(marked, radius), "fp").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("k"))
+    keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_hash"), F.col("k.n").alias("_rows"))
+    whole = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.struct("*").alias("row"))
+    kept = whole.join(keepers, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_hash")))
+    equal = kept.where("_rows > 1").groupBy("_id", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.where("_rows = 1").select("row").union(equal.select("row")).select("row.*")

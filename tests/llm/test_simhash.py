@@ -100,3 +100,13 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """An id occurs in two groups: each group keeps one row, and clashing columns stay as they are."""
+    a, b = " ".join(f"alpha{i}" for i in range(50)), " ".join(f"beta{i}" for i in range(50))
+    rows = [(3, a, "r", 1), (5, a, "r", 2), (5, b, "r", 3), (9, b, "r", 4), (None, "only this", "r", 5), (7, None, "r", 6), (7, "", "r", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, _id long")
+    got = S.one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in got.collect()) == [(0, "only"), (3, "alph"), (5, "beta"), (7, "")]
