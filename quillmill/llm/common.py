@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import sys
 import types
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 500
 
 
 def words_of(text: Column) -> Column:
@@ -29,9 +34,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[..., Iterator[dict]], **given) -> DataFrame:
-    """Rows made by ``make(lists, **given)`` from Arrow batches of the named columns.
+    """Rows made by ``make(lists, **given)`` from slices of Arrow batches of the named columns.
 
-    ``make`` gets the columns of one batch as Python lists and yields dicts of
+    ``make`` gets the columns of one slice as Python lists and yields dicts of
     lists, one per output batch.  Batches stream, so a task holds one at a time.
     """
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -41,8 +46,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[...,
 
     def run(batches):
         for batch in batches:
-            for out in make(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], **given):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for out in make(*[part.column(i).to_pylist() for i in range(part.num_columns)], **given):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -51,13 +59,24 @@ def worker_held(slot: str, tag, make: Callable):
     """What ``make`` gave this worker process for the slot, made anew when the tag changes.
 
     Functions travel to workers by value, so a module-level cache would last for one task only.
+    Tagged things go when another slot's come, so a worker keeps one operator's.
     """
     held = sys.modules.setdefault("quillmill_worker_held", types.ModuleType("quillmill_worker_held")).__dict__
     if held.get(slot, (None,))[0] != tag:
+        for other in [k for k, v in held.items() if isinstance(v, tuple) and v[0]]:
+            del held[other]
         held[slot] = (tag, make())
     return held[slot][1]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay for later tasks, and other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def span_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     """``kind:start:end`` by start, then by the order of ``kinds``; spans hold (start, index of kind, end)."""
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(spans))

@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import sha256_hex, span_text
+from quillmill.llm.common import give_back, sha256_hex, span_text
 from quillmill.session import fresh_path
 
 KINDS = ("email", "ip", "card", "phone", "number", "account", "name")
@@ -194,11 +195,17 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base (an array of start, kind, end) and more (start, kind, end, votes, features); both empty for null."""
     kinds = "struct<base:array<array<int>>,more:array<array<int>>>"
 
-    @F.pandas_udf(kinds)
-    def mark(texts: pd.Series) -> pd.DataFrame:
-        base = [base_spans(t or "") for t in texts]
-        more = [candidates(t or "", b) for t, b in zip(texts, base)]
-        return pd.DataFrame({"base": [list(map(list, b)) for b in base], "more": [list(map(list, m)) for m in more]})
+    target = pa.struct([("base", pa.list_(pa.list_(pa.int32()))), ("more", pa.list_(pa.list_(pa.int32())))])
+
+    @F.arrow_udf(kinds)
+    def mark(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            body = t.as_py() or ""
+            base = base_spans(body)
+            rows.append({"base": base, "more": candidates(body, base)})
+        give_back()
+        return pa.array(rows, target)
 
     return docs.withColumn("_found", mark(text))
 
@@ -251,9 +258,11 @@ def masked(docs: DataFrame, text: str = "text", count: str = "n_chars") -> DataF
     """
     decided = decisions(marked(docs.select(text), text))
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else replaced(t, decided) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        out = pa.array([replaced(t.as_py(), decided) if t.is_valid else None for t in texts], pa.string())
+        give_back()
+        return out
 
     out = docs.withColumn(text, mask(text))
     return out.withColumn(count, F.length(text).cast(docs.schema[count].dataType)) if count in docs.columns else out

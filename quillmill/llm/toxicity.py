@@ -10,12 +10,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import map_rows, worker_held
+from quillmill.llm.common import give_back, map_rows, worker_held
 
 # What letters a writer may mean by a sign.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -28,13 +27,13 @@ SYMBOLS = 28
 SLICE = 1 << 20
 #: Most labelled rows that the lexicon is learned from (by a hash of the id), and restored tokens a task remembers.
 SAMPLE = 40_000
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are learned beside whole words, and how many words make a beginning frequent.
 STEMS = (4, 5, 6)
 OFTEN = 3
 #: Tallies that a task keeps before it sends them on.
-TALLIES = 200_000
+TALLIES = 100_000
 
 
 def symbol_codes() -> np.ndarray:
@@ -204,9 +203,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "d
     """
     spark = docs.sparkSession
     rows = training_rows(labels, key, sample)
-    chosen = docs.where(F.col(text).isNotNull()).join(
-        F.broadcast(rows.withColumnRenamed("doc_id", "_id")), F.col(key) == F.col("_id")).select(
-        F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    chosen = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     shared = spark.sparkContext.broadcast(model)
 
     def signed(ids, texts, toxic):
@@ -231,6 +229,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "d
                     yield packed(sums)
                     sums = {}
         yield packed(sums | {"": texts})
+        give_back()
 
     tallies = chosen.join(F.broadcast(kept), F.col("doc_id") == F.col("_id")).select("text", "_toxic").mapInArrow(
         counted, "word string, clean long, toxic long").groupBy("word").agg(
@@ -276,11 +275,13 @@ def flag_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast((model, listed, base))
     tag = uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         lm, words, share = shared.value
         reader = worker_held("restorer", tag, lambda: Restorer(lm))
-        return pd.Series([rate(*reader.read(t or ""), words, share) for t in texts], dtype="float64")
+        out = pa.array([rate(*reader.read(t.as_py() or ""), words, share) for t in texts], pa.float64())
+        give_back()
+        return out
 
     return docs.withColumn("score", score(text)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
