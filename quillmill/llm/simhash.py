@@ -234,7 +234,12 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     the rows that stay are known; then each is joined to its row.
     """
     marked = stored_fingerprints(docs, key, text)
-    rows = marked.join(labelled(marked, radius), "fp").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    return rows_that_stay(docs, marked.join(labelled(marked, radius), "fp"), key, text)
+
+
+def rows_that_stay(docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``marked`` (doc_id, mark, root), as ``one_of_each_group`` says."""
+    rows = marked.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("k"))
     keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_hash"), F.col("k.n").alias("_rows"))
     whole = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_mark"), F.struct("*").alias("row"))
