@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -25,18 +26,46 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
+
+
+def letter_class(kinds: tuple[str, ...]) -> str:
+    """The code points of Unicode categories as the inside of a regex class; capitals and small letters end below U+1F000."""
+    spans: list[list[int]] = []
+    for c in range(0x1F000):
+        if unicodedata.category(chr(c)) in kinds:
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+# Parts of names: capital and small letters of every script that has them, also with combining marks.
+UPPER, LOWER = letter_class(("Lu", "Lt")), letter_class(("Ll", "Mn"))
+INITIAL = rf"(?:[{UPPER}]\.(?:-?[{UPPER}]\.)*+)"
+PARTICLE = r"(?:von|van|der|den|zu|zum|zur|de|del|della|di|da|dos|das|du|des|la|las|le|los|y|al|el|bin|ibn|ten|ter)"
+PART = rf"[{UPPER}](?:['’][{UPPER}])?+[{LOWER}]++(?:['’-]?[{UPPER}][{LOWER}]++)*+"
+SHORT_PART = rf"[{UPPER}](?:['’][{UPPER}])?[{LOWER}]{{1,14}}(?:['’-]?[{UPPER}][{LOWER}]{{1,14}})*"
+NOT_NAMES = r"(?:Dear|Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|Contact|Hello|Hi|Name)"
+
+
+def name_pattern(part: str) -> str:
+    """Two to four parts or initials, the last a part, with particles between."""
+    return rf"(?:{part}|{INITIAL})(?:\x20(?:{INITIAL}|{PARTICLE}(?=\x20))){{0,3}}\x20{part}(?:\x20{part}){{0,2}}"
+
+
 #: Candidates of the kinds that the votes decide.
 CANDIDATES = {
     "number": re.compile(r"(?<![\w.+(-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![\w-]|\.[0-9])"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "name": re.compile(r"(?<![^\s(\"'])(?!(?:Dear|Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Contact|Hello|Hi|Name)\b)[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?![^\s.,;:!?)\"'])"),
+    "name": re.compile(rf"(?<![^\s(\"'«“„‘¿¡])(?!{NOT_NAMES}\b){name_pattern(PART)}(?![^\s.,;:!?)\"'»”’…])"),
 }
 
 # Shapes, gazetteer and context words of the labelers.
 SHAPES = {
     "number": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{1,4}(?:[\x20.-][0-9]{2,4}){2,4}"),
     "account": re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z]{2}[0-9]{13,30}"),
-    "name": re.compile(r"[A-Z][a-z]{2,11}\x20[A-Z][a-z]{2,14}"),
+    "name": re.compile(name_pattern(SHORT_PART)),
 }
 GIVEN_NAMES = frozenset((
     "james mary john anna maria peter paul thomas michael sarah laura david daniel emma julia lena lukas hans klaus "
@@ -93,10 +122,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def bare(name: str) -> str:
+    """In small letters and without accents, as the list has its names."""
+    return "".join(c for c in unicodedata.normalize("NFD", name.lower()) if unicodedata.category(c) != "Mn")
+
+
 def gazetteer(kind: str, value: str) -> int:
     """1 if a list knows the value, 0 if it contradicts, -1 without an opinion."""
     if kind == "name":
-        return 1 if value.split(" ")[0].lower() in GIVEN_NAMES else 0
+        return 1 if bare(re.split(r"[\x20-]", value, maxsplit=1)[0]) in GIVEN_NAMES else 0
     if kind == "account":
         return int(value[:2] in BANK_LANDS)
     return 1 if DIGIT.search(value) and "".join(DIGIT.findall(value))[:3] in AREA_CODES else -1
@@ -169,8 +203,8 @@ def train(tally: pd.DataFrame) -> dict[tuple[int, int, int], bool]:
 
     ``tally`` counts candidates by kind, votes and features, at most 27 x 64 rows a
     kind.  EM gives each vote pattern a posterior; a naive Bayes classifier over
-    features and votes is trained on the posteriors as soft labels.  A span needs a
-    vote for it, so unvoted prose stays.
+    features and votes is trained on the posteriors as soft labels.  Its odds decide; a
+    span needs a vote for it, so unvoted prose stays, and two if a vote is against it.
     """
     decided = {}
     for kind, rows in tally.groupby("kind"):
@@ -187,7 +221,7 @@ def train(tally: pd.DataFrame) -> dict[tuple[int, int, int], bool]:
             p = min(max(post[v], 1e-9), 1 - 1e-9)
             odds = math.log(p / (1 - p)) + 0.5 * sum(logodds[b, f >> b & 1] for b in range(6))
             seen = [(v // 3 ** k) % 3 for k in range(3)]
-            decided[int(kind), int(v), int(f)] = odds > 0 and seen.count(1) >= 2
+            decided[int(kind), int(v), int(f)] = odds > 0 and seen.count(1) > min(1, seen.count(0))
     return decided
 
 

@@ -84,3 +84,19 @@ def test_rows_and_masking(spark):
 def test_overlapping_spans_are_joined():
     t = "card 4111111111111111 and +4111111111111 end"
     assert P.replaced(t, {}) == "card [card] and [phone] end"
+
+
+def test_names_of_all_letters_and_numbers_without_context(spark):
+    names = ["Herr Jürgen Müller kam.", "Madame Hélène Dupont, oui.", "Dear María López, hola.", "Mr J. R. Tolkien wrote.", "Frau Anna-Lena Groß-Weber sagt.",
+             "Dear Maria Elena Lopez, hello.", "Mrs Sinéad O'Neill said.", "Herr Łukasz von der Heide kam.", "Dear Жанна Петрова, hi.", "Dear Zoe\u0301 Garci\u0301a, hi."]
+    numbers = ["123-45-6789", "646-555-0147", "030 1234 5678", "06 12 34 56 78"]
+    clean = ["The river ran along the bank. It was 12 miles long in 1999, and cost 3.50. See page 12-14.",
+             "The United States and New York. Der Große Garten am Alten Fluss, 2024-01-05, 12 34 boats.", "Éric Rohmer Straße ist lang. Size 10-20-30 or 15.30."]
+    texts = planted() + [(1000 + i, t) for i, t in enumerate(names * 5)] + [(2000 + i, f"and {n} here") for i, n in enumerate(numbers * 5)]
+    texts += [(3000 + i, t) for i, t in enumerate(clean * 20)]
+    got = {r.doc_id: r.text for r in P.masked(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    titles = ("Herr", "Madame", "Dear", "Mr", "Frau", "Mrs")
+    for i, t in enumerate(names):
+        assert got[1000 + i].startswith(tuple(f"{x} [name]" for x in titles)) and len(got[1000 + i].split()) <= 4, (t, got[1000 + i])
+    assert [got[2000 + i] for i in range(4)] == ["and [number] here"] * 4
+    assert [got[3000 + i] for i in range(3)] == clean
