@@ -31,7 +31,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",   # UUID
     r"[A-Za-z]+",                                              # a long word
-    r"[a-z]+(?:[-_/][a-z0-9]+)*",                              # slugs and paths
+    r"[a-z]{1,19}(?:[-_/](?:[a-z]{1,19}[0-9]{0,4}|[0-9]{1,8}[a-z]{0,2}))*",  # slugs and paths of words under a window's width
     r"[0-9+=_/-]+",                                            # numbers and rules
     r"(?:sha1|sha256|sha384|sha512|md5)[-_=]?[A-Za-z0-9+/=]+",  # digests that say so
 )

@@ -63,3 +63,11 @@ def test_rows(spark):
 def test_long_texts():
     S.base_spans("a" * 300_000 + "password=" * 1000)
     assert len(S.base_spans("0" * 300_000)) == 1
+
+
+def test_lower_case_keys_are_no_slugs():
+    quiet = re.compile("|".join(f"(?:{p})" for p in S.ALLOWED))
+    for key in ("key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "sk-t8xq2vz9m4kr7wp1yc6jd3hn5bfg0las", "npm_x7q9zk2v4m8t1r5w3y6p0jdhb"):
+        assert S.entropy_spans(f"use {key} now", quiet), key
+    for clean in ("how-to-write-a-page-in-2024-part2", "docs/guides/python3/quick_start_1", "report-2024-01-15-final-v12", "the-2nd-best-way-to-do-this"):
+        assert S.entropy_spans(f"see {clean} here", quiet) == [], clean
