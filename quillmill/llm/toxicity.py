@@ -20,7 +20,10 @@ from quillmill.llm.common import give_back, map_rows, worker_held
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "*": string.ascii_lowercase}
 EDGES = string.punctuation.replace("@", "").replace("$", "") + "…«»“”„¿¡–—"
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:(?: |[.\-_*])[a-z0-9@$!](?![^\W_])){2,}")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:[\s.\-_*]+?(?:[^\W_]|[@$!|+(*])(?![^\W_])){2,}")
+#: A star among other separators, which may stand for a letter.
+STAR = re.compile(r"(?:^|(?<=[\s.\-_]))\*(?=[\s.\-_]|$)")
+RUN, EACH = re.compile(r"(.)\1+"), re.compile(r"(.)\1*")
 TRIPLES = tuple(c * 3 for c in string.ascii_lowercase)
 #: Symbols of the language model: border, a-z, any other letter.
 SYMBOLS = 28
@@ -85,8 +88,11 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log(p3)
 
 
-def lattice(token: str) -> list[tuple[str, ...]]:
-    """The strings each position of a token may mean: letters for signs, one or two letters for three or more alike."""
+def lattice(token: str, pairs: bool = True) -> list[tuple[str, ...]]:
+    """The strings each position of a token may mean: letters for signs, one or two letters for two or more alike.
+
+    Without ``pairs`` two alike stay two.
+    """
     found, i = [], 0
     while i < len(token):
         j = i
@@ -95,6 +101,8 @@ def lattice(token: str) -> list[tuple[str, ...]]:
         options = SIGNS.get(token[i], token[i])
         if j - i >= 3:
             found.append((*options, *[o * 2 for o in options]))
+        elif pairs and j - i == 2:
+            found.append((*options, *[a + b for a in options for b in options]))
         else:
             found += [tuple(options)] * (j - i)
         i = j
@@ -106,16 +114,16 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.logp = model.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     @staticmethod
     def symbol(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
-    def viterbi(self, token: str) -> str:
+    def viterbi(self, token: str, pairs: bool = True) -> str:
         """The best path through the lattice; a state is the last two symbols, ties go to the first option."""
         states = {(0, 0): (0.0, None)}
-        for options in lattice(token):
+        for options in lattice(token, pairs):
             following: dict = {}
             for (a, b), (score, path) in states.items():
                 for option in options:
@@ -134,12 +142,14 @@ class Restorer:
             out.append(option)
         return "".join(reversed(out))
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str) -> tuple[str, ...]:
+        """The likeliest letters with two alike as two, and with two alike as one or two if that differs."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            got = self.known[token] = self.viterbi(token)
+            ways = (False, True) if RUN.search(token) else (False,)
+            got = self.known[token] = tuple(dict.fromkeys(self.viterbi(token, pairs) for pairs in ways))
         return got
 
     def read(self, text: str) -> tuple[set[str], list[str]]:
@@ -159,11 +169,31 @@ class Restorer:
                 words.update(w for w in re.split(r"[\W\d_]+", t) if w)
         if any(c in low for c in TRIPLES):
             disguised.update(w for w in words if any(c in w for c in TRIPLES))
-        words.update(self.restore(t) for t in disguised if any(map(str.isalpha, t)))
-        spaced = [self.restore(re.sub(r"[ .\-_*]", "", m.group())) for m in SPACED.finditer(low)]
+        words.update(w for t in disguised if any(map(str.isalpha, t)) for w in self.restore(t))
+        spaced = []
+        for m in SPACED.finditer(low):
+            run = m.group()
+            plain = {re.sub(r"[\s.\-_*]+", "", run)}
+            if "*" in run and STAR.search(run):
+                plain.add(re.sub(r"[\s.\-_]+", "", run))
+            spaced += [w for t in sorted(plain) if t for w in self.restore(t)]
         return words, spaced
 
 
+def fewer_letters(word: str, of: str) -> bool:
+    """Whether ``word`` is ``of`` with some repeated letters fewer times; both are equal without repetition."""
+    return all(len(a.group()) <= len(b.group()) for a, b in zip(EACH.finditer(word), EACH.finditer(of)))
+
+
+def by_letters(listed: dict[str, float]) -> dict[str, list[str]]:
+    """Listed words by what they are without repetition."""
+    found: dict[str, list[str]] = {}
+    for w in listed:
+        if "~" not in w:
+            found.setdefault(RUN.sub(r"\1", w), []).append(w)
+    return found
+
+
 def marks(words: set[str]) -> set[str]:
     """What a text is judged by: its words, their beginnings as ``stem~``, and ``stem~~`` for those of several words."""
     found = set(words)
@@ -255,9 +285,17 @@ def lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "d
     return listed, base
 
 
-def rate(words: set[str], spaced: list[str], listed: dict[str, float], base: float) -> float:
-    """The highest share of a listed mark that the text has; half the overall share without any."""
+def rate(words: set[str], spaced: list[str], listed: dict[str, float], base: float,
+         plain: dict[str, list[str]] | None = None) -> float:
+    """The highest share of a listed mark that the text has; half the overall share without any.
+
+    A word with repeated letters also counts as each listed word that has fewer of them; ``plain`` is ``by_letters(listed)``.
+    """
+    plain = by_letters(listed) if plain is None else plain
     hits = marks(words) & listed.keys()
+    for w in words:
+        if RUN.search(w):
+            hits.update(x for x in plain.get(RUN.sub(r"\1", w), ()) if fewer_letters(x, w))
     hits.update(w for run in spaced for w in listed if len(w) > 3 and w in run)
     return max((listed[w] for w in hits), default=0.5 * base)
 
@@ -272,14 +310,14 @@ def flag_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """
     model = language_model(docs, text)
     listed, base = lexicon(docs, labels, model, key, text, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((model, listed, base))
+    shared = docs.sparkSession.sparkContext.broadcast((model, listed, base, by_letters(listed)))
     tag = uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        lm, words, share = shared.value
+        lm, words, share, plain = shared.value
         reader = worker_held("restorer", tag, lambda: Restorer(lm))
-        out = pa.array([rate(*reader.read(t.as_py() or ""), words, share) for t in texts], pa.float64())
+        out = pa.array([rate(*reader.read(t.as_py() or ""), words, share, plain) for t in texts], pa.float64())
         give_back()
         return out
 

@@ -96,3 +96,24 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     got = T.score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out")
     t = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert t[1, 1] / (t[1, 1] + t.get((1, 0), 0)) > 0.85 and t[0, 0] / (t[0, 0] + t.get((0, 1), 0)) > 0.97
+
+
+def test_spaced_letters_of_all_alphabets_and_separators():
+    r = T.Restorer(model(["idiot moron stupid scheiße estúpido the river ran along"] * 20))
+    for shown, word in (("s c h e i ß e", "scheiße"), ("e s t ú p i d o", "estúpido"), ("i  d  i  o  t", "idiot"), ("i\nd\ti - o\n\nt", "idiot"),
+                        ("s + u p | d", "stupid"), ("$ t u p ! d", "stupid"), ("m o r * n", "moron"), ("m * o * r * o * n", "moron"), ("m-o-r-o-n!", "moron")):
+        assert any(word in s for s in r.read(f"you {shown}, go")[1]), (shown, r.read(f"you {shown}, go"))
+
+
+def test_repeated_letters_count_as_fewer(spark):
+    draw = random.Random(4)
+    plain = "river stone house water green field morning light paper window letter street".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = [draw.choice(plain) for _ in range(draw.randint(10, 60))] + ([draw.choice(["moron", "idiot", "stupid", "asshat"])] if i % 5 == 0 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    hidden = ["so stuupid", "an idiiot", "asshhat", "a sttuupiidd one", "you 1d11ot", "an i  d  i  o  t", "letter street", "asht"]
+    docs = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate(hidden)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in T.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[1000 + k] for k in range(len(hidden))] == [1, 1, 1, 1, 1, 1, 0, 0]
