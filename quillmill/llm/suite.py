@@ -76,9 +76,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.digest_index import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.merkle import proofs, tampered_text
+
+    return proofs(table(spark, sf_dir, "documents"), {"text": tampered_text()})
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_secret_scans, op3_pii, op4_mixing, op5_language_id, op6_bpe, op7_exact_top_k, op8_simhash,
-    op9_suffix_array_dedup, op10_toxicity)}
+    op9_suffix_array_dedup, op10_toxicity, op11_exact_dedup, op12_merkle_manifest, op13_embedding_whitening)}
 
 
 def _quality_sql() -> str:
@@ -163,5 +181,59 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+def _merkle_sql() -> str:
+    def digest(text: str) -> str:
+        values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+    def levels(name: str, base: str) -> str:
+        return f"""{name} AS ({base} UNION ALL
+       SELECT grp, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (
+         SELECT *, count(*) OVER (PARTITION BY grp, level) AS c FROM {name}) WHERE c > 1 GROUP BY grp, level, pos // 3)"""
+
+    def sides(name: str, of: str) -> str:
+        return f"""{name} AS (SELECT grp, level, pos, c, h,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM (
+         SELECT *, count(*) OVER (PARTITION BY grp, level) AS c FROM {of}) WINDOW w AS (PARTITION BY grp, level, pos // 3 ORDER BY pos))"""
+
+    def way(name: str, base: str, of: str) -> str:
+        return f"""{name} AS ({base} UNION ALL
+       SELECT f.rid, f.grp, f.level + 1, f.pos // 3, sha256(s.l || f.cur || s.r), f.sibs || s.l || s.r
+       FROM {name} f JOIN {of} s ON f.grp IS NOT DISTINCT FROM s.grp AND f.level = s.level AND f.pos = s.pos AND s.c > 1)"""
+
+    tampered = "CASE WHEN (crc % 2) = 0 THEN replace(text, chr(10), '') ELSE text END"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source AS grp, {digest('text')} AS leaf, {digest(tampered)} AS shown
+         FROM (SELECT *, {_crc32_sql('doc_id::VARCHAR')} AS crc FROM documents)),
+     o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+     {levels('t', "SELECT grp, 0 AS level, pos, leaf AS h FROM o")},
+     {sides('s', 't')},
+     {way('f', "SELECT rid, grp, 0 AS level, pos, shown AS cur, '' AS sibs FROM o", 's')},
+     tops AS (SELECT grp, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos FROM s WHERE c = 1),
+     e AS (SELECT rid, grp, arg_max(cur, level) AS cur, arg_max(sibs, level) AS sibs FROM f GROUP BY rid, grp),
+     {levels('tt', "SELECT 0 AS grp, 0 AS level, pos, h FROM tops")},
+     {sides('ss', 'tt')},
+     {way('ff', "SELECT rid, 0 AS grp, 0 AS level, tops.pos, cur, sibs FROM e JOIN tops ON e.grp IS NOT DISTINCT FROM tops.grp", 'ss')},
+     z AS (SELECT rid, arg_max(cur, level) AS cur, arg_max(sibs, level) AS sibs FROM ff GROUP BY rid),
+     root AS (SELECT h FROM ss WHERE c = 1)
+SELECT doc_id, leaf, tops.h AS subroot, root.h AS root, sha256(z.sibs) AS proof_sha256, z.cur AS folded_root, z.cur = root.h AS verified
+FROM d JOIN tops ON d.grp IS NOT DISTINCT FROM tops.grp JOIN z USING (rid), root"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+    bits = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {step.format('x')})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
 SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op4_mixing": _MIXING_SQL, "op7_exact_top_k": _TOP_K_SQL,
-                       "op9_suffix_array_dedup": _SUFFIX_SQL}
+                       "op9_suffix_array_dedup": _SUFFIX_SQL, "op11_exact_dedup": _DEDUP_SQL, "op12_merkle_manifest": _merkle_sql()}
