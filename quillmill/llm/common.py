@@ -55,6 +55,14 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[...,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``size`` bytes and at most ``SLICE_ROWS`` rows, one row at least."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def worker_held(slot: str, tag, make: Callable):
     """What ``make`` gave this worker process for the slot, made anew when the tag changes.
 
@@ -69,6 +77,22 @@ def worker_held(slot: str, tag, make: Callable):
     return held[slot][1]
 
 
+#: A key that holds more than one row in so many is hot; there are at most as many hot keys as this.
+HOT = 1024
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of their group; ``size`` is at most the group's number of rows in ``rows``, ``total`` theirs.
+
+    The few groups that hold much of the table, at most ``HOT``, are broadcast, so
+    their rows stay where they are; the others meet by their key.
+    """
+    is_hot = F.col(size) * HOT > total
+    hot = F.broadcast(groups.where(is_hot))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers stay for later tasks, and other stages need the room."""
     gc.collect()

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import give_back, slices
 from quillmill.llm.suffixes import repeated
 from quillmill.session import fresh_path
 
@@ -20,9 +21,9 @@ WIDTH = 200
 GRAM = 48
 REACH = WIDTH - GRAM + 1
 #: Bytes that one suffix array covers, pieces of one key that a shard takes, code units looked at together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SHARD = 4096
-SLICE = 1 << 23
+SLICE = 1 << 20
 
 
 def minimizers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +60,8 @@ def minimizers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & np.uint64(0xFFFFFF)).astype(np.int64), whole
 
 
-def pieces(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one minimizer: first start, number of starts, key, and a hash of all their bytes.
+def pieces(body: bytes) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one minimizer: first start, number of starts, key, and the halves of a 128-bit hash of all their bytes.
 
     A run has at most ``REACH`` starts and holds no string twice.
     """
@@ -75,53 +76,55 @@ def pieces(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         out[1].append(np.diff(np.append(cut, len(place))))
         out[2].append(whole[place[cut]])
     if not out[0]:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     start, count, key = map(np.concatenate, out)
-    digest = xxhash.xxh3_64_intdigest
-    fold = np.fromiter((digest(body[a:b]) for a, b in zip(start.tolist(), (start + count + WIDTH - 1).tolist())),
-                       np.uint64, len(start))
-    return start, count, key.view(np.int64), fold.view(np.int64)
+    digest = xxhash.xxh3_128_digest
+    fold = np.frombuffer(b"".join([digest(body[a:b]) for a, b in zip(start.tolist(), (start + count + WIDTH - 1).tolist())]),
+                         np.int64).reshape(-1, 2)
+    return start, count, key.view(np.int64), fold[:, 0], fold[:, 1]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's (uid, doc_id, n, sha) and its pieces' (uid, span, key, fold).
+    """Rows of two kinds: a document's (uid, doc_id, n, sha) and its pieces' (uid, span, key, fold, more).
 
     uid numbers the rows of a written table; span is 256 * first start + number of starts.
     """
     kinds = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()),
-                       ("span", pa.int64()), ("key", pa.int64()), ("fold", pa.int64())])
+                       ("span", pa.int64()), ("key", pa.int64()), ("fold", pa.int64()), ("more", pa.int64())])
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for part in slices(batches):
             rows, cols = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                body = (text or "").encode("utf-8", "surrogatepass")
+            for key, text in zip(part.column(0).to_pylist(), part.column(1)):
+                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 rows.append((uid, key, len(body), hashlib.sha256(body).hexdigest()))
-                start, count, name, fold = pieces(body)
-                cols.append((np.full(len(start), uid), start * 256 + count, name, fold))
+                start, count, *hashes = pieces(body)
+                cols.append((np.full(len(start), uid), start * 256 + count, *hashes))
                 uid += 1
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(4)],
-                                              none, none, none], schema=kinds)
-            ids, span, name, fold = map(np.concatenate, zip(*cols))
+                                              *[none] * 4], schema=kinds)
+            ids, *hashes = map(np.concatenate, zip(*cols))
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids), none, none, pa.nulls(len(ids), pa.string()),
-                                              pa.array(span), pa.array(name), pa.array(fold)], schema=kinds)
+                                              *map(pa.array, hashes)], schema=kinds)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "uid long, doc_id long, n long, sha string, span long, key long, fold long")
+        run, "uid long, doc_id long, n long, sha string, span long, key long, fold long, more long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     """doc_id, sha and the compressed bytes, which is what moves to meet the pieces."""
 
     def run(batches):
-        for batch in batches:
-            bodies = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(b).hexdigest() for b in bodies]),
+        for part in slices(batches):
+            bodies = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(b).hexdigest() for b in bodies]),
                                               pa.array([zlib.compress(b, 2) for b in bodies], pa.binary())],
                                              names=["doc_id", "sha", "body"])
+        give_back()
 
     return docs.select("doc_id", "text").where(F.octet_length("text") >= WIDTH).mapInArrow(
         run, "doc_id long, sha string, body binary")
@@ -157,8 +160,8 @@ def found_in_shards(opened: DataFrame) -> DataFrame:
 
     def run(batches):
         held, size, last = [], 0, None
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in slices(batches):
+            for row in part.to_pylist():
                 shard = (row["key"], row["cut"])
                 if shard != last and size >= CHUNK:
                     yield solved(held)
@@ -167,22 +170,29 @@ def found_in_shards(opened: DataFrame) -> DataFrame:
                 held.append(row)
                 size += len(row["body"])
         yield solved(held)
+        give_back()
 
     return opened.mapInArrow(run, "uid long, first long, last long, print binary")
 
 
 def across_shards(prints: DataFrame) -> DataFrame:
-    """uid, first, last of starts whose print another start has too; rows are sorted by print and looked up in that order."""
+    """uid, first, last of starts whose print another start has too; rows come sorted by print, and each is looked up among them."""
 
     def run(batches):
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            marks = np.array([int.from_bytes(m, "big") for m in rows.column(3).to_pylist()], object)
-            left, right = np.searchsorted(marks, marks, "left"), np.searchsorted(marks, marks, "right")
-            keep = np.flatnonzero(right - left > 1)
-            yield rows.select(["uid", "first", "last"]).take(pa.array(keep))
-            held = rows.slice(rows.num_rows - 1) if rows.num_rows else held
+            marks = np.array([m.as_buffer().to_pybytes() for m in rows.column(3)], "V16").view(">u8").reshape(-1, 2)
+            order = marks[:, 0].astype(np.uint64)
+            left, right = np.searchsorted(order, order, "left"), np.searchsorted(order, order, "right")
+            keep = right - left > 1
+            for i in np.flatnonzero(right - left > 1):  # the first halves are equal, so the second halves decide
+                keep[i] = (marks[left[i]: right[i], 1] == marks[i, 1]).sum() > 1
+            yield rows.select(["uid", "first", "last"]).filter(pa.array(keep))
+            held = rows.slice(rows.num_rows - 1)
+        give_back()
 
     return prints.mapInArrow(run, "uid long, first long, last long")
 
@@ -192,9 +202,9 @@ def trimmed(joined: DataFrame) -> DataFrame:
     kinds = pa.schema([("uid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for part in slices(batches):
             out = ([], [], [], [])
-            for uid, body, first, last in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for uid, body, first, last in zip(*[part.column(i).to_pylist() for i in range(4)]):
                 parts, at, spans = [], 0, 0
                 raw = zlib.decompress(body)
                 for a, b in sorted(zip(first, last)):
@@ -208,6 +218,7 @@ def trimmed(joined: DataFrame) -> DataFrame:
                 for col, x in zip(out, (uid, len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest())):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds)], schema=kinds)
+        give_back()
 
     return joined.select("uid", "body", "first", "last").mapInArrow(
         run, "uid long, n_removed long, n_spans long, kept_sha256 string")
@@ -227,8 +238,11 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", shard
        pieces has several shards; prints of its strings are merged across them.
     4. Texts with repeats are trimmed.
 
-    Intermediate tables are in the shared folder.  Hashes of 64 bits under a 64-bit
-    key, and prints of 128 bits, stand for equal bytes.
+    Intermediate tables are in the shared folder.  Hashes of 128 bits under a 64-bit
+    key, and prints of 128 bits, stand for equal bytes; within a shard bytes are
+    compared.  Tasks take texts and pieces in slices of some MB, very long texts
+    a megabyte at a time.  Other columns take no part, whatever their names; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "suffix_dedup")
@@ -243,18 +257,18 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", shard
     rows = scanned.where("key is null").select("uid", "doc_id", "n", "sha")
     copies = rows.groupBy("sha").agg(F.count("*").alias("copies"))
     rows = stored(rows.join(copies, "sha"), "rows")
-    owned = scanned.where("key is not null").select("uid", "span", "key", "fold")
-    keys = owned.groupBy("key").agg(F.count("*").alias("n"), F.min("fold").alias("lo"), F.max("fold").alias("hi")).where(
-        "n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
+    owned = scanned.where("key is not null").select("uid", "span", "key", "fold", "more")
+    keys = owned.groupBy("key").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in (
+        "fold", "more")]).where("n > 1").select("key", F.expr("min_fold <> max_fold or min_more <> max_more").alias("mixed"))
     shared = stored(owned.join(keys, "key"), "shared")
 
-    contents = shared.where("mixed").groupBy("key", "fold").agg(
+    contents = shared.where("mixed").groupBy("key", "fold", "more").agg(
         F.min(F.struct("uid", "span")).alias("one"), (F.count("*") > 1).alias("many"))
     cuts = contents.groupBy("key").agg(F.ceil(F.count("*") / shard).cast("int").alias("cuts"))
     wanted = contents.join(cuts, "key").select("one.uid", F.struct(
-        "key", F.pmod(F.col("one.uid"), F.col("cuts")).cast("int").alias("cut"), "cuts", "one.span", "many").alias("want"))
+        "key", F.pmod(F.xxhash64("one.uid", "one.span"), F.col("cuts")).cast("int").alias("cut"), "cuts", "one.span", "many").alias("want"))
     alike = shared.where("not mixed").select("uid", "span").union(
-        shared.where("mixed").join(contents.where("many").select("key", "fold"), ["key", "fold"]).select("uid", "span"))
+        shared.where("mixed").join(contents.where("many").select("key", "fold", "more"), ["key", "fold", "more"]).select("uid", "span"))
     single = rows.where("copies = 1").select("uid")
     sure = alike.join(single, "uid", "left_semi").groupBy("uid").agg(F.collect_list("span").alias("sure"))
     asked = wanted.groupBy("uid").agg(F.collect_list("want").alias("wants"))
@@ -292,9 +306,9 @@ def cut_out(texts: DataFrame) -> DataFrame:
                        ("count", pa.int32()), ("body", pa.binary()), ("many", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for part in slices(batches):
             out = tuple([] for _ in kinds)
-            for uid, body, wants in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for uid, body, wants in zip(*[part.column(i).to_pylist() for i in range(3)]):
                 raw = zlib.decompress(body)
                 for w in wants:
                     start, count = w["span"] >> 8, w["span"] & 255
@@ -302,5 +316,6 @@ def cut_out(texts: DataFrame) -> DataFrame:
                     for col, x in zip(out, row):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds)], schema=kinds)
+        give_back()
 
     return texts.mapInArrow(run, "key long, cut int, cuts int, uid long, start long, count int, body binary, many int")

@@ -99,3 +99,28 @@ def test_minimizers_are_the_least_and_leftmost():
     by_gram = {}
     for i, h in enumerate(whole.tolist()):
         assert by_gram.setdefault(body[i:i + D.GRAM], h) == h
+
+
+def test_equal_halves_of_hashes_remove_nothing(spark, monkeypatch):
+    """Pieces under one key whose 64-bit halves collide are told apart by the other half, and shards compare bytes."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(600)) for _ in range(6)]
+    texts += [texts[0][:300] + "!" + texts[0][301:], texts[1]]
+    real = D.pieces
+
+    def colliding(body):
+        start, count, key, fold, more = real(body)
+        return start, count, np.zeros_like(key), np.zeros_like(fold), more
+
+    want = plain(texts)
+    monkeypatch.setattr(D, "pieces", colliding)
+    assert report(spark, texts) == want
+
+
+def test_one_long_document_of_one_gram(spark):
+    """Many surroundings of one 48-byte string in one document are cut into several shards."""
+    draw = random.Random(10)
+    gram = "the same forty-eight bytes in every surrounding "
+    text = "".join(gram + "".join(draw.choice("abcdefghij") for _ in range(90)) for _ in range(60))
+    texts = [text, text[500:760], "é" + text[3000:3400]]
+    assert report(spark, texts, shard=4) == plain(texts)
