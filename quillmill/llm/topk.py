@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TILE = 2048
 QUERY_TILE = 1024
 SCALE = 256
+#: Lists of one query that a step of the merge tree makes into one.
+MERGED = 8
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -81,20 +83,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec
     ties go to the smaller id; a query with fewer candidates gets all of them.
     Null vectors and vectors with null or non-finite components take no part, and
     neither do null ids.  Vectors of another length are compared as if filled with
-    zeros.  Repeated rows count once.  Scores beyond a long are cut to its range.
+    zeros.  Repeated candidate rows are candidates each; a repeated query row asks
+    once.  Scores beyond a long are cut to its range.  Very long vectors are
+    multiplied whole.  Empty tables give no rows; other columns take no part.
 
     Both sides are packed into tiles, so what is shuffled are a few thousand rows'
     blocks.  Every query tile meets every candidate tile once: query tiles are
     repeated per shard, candidate tiles go to one shard each.  A task selects k per
-    query and tile, then lists are merged in two steps, by shard group and by query.
+    query and tile, then lists are merged by a tree over the shards, ``MERGED`` lists
+    a step, so no task gets more than that many of a query.
     """
     spark = queries.sparkSession
     shards = shards or 2 * spark.sparkContext.defaultParallelism
 
     def ready(df: DataFrame) -> DataFrame:
-        return usable(df.where(F.col(key).isNotNull()), vector).select(key, vector).dropDuplicates()
+        return usable(df.where(F.col(key).isNotNull()), vector).select(key, vector)
 
-    q = tiles(ready(queries), key, vector, QUERY_TILE, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    q = tiles(ready(queries).dropDuplicates(), key, vector, QUERY_TILE, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     c = tiles(ready(candidates), key, vector, TILE, "c").withColumn("shard", F.pmod(F.xxhash64("c.body"), F.lit(shards)).cast("int"))
     met = q.join(c.hint("shuffle_hash"), "shard").select("shard", "q", "c")
     kinds = pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -120,8 +125,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec
                                                   pa.array(b, pa.int64()), pa.array(s, pa.int64())], schema=kinds)
 
     found = met.mapInArrow(run, "query_id long, shard int, vec_id long, score long")
-    return merged(merged(found, k, "query_id", F.floor(F.col("shard") / 8)), k, "query_id").select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    while shards > MERGED:
+        shards = -(-shards // MERGED)
+        found = merged(found.withColumn("shard", F.floor(F.col("shard") / MERGED)), k, "query_id", "shard").drop("rank")
+    return merged(found, k, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def merged(lists: DataFrame, k: int, *by: str | Column) -> DataFrame:
