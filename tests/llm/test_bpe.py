@@ -66,3 +66,19 @@ def test_rows(spark):
     assert got[0].n_tokens == 2 and got[0].decoded == library()("Hello world")[2]
     assert [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got[1:]] == [(None, 0, none, none), (2, 0, none, none), (2, 0, none, none)]
     assert encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_plain_texts_take_the_same_way_as_others(codec):
+    """The pieces of ASCII texts are those of the general pattern."""
+    draw = random.Random(11)
+    for _ in range(3000):
+        t = "".join(chr(draw.randrange(128)) for _ in range(draw.randint(0, 60)))
+        assert codec.pieces(t) == codec.near(t.lower()), repr(t)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "Größe und word " * 80_000  # 1.2 million characters
+    df = spark.createDataFrame([(1, long, "i", 3, "d")], "doc_id long, text string, ids string, n_tokens int, decoded string")
+    got = encode_documents(df, PATH, keep=("ids", "decoded")).collect()[0]
+    ids, n, decoded = library()("Größe und word ")
+    assert got.n_tokens == 80_000 * n and got.ids == " ".join([ids] * 80_000) and got.decoded == " ".join([decoded] * 80_000)
