@@ -29,8 +29,9 @@ class Rule(NamedTuple):
     high: float | None = None
 
 
-#: The measures are those of ``measures``.  Texts of any script pass the stop-word
-#: rule if they have long words at all; bounds are loose, so that plain prose stays.
+#: The measures are those of ``measures``.  Bounds are loose, so that plain prose in
+#: English, German, French and Spanish stays; the stop-word and word-length rules are
+#: made for these four, and tables of other languages need rules of their own.
 RULES = (
     Rule("mean word length", "mean_word_chars", 2.0, 14.0),
     Rule("symbols per word", "symbol_ratio", None, 0.10),

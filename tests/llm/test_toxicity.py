@@ -42,7 +42,8 @@ def test_viterbi_finds_the_best_path(restorer):
 def test_disguises_are_restored(restorer):
     for shown, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("$tup!d", "stupid"), ("stuuuupid", "stupid"), ("l0$er", "loser"), ("tr@sh", "trash")):
         assert word in restorer.read(f"you {shown}, go")[0], shown
-    assert "idiot" in restorer.read("an i d i o t here")[1][0] and restorer.read("a m-o-r-o-n!")[1] == ["amoron"] or True
+    assert "idiot" in restorer.read("an i d i o t here")[1][0]
+    assert any("moron" in s for s in restorer.read("a m-o-r-o-n!")[1])
     words, spaced = restorer.read("The river ran. Plain words, 12 and 3.5!")
     assert words == {"the", "river", "ran", "plain", "words", "and"} and spaced == []
 
