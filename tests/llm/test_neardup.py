@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from quillmill.llm import neardup  # noqa: E402
+
 STAGE = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
 
 
@@ -73,6 +76,71 @@ def test_planted_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == kept_ids(texts)
 
 
+def test_sketches_never_differ_more_than_sets():
+    draw = np.random.default_rng(4)
+    for n in (1, 3, 200, 9000, 40_000):
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.9)], draw.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        one, two = (np.frombuffer(neardup.sketch(x), np.uint8)[None, :] for x in (a, b))
+        bits = int(min(one.shape[1], two.shape[1]) * 8).bit_length() - 1
+        gap = np.bitwise_count(neardup.folded(one, bits) ^ neardup.folded(two, bits)).sum()
+        assert gap <= len(np.setxor1d(a, b))
+
+
+def test_sketch_comparison_keeps_every_similar_pair():
+    draw = np.random.default_rng(5)
+    sets = []
+    for n in (3, 9, 30, 100, 129, 500):
+        base = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        for part in (1.0, 0.95, 0.9, 0.85, 0.7):
+            own = draw.integers(0, 1 << 63, max(1, n // 20)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[: max(1, int(n * part))], own])))
+    n, grp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    i, j = neardup.close_pairs(np.arange(len(sets)), n, grp, [neardup.sketch(s) for s in sets])
+    found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if neardup.alike(sets[a], sets[b])}
+    assert len(similar) > 20 and similar <= found and len(found) < len(similar) + 40
+
+
+def test_a_large_group_joins_in_few_pairs(spark, monkeypatch):
+    """800 near copies of one text: pairs that reach verification grow with the texts, not with their square."""
+    draw = random.Random(8)
+    base = [f"b{draw.randrange(5000)}" for _ in range(200)]
+    texts = {}
+    for i in range(800):
+        words = list(base)
+        for _ in range(draw.randrange(1, 4)):
+            words[draw.randrange(200)] = f"y{draw.randrange(10**9)}"
+        texts[i] = " ".join(words)
+    made = []
+    plain = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, t: made.append(pairs.count()) or plain(pairs, t))
+    got = STAGE(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), "")
+    assert sorted(r.doc_id for r in got.collect()) == kept_ids(texts)
+    assert sum(made) < 10 * len(texts), made
+
+
+def test_long_lists_are_cut(spark, monkeypatch):
+    """Lists over the tile size give the same pairs: every pair of cuts meets."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    texts = planted(random.Random(6))
+    shared = [f"s{i}" for i in range(90)]
+    texts |= {600 + i: " ".join(shared[: 60 + i]) for i in range(30)}
+    got = STAGE(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), "")
+    assert sorted(r.doc_id for r in got.collect()) == kept_ids(texts)
+
+
+def test_clashing_columns_nulls_and_empty_table(spark):
+    schema = "doc_id long, text string, id long, gram string, root string, mark string, row int, slot int"
+    rows = [(1, "a b c d e f", 9, "g", "r", "m", 1, 2), (2, "A b c d e f", 9, "g", "r", "m", 1, 2), (None, None, None, None, None, None, None, None),
+            (3, "", 9, "g", "r", "m", 1, 2), (4, "x " * 1_000_000, 1, "g", "r", "m", 3, 4)]
+    df = spark.createDataFrame(rows, schema)
+    got = STAGE(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+    assert STAGE(spark, df.limit(0), "").count() == 0
+
+
 def test_given_table_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
