@@ -44,8 +44,8 @@ def _two_languages(s, sf):
 
 
 def _cascade_input(s, sf):
-    last = F.coalesce(F.element_at("messages", -1)["content"], F.lit(""))
-    return d.requests(s, sf).filter(F.size("messages") > 0).select(
+    last = F.coalesce(F.try_element_at("messages", F.lit(-1))["content"], F.lit(""))  # a request without history has no prompt
+    return d.requests(s, sf).select(
         "request_id", (F.col("conv_id") % 25).cast("int").alias("organization_id"), last.alias("prompt"),
         F.col("response").alias("cheap_response"), F.concat(F.lit("heavy: "), "response").alias("heavy_response"))
 
@@ -197,7 +197,7 @@ def _any(c, patterns, flags="(?m)"):
     return " + ".join(f"regexp_matches({c}, '{flags}{p}')::INT" for p in patterns)
 
 
-_CASCADE = f"""WITH {_HISTORY}, x AS (SELECT request_id, (conv_id % 25)::INT AS org, coalesce(messages[-1].content, '') AS prompt, response FROM req WHERE len(messages) > 0),
+_CASCADE = f"""WITH {_HISTORY}, x AS (SELECT request_id, (conv_id % 25)::INT AS org, coalesce(messages[-1].content, '') AS prompt, response FROM req),
  y AS (SELECT x.*, len({q.words('prompt')}) > 2000 OR regexp_matches(prompt, '(?i){"|".join(KEYWORDS)}') AS complex,
    CASE WHEN {q.trim('response')} = '' THEN 0.0 ELSE round(greatest(0.0, 1.0 - ({" + ".join(f"len(regexp_extract_all(response, '(?i){p}')) * {w}::DOUBLE" for p, w in HEDGES)})), 6) END::DOUBLE AS conf,
    n_nationkey % 4 <> 0 AND n_nationkey % 6 <> 5 AS cheap, n_nationkey % 4 <> 0 AND n_nationkey % 3 <> 2 AS heavy,
