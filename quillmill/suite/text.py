@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
 from quillmill.functions.rows import unroll_fields
-from quillmill.operators import analytics, dedup, opcode, quotes, ranking, rules, segment, wordfilter
+from quillmill.operators import analytics, dedup, opcode, quotes, ranking, redundancy, rules, segment, wordfilter
 from quillmill.operators.routing import classify
 from quillmill.plans import pipelines as p
 from quillmill.plans.registry import registered
@@ -189,6 +189,7 @@ QUERIES = {
     "x2c_light_words": lambda s, sf: docs(s, sf).select("doc_id", wordfilter.drop_light_words(F.col("text")).alias("text_out")),
     "x3_redundant_sentences": lambda s, sf: out(dedup.drop_redundant(docs(s, sf))),
     "x3b_redundant_plain": lambda s, sf: out(dedup.drop_redundant_plain(docs(s, sf))),
+    "x3_any_length": lambda s, sf: out(redundancy.drop_redundant_any(docs(s, sf), spread_from=64)),
     "x3c_first_sentences": lambda s, sf: dedup.first_sentences(docs(s, sf)),
     "x3c_corpus_sentence_dedup": lambda s, sf: out(dedup.dedup_sentences(docs(s, sf))),
     "x3c_near_copies": lambda s, sf: dedup.near_copies(docs(s, sf)),
@@ -421,6 +422,7 @@ SQL = {
         UNION ALL SELECT doc_id, 4, 'dispatch', 'success', CASE WHEN t1 > 500 OR len(sig) > 0 THEN 'Gemini 1.5 Pro' ELSE 'DeepSeek V3' END,
           (t1 * CASE WHEN t1 > 500 OR len(sig) > 0 THEN 0.000002 ELSE 0.0000005 END::DECIMAL(20,10))::DECIMAL(20,6)::DOUBLE FROM z""",
 }
+SQL["x3_any_length"] = SQL["x3_redundant_sentences"]
 _ALIASED = "'\\x02[A-Z][a-z]+\\x03(?:\\s+\\x02[A-Z][a-z]+\\x03){1,4}'"
 
 
