@@ -180,9 +180,13 @@ def drop_unreachable_plain(df: DataFrame, text: str = "text", out: str = "text_o
                         F.when(jump, indent - 4).otherwise(state["base"]).alias("base"))
         return F.when(state["skip"] & (indent > state["base"]), state).otherwise(kept)
 
-    folded = F.aggregate("ls", start, step, lambda s: F.array_join(s["kept"], "\n"))
-    tidy = _chain(folded, ((r"\n\s*pass\s*\n", "\n"), (r"\n\s*\n+", "\n")))
-    return df.withColumn("ls", lines(F.col(text))).withColumn(out, strip(tidy)).drop("ls")
+    # A line without indent ends every skip but that of a jump near the margin, which never ends: so the text is
+    # folded one top-level part at a time, and parts after such a jump go.
+    parts = F.transform(F.split(F.col(text), r"\n(?=\S)"), lambda p: F.aggregate(lines(p), start, step))
+    used = let(parts, lambda ps: F.slice(ps, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(
+        ps, lambda s: s["skip"] & (s["base"] < 0)), F.lit(True)), F.lit(0)).cast("int"), F.size(ps))))
+    folded = F.array_join(F.flatten(F.transform(used, lambda s: s["kept"])), "\n")
+    return df.withColumn(out, strip(_chain(folded, ((r"\n\s*pass\s*\n", "\n"), (r"\n\s*\n+", "\n")))))
 
 
 # Where a block starts.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.metrics import byte_volume, cost_columns, est_tokens, savings_pct
 from quillmill.functions.rows import unroll
-from quillmill.functions.text import sentences
+from quillmill.functions.text import let, sentences
 from quillmill.functions.vocab import KEY_PREFIX
 from quillmill.operators.wordfilter import drop_stop_words_flat
 from quillmill.sources.readers import documents, requests_from_turns, table
@@ -254,12 +254,19 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % 4000).cast("int").alias("tokens_used"))
 
 
-def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files made from documents: one import pair and one function per sentence."""
-    docs = documents(spark, sf_dir).select("doc_id", sentences(F.col("text")).alias("ss"))
-    ws = F.transform("ss", lambda s: F.regexp_extract_all(F.lower(s), F.lit("([a-z]+)"), F.lit(1)))
-    usable = F.filter("ws", lambda w: F.size(w) >= 3)
+def _word_triples(text: Column) -> Column:
+    """All a-z words of every sentence, three by three; a sentence's last triple is filled up with ``x``."""
+    def triples(sentence: Column) -> Column:
+        ws = F.regexp_extract_all(F.lower(sentence), F.lit("([a-z]+)"), F.lit(1))
+        return let(ws, lambda w: F.transform(
+            F.when(F.size(w) > 0, F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 3).cast("int"))).otherwise(F.array().cast("array<int>")),
+            lambda i: F.transform(F.array(*[F.lit(k) for k in range(3)]), lambda k: F.coalesce(F.get(w, i * 3 + k), F.lit("x")))))
+
+    return F.flatten(F.transform(sentences(text), triples))
+
 
+def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made from documents: two imports and one function per three words; no words, an empty file."""
     def block(w: Column) -> Column:
         a, b, c = (F.element_at(w, i) for i in (1, 2, 3))
         return F.concat(
@@ -267,25 +274,24 @@ def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("):   \n    # "), c, F.lit("\n    url = 'http://"), a, F.lit("'  // link\n    value = "), b,
             F.lit("\n    return value\n        "), c, F.lit("()\n    pass\n"))
 
-    return (docs.withColumn("ws", ws)
-            .select("doc_id", F.array_join(F.transform(usable, block), "").alias("text")))
+    return documents(spark, sf_dir).select(
+        "doc_id", F.coalesce(F.array_join(F.transform(_word_triples(F.col("text")), block), ""), F.lit("")).alias("text"))
 
 
 def traceback_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracebacks made from documents: one frame per sentence, an error line at the end."""
-    docs = documents(spark, sf_dir).select("doc_id", sentences(F.col("text")).alias("ss"))
-    ws = F.transform("ss", lambda s: F.regexp_extract_all(F.lower(s), F.lit("([a-z]+)"), F.lit(1)))
-    usable = F.filter("ws", lambda w: F.size(w) >= 3)
-
+    """Tracebacks made from documents: one frame per three words, an error line at the end; no words, no frame and no message."""
     def frame(w: Column, i: Column) -> Column:
         a, b, c = (F.element_at(w, k) for k in (1, 2, 3))
         return F.concat(F.lit('  File "/srv/'), a, F.lit("/"), b, F.lit('.py", line '), (i + 1).cast("string"),
                         F.lit(", in "), c, F.lit("\n"))
 
-    return (docs.withColumn("ws", ws).withColumn("use", usable).filter(F.size("use") > 0)
-            .select("doc_id", F.concat(F.lit("Traceback (most recent call last):\n"),
-                                       F.array_join(F.transform("use", frame), ""),
-                                       F.lit("ValueError: "), F.element_at(F.element_at("use", 1), 1)).alias("text")))
+    def trace(use: Column) -> Column:
+        message = F.coalesce(F.get(F.get(use, F.lit(0)), F.lit(0)), F.lit(""))
+        return F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(F.transform(use, frame), ""),
+                        F.lit("ValueError: "), message)
+
+    triples = F.coalesce(_word_triples(F.col("text")), F.array().cast("array<array<string>>"))
+    return documents(spark, sf_dir).select("doc_id", let(triples, trace).alias("text"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,8 @@ QUERIES = {
 
 TRIPLES = f"""
 triple AS (SELECT doc_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS w FROM (
-  SELECT doc_id, list_filter(list_transform({q.sentences('text')}, lambda s: regexp_extract_all(lower(s), '[a-z]+')), lambda w: len(w) >= 3) AS u FROM documents)),
+  SELECT doc_id, flatten(list_transform(list_transform({q.sentences('text')}, lambda s: regexp_extract_all(lower(s), '[a-z]+')),
+    lambda w: list_transform(range(0, len(w), 3), lambda i: [w[i + 1], coalesce(w[i + 2], 'x'), coalesce(w[i + 3], 'x')]))) AS u FROM documents)),
 part AS (SELECT doc_id, pos, w[1] AS a, w[2] AS b, w[3] AS c FROM triple)"""
 _N = "chr(10)"
 _IMPORTS = f"'from ' || b || ' import ' || c || {_N} || 'import ' || a || {_N} || {_N} || {_N} || {_N}"
@@ -136,7 +137,8 @@ SQL = {
         "html", ("^#![^\\n]*\\n?", ""), ("<!--[\\s\\S]*?-->", ""), ("//[^\\n]*", ""), ("/\\*[\\s\\S]*?\\*/", ""), ("--[^\\n]*", ""), ("#[^\\n]*", ""),
         BLANK_LINES)) + " AS text_out FROM pages",
     "c4b_comments_generic": f"""WITH {CODE}, x AS (SELECT doc_id, {rx(f"replace({rx(_URL_SAFE, ('(?m)\\x03.*$', ''))}, chr(1), '://')", ("\\n{3,}", "chr(10)||chr(10)"), ("(?m)[ \\t]+$", ""))} AS c FROM code),
-        y AS (SELECT doc_id, {_LINES} AS ls, list_filter({_LINES}, lambda l, i: {q.trim('l')} <> '' OR i = 1 OR {q.trim(_LINES + '[i - 1]')} <> '') AS kept FROM x)
+        l AS (SELECT doc_id, {_LINES} AS ls FROM x),
+        y AS (SELECT doc_id, ls, list_filter(ls, lambda l, i: {q.trim('l')} <> '' OR i = 1 OR {q.trim('ls[i - 1]')} <> '') AS kept FROM l)
         SELECT doc_id, {q.join('kept', _N)} AS text_out, len(ls)::INT AS lines_before, len(kept)::INT AS lines_after, (len(ls) - len(kept))::INT AS lines_removed FROM y""",
     "c4c_hash_and_docstrings": _code_sql(_MATRIX["regex"]),
     "c4c_basic_cleanup": _code_sql(q.trim(rx("text", ("#[^\\n]*", ""), ("\\n\\s*\\n", "chr(10)")))),
@@ -174,8 +176,10 @@ SQL = {
     "c10b_error_templates": f"""WITH {_LOG} SELECT regexp_replace(line, '\\d+', 'N', 'g') AS tpl, count(*) AS hits, min(line) AS sample FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
     "c11_tracebacks": f"""WITH {TRIPLES}, f AS (SELECT doc_id, list('  File "/srv/' || a || '/' || b || '.py", line ' || (pos + 1) || ', in ' || c ORDER BY pos) AS frames,
           list('  ' || a || '/' || b || '.py:' || (pos + 1) || ' in ' || c ORDER BY pos) AS short, arg_min(a, pos) AS msg FROM part GROUP BY 1)
-        SELECT doc_id, CASE WHEN len(frames) + 2 >= 50 THEN '[TRACE_SUMMARY]' || {_N} || 'ERR: ValueError: ' || msg || {_N} || 'STACK (bottom→top):' || {_N} || array_to_string(short[-5:], {_N})
-          ELSE 'Traceback (most recent call last):' || {_N} || array_to_string(frames, {_N}) || {_N} || 'ValueError: ' || msg END AS text_out FROM f""",
+        SELECT d.doc_id, CASE WHEN f.doc_id IS NULL THEN 'Traceback (most recent call last):' || {_N} || 'ValueError: '
+          WHEN len(frames) + 2 >= 50 THEN '[TRACE_SUMMARY]' || {_N} || 'ERR: ValueError: ' || msg || {_N} || 'STACK (bottom→top):' || {_N} || array_to_string(short[-5:], {_N})
+          ELSE 'Traceback (most recent call last):' || {_N} || array_to_string(frames, {_N}) || {_N} || 'ValueError: ' || msg END AS text_out
+        FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""",
     "c12_long_output": f"""WITH l AS (SELECT doc_id, text, string_split({q.trim('text')}, {_N}) AS ls FROM documents),
         p AS (SELECT doc_id, text, ls, unnest(list_concat(ls[1:5], list_transform(list_filter(ls, lambda x, i: i > 5 AND i <= len(ls) - 5 AND
             regexp_matches(x, '(?i)\\b(error|fail|exception|critical|warning|timeout|refused|denied)\\b')), lambda x: substr(x, 1, 200)), ls[-5:])) AS line,

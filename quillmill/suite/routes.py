@@ -15,6 +15,7 @@ from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
 from quillmill.suite.code import CODE as CODE_SQL
+from quillmill.suite.code import TRIPLES
 from quillmill.suite.code import _MATRIX as _CODE_MATRIX
 from quillmill.suite.usage import AUDIT, KEYS, PROVIDERS, _HISTORY
 
@@ -248,8 +249,10 @@ SQL = {
         y AS (SELECT id, {q.trim('text')} = '' AS blank, CASE WHEN c + p > 0 THEN c / (c + p) END AS ratio FROM x)
         SELECT id, CASE WHEN NOT blank AND ratio > 0.55::DOUBLE THEN 'cac' ELSE 'nlc' END AS content_type,
         (CASE WHEN blank THEN 1.0 WHEN ratio IS NULL THEN 0.5 ELSE round(least(1.0, CASE WHEN ratio > 0.55::DOUBLE THEN ratio ELSE 1 - ratio END), 6) END)::DOUBLE AS confidence FROM y""",
-    "r2_stack_trace": f"""WITH t AS (SELECT doc_id, 'Traceback (most recent call last):' || chr(10) || string_agg('  File "/x.py", line ' || pos || ', in x', chr(10)) || chr(10) || 'ValueError: x' AS text
-          FROM (SELECT doc_id, pos, regexp_extract_all(lower(s), '[a-z]+') AS w FROM ({q.sentence_rows()})) WHERE len(w) >= 3 GROUP BY 1
+    "r2_stack_trace": f"""WITH {TRIPLES}, f AS (SELECT doc_id, string_agg('  File "/srv/' || a || '/' || b || '.py", line ' || (pos + 1) || ', in ' || c, chr(10) ORDER BY pos) || chr(10) AS fs,
+          arg_min(a, pos) AS msg FROM part GROUP BY 1),
+        t AS (SELECT d.doc_id, 'Traceback (most recent call last):' || chr(10) || coalesce(fs, '') || 'ValueError: ' || coalesce(msg, '') AS text
+          FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
           UNION ALL SELECT doc_id + 1000000, text FROM documents)
         SELECT doc_id, {_any('text', [p.replace("'", "''") for p in vocab.TRACE_INDICATORS])} >= 2 AS is_trace FROM t""",
     "r3_log_dump": f"""WITH t AS (SELECT doc_id, string_split({q.trim("CASE WHEN doc_id % 3 = 0 THEN '2024-01-01 ' || replace(text, chr(10), chr(10) || '2024-01-02 ') ELSE text END")}, chr(10)) AS ls FROM documents)
