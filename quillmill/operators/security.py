@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import vocab
-from quillmill.functions.patterns import groups
 from quillmill.functions.rows import unroll
+from quillmill.functions.skew import spread_join
 from quillmill.functions.text import BLANKS, strip, unicode
+from quillmill.operators.patternjoin import compiles, pattern_hits
 
 
 def violations(value: Column, patterns=vocab.BLOCKED_PATTERNS) -> Column:
@@ -43,25 +44,23 @@ def pattern_lines(tools: DataFrame) -> DataFrame:
 
 
 def rejected_lines(tools: DataFrame) -> list[str]:
-    """Distinct patterns that the executors' regex engine rejects.
+    """Distinct patterns that the executors' regex engine rejects, for display; no operator uses the list."""
+    return [r.pattern for r in pattern_lines(tools).select("pattern").distinct().filter(~compiles(F.col("pattern"))).collect()]
 
-    Patterns are configuration; they pass the driver one by one, and only
-    rejected ones are kept.
-    """
-    return [r.pattern for r in pattern_lines(tools).select("pattern").distinct().toLocalIterator() if groups(r.pattern) is None]
+
+def usable_lines(tools: DataFrame) -> DataFrame:
+    """tool_id, pos, pattern: blank lines and patterns that the engine rejects are skipped."""
+    return pattern_lines(tools).filter(compiles(F.col("pattern")))
 
 
 def tool_patterns(tools: DataFrame) -> DataFrame:
-    """Usable patterns of each tool as an array; blank lines and patterns the engine rejects are skipped."""
-    rejected = rejected_lines(tools)
-    rows = pattern_lines(tools)
-    valid = rows.filter(~F.col("pattern").isin(rejected)) if rejected else rows
-    return valid.groupBy("tool_id").agg(
+    """Usable patterns of each tool as an array."""
+    return usable_lines(tools).groupBy("tool_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "pattern"))), lambda s: s["pattern"]).alias("patterns"))
 
 
 def policy_scan(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """Parameters that match a pattern of their own tool."""
+    """Parameters that match a pattern of their own tool; every pattern is tried on every value of its tool."""
     with_patterns = tools.join(tool_patterns(tools), "tool_id").select("organization_id", "tool_name", "patterns")
     found = F.filter("patterns", lambda p: F.regexp_like(F.col("value"), F.concat(F.lit("(?i)"), p)))
     return (param_rows(calls).join(with_patterns, ["organization_id", "tool_name"])
@@ -70,6 +69,21 @@ def policy_scan(calls: DataFrame, tools: DataFrame) -> DataFrame:
                     F.size("matched").alias("violation_count")))
 
 
+def policy_scan_indexed(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """``policy_scan`` for pattern tables of any size: the same rows, by joins on literals that the patterns need.
+
+    A value that many calls share is tried once.
+    """
+    named = ["organization_id", "tool_name"]
+    patterns = usable_lines(tools).join(tools.select("tool_id", *named), "tool_id")
+    rows = param_rows(calls)
+    hits = pattern_hits(rows, patterns, named, "tool_id")
+    keyed = rows.withColumn("digest", F.sha2(F.col("value").cast("binary"), 256))
+    return spread_join(keyed, hits, [*named, "digest"], "call_id").select(
+        "call_id", "tool_name", "path", F.element_at("matched", 1).alias("first_violation"),
+        F.size("matched").alias("violation_count"))
+
+
 def clean_value(c: Column) -> Column:
     """No NUL, single blanks, trimmed."""
     return strip(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit("")), r"\s+", " "))

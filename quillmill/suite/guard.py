@@ -70,6 +70,7 @@ QUERIES = {
     "p1_injection_scan": lambda s, sf: sec.injection_scan(d.tool_calls(s, sf)).drop("violations"),
     "p1_injection_report": lambda s, sf: sec.injection_report(d.tool_calls(s, sf)),
     "p2_tool_policy": lambda s, sf: sec.policy_scan(d.tool_calls(s, sf), d.tools(s, sf)),
+    "p2_policy_index": lambda s, sf: sec.policy_scan_indexed(d.tool_calls(s, sf), d.tools(s, sf)),
     "p3_flatten_params": _nested,
     "p3_clean_params": lambda s, sf: sec.clean_params(d.tool_calls(s, sf)).select(
         "call_id", F.col("params")["note"].alias("note"), F.col("params")["props"].alias("props")),
@@ -213,3 +214,4 @@ SQL = {
           {{'role': CASE WHEN m.role = 'assistant' THEN 'model' ELSE 'user' END, 'parts': [{{'text': m.content}}]}}) AS c, list_filter(messages, lambda m: m.role = 'system') AS sy FROM req)
         SELECT request_id, CASE WHEN len(sy) > 0 THEN to_json({{'contents': c, 'systemInstruction': {{'parts': [{{'text': sy[-1].content}}]}}}})::VARCHAR ELSE to_json({{'contents': c}})::VARCHAR END AS payload FROM x""",
 }
+SQL["p2_policy_index"] = SQL["p2_tool_policy"]
