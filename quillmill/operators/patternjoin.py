@@ -56,9 +56,8 @@ def required_literal(pattern: Column) -> Column:
 
 
 def grams(c: Column) -> Column:
-    """Distinct ``GRAM``-letter pieces."""
-    at = F.when(F.length(c) >= GRAM, F.sequence(F.lit(1), F.length(c) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(GRAM))))
+    """Distinct ``GRAM``-letter pieces, found in one walk over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def _matching(value: Column, tried: Column) -> Column:
