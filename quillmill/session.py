@@ -53,3 +53,10 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder that no other run uses."""
     return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df, name: str):
+    """The rows, written to a table of their own in the shared folder and read back, so no later step computes them again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import vocab
 from quillmill.operators import normalize as n
 from quillmill.operators import privacy as v
+from quillmill.operators import quota
 from quillmill.operators import security as sec
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table
@@ -81,6 +82,7 @@ QUERIES = {
     "p7_tool_catalogue": lambda s, sf: sec.tool_catalogue(d.tools(s, sf), d.tool_permissions(s, sf), 7),
     "p8_minute_quota": _minute,
     "p8_daily_quota": lambda s, sf: sec.daily_quota(d.audit(s, sf), d.api_keys(s, sf)),
+    "p8_enforcement": lambda s, sf: quota.enforce(_burst(s, sf), d.api_keys(s, sf)),
     "p8_sliding_quota": lambda s, sf: sec.sliding_quota(_burst(s, sf), d.api_keys(s, sf)),
     "p9_key_check": lambda s, sf: sec.check_keys(_keyed(s, sf), d.api_keys(s, sf)).select("id", "key_status"),
     "p9_key_usage": lambda s, sf: sec.key_usage(_keyed(s, sf), d.api_keys(s, sf)),
@@ -185,6 +187,12 @@ SQL = {
     "p8_sliding_quota": f"""WITH {AUDIT}, {KEYS}, {_BURST}, m AS (SELECT api_key_id, date_trunc('second', t) AS sec, count(*) AS n FROM burst GROUP BY 1, 2),
         w AS (SELECT *, sum(n) OVER (PARTITION BY api_key_id ORDER BY sec RANGE BETWEEN INTERVAL 59 SECONDS PRECEDING AND CURRENT ROW)::BIGINT AS calls FROM m)
         SELECT api_key_id, sec AS "at", calls, rate_limit AS allowed FROM w JOIN api_key USING (api_key_id) WHERE calls > rate_limit""",
+    "p8_enforcement": f"""WITH RECURSIVE {AUDIT}, {KEYS}, {_BURST},
+        o AS MATERIALIZED (SELECT id, api_key_id, t, epoch_us(t) AS us, rate_limit::BIGINT AS l, row_number() OVER (PARTITION BY api_key_id ORDER BY t, id) AS rn FROM burst LEFT JOIN api_key USING (api_key_id)),
+        b AS (SELECT id, api_key_id, t, us, l, rn, (l - 1) * 60000000 AS level, true AS admitted FROM o WHERE rn = 1 AND l IS NOT NULL
+          UNION ALL SELECT id, api_key_id, t, us, l, rn, CASE WHEN now >= 60000000 THEN now - 60000000 ELSE now END, now >= 60000000
+          FROM (SELECT o.*, least(o.l * 60000000, b.level + o.l * least(o.us - b.us, 60000000)) AS now FROM b JOIN o ON o.api_key_id = b.api_key_id AND o.rn = b.rn + 1))
+        SELECT id, api_key_id, t AS "timestamp", admitted, (level // 60000000)::BIGINT AS tokens_left FROM b UNION ALL SELECT id, api_key_id, t, true, NULL FROM o WHERE l IS NULL""",
     "p9_key_check": f"WITH {AUDIT}, {KEYS}, {_KEYED} SELECT id, key_status FROM chk",
     "p9_key_usage": f"""WITH {AUDIT}, {KEYS}, {_KEYED} SELECT key, count(*) AS requests, max("timestamp") AS last_used_at, any_value(key_status) AS key_status FROM chk GROUP BY 1""",
     "p10_egress": _egress(),
