@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.skew import spread_join
 from quillmill.operators import analytics, dedup, logs, ranking
 from quillmill.plans import pipelines as p
-from quillmill.sources import readers, writers
+from quillmill.sources import derived, readers, writers
 from tests.conftest import SMALL
 
 
@@ -135,3 +135,17 @@ def test_empty_tables(spark):
     assert (r["total_requests"], r["total_tokens_in"], r["avg_compression_pct"], r["avg_latency_ms"]) == (0, 0, 0.0, 0)
     assert analytics.page_counts(audit).collect()[0]["total_pages"] == 1
     assert analytics.telemetry(audit).collect()[0]["request_count"] == 0
+
+
+def test_audit_texts_meet_events_last(spark, tmp_path):
+    """The join of the payloads is the outermost, so no later join moves a text once per event."""
+    spark.createDataFrame([(0, "a b the"), (1, "c"), (2, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + i % 3), i % 2, "click", 1.0) for i in range(9)],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, 5), (1, 6)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = derived.audit(spark, str(tmp_path))
+    top = next(x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in x or "Join " in x)
+    assert "doc_id" in top and "event_id" not in top
+    hits = {r["id"]: r["cache_hit"] for r in rows.collect()}
+    # First uses of a payload: ids 0 and 4 in one organization, 3 and 1 in the other; documents 1 and 2 share a payload.
+    assert {i for i, hit in hits.items() if not hit} == {0, 3, 1, 4} and len(hits) == 9
