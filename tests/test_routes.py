@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import vocab
 from quillmill.operators import promptcache as pc
 from quillmill.operators import routing as r
-from quillmill.operators.nearest import nearest
+from quillmill.operators.nearest import best_pairs, nearest, pack_cells
 
 
 def test_content_class(docs):
@@ -157,3 +157,16 @@ def test_model_config(spark):
     assert got == [("gemini-1.5-pro", 360, 10000), ("gemini-1.5-flash", 2000, None), ("deepseek-chat", 100, None), (None, None, None)]
 
 
+
+
+def test_small_cells_share_a_pack(spark):
+    cells = spark.createDataFrame([("g", c, 10) for c in range(32)] + [("h", 0, 250), ("h", 1, 5)], "grp string, cell int, n long")
+    packs = {(r["grp"], r["cell"]): r["pack"] for r in pack_cells(cells, ["grp"], 100).collect()}
+    assert [packs["g", c] for c in range(32)] == [c // 10 for c in range(32)] and packs["h", 0] == 0 and packs["h", 1] == 2
+
+
+def test_best_pairs_takes_the_first_of_equal_values():
+    sim = np.array([[0.9, 0.9 + 1e-14, 0.95, 0.1], [0.2, 0.1, 0.0, 0.3], [0.86, 0.85, 0.9, 0.9]])
+    i, j = best_pairs(sim, 2, 0.85)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 2), (0, 0), (2, 2), (2, 3)]
+    assert [len(best_pairs(sim, k, 0.85)[0]) for k in (1, 4, 9)] == [2, 7, 7]
