@@ -149,3 +149,11 @@ def test_audit_texts_meet_events_last(spark, tmp_path):
     hits = {r["id"]: r["cache_hit"] for r in rows.collect()}
     # First uses of a payload: ids 0 and 4 in one organization, 3 and 1 in the other; documents 1 and 2 share a payload.
     assert {i for i, hit in hits.items() if not hit} == {0, 3, 1, 4} and len(hits) == 9
+
+
+def test_matrix_makes_its_texts_once(spark):
+    """Branches read stored texts: what made them is not repeated per algorithm."""
+    made = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("x = 1  # "), F.md5(F.col("id").cast("string"))).alias("text"))
+    rows = p.algorithm_matrix(made, ["whitespace", "regex", "minifier"])
+    assert "md5" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["algorithm"], r["documents"]) for r in rows.collect()} == {(n, 20) for n in ("whitespace", "regex", "minifier")}
