@@ -77,7 +77,7 @@ def enforce(log: DataFrame, keys: DataFrame, limit: str = "rate_limit", ts: str
     token = seconds * 1_000_000
     known = keys.select(key, F.col(limit).cast("long").alias("_limit")).filter("_limit is not null")
     # Read by five steps below, so it is written once; slim rows.
-    asked = stored(spread_join(log.select(row_id, key, ts), known, [key], row_id, "left"), "quota")
+    asked = stored(spread_join(log.select(row_id, key, ts), known, [key], row_id, "left", merge=True), "quota")
     metered = F.col("_limit").isNotNull() & F.col(ts).isNotNull()
     timed = asked.filter(metered & (F.col("_limit") > 0)).select(
         row_id, key, F.least("_limit", F.lit(MOST)).alias("_limit"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
@@ -92,7 +92,7 @@ def enforce(log: DataFrame, keys: DataFrame, limit: str = "rate_limit", ts: str
     within = F.sum("n").over(W.partitionBy(key, "day").orderBy("sec")) - F.col("n")
     part = (per_sec.withColumn("within", within).join(days.filter("several"), [key, "day"])
             .select(key, "sec", F.floor((F.col("earlier") + F.col("within")) / chunk).alias("part")))
-    rows = spread_join(timed.drop("day"), part, [key, "sec"], row_id, "left").drop("sec")
+    rows = spread_join(timed.drop("day"), part, [key, "sec"], row_id, "left", merge=True).drop("sec")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
