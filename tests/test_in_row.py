@@ -42,3 +42,10 @@ def test_word_weights_of_rows_without_words(spark):
     assert got == {0: [2 * 323.2, 0.0, 323.1 + 311.1], 1: [], 2: [0.0], 3: [111.1]}
 
 
+def test_corpus_ranking_groups_sentences_only(docs):
+    df = docs("alpha beta alpha. gamma delta.", "alpha gamma. beta beta beta beta.")
+    text = ranking.rank_by_corpus(df)._jdf.queryExecution().optimizedPlan().toString()
+    # The word is grouped for the word table alone.
+    assert sum("word" in x.split("Aggregate [")[1].split("]")[0] for x in text.splitlines() if "Aggregate [" in x) == 1
+
+
