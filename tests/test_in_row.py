@@ -1,10 +1,12 @@
 """Ranking, embedding and derived sources inside the row: no word or trigram becomes a row, results as by plain counting."""
 
+import hashlib
 import math
 import re
 
+import numpy as np
 
-from quillmill.operators import ranking
+from quillmill.operators import promptcache, ranking
 
 TEXT = "The green house stands. Some green trees stand near water? Water flows 12 miles. Nothing else. The green water house."
 
@@ -49,3 +51,21 @@ def test_corpus_ranking_groups_sentences_only(docs):
     assert sum("word" in x.split("Aggregate [")[1].split("]")[0] for x in text.splitlines() if "Aggregate [" in x) == 1
 
 
+def test_embedding_counts_in_the_row(spark):
+    rows = [(1, "Hello hello"), (1, "other"), (2, None), (3, "ab"), (4, "a\U0001f600bc")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    sums = {k: [0] * 128 for k, _ in rows}
+    for k, t in rows:
+        t = (t or "").lower()
+        grams = [t[i:i + 3] for i in range(len(t) - 2)] + ["?" + t[i + 1:i + 3] for i in range(len(t) - 2) if t[i] > "￿"]
+        for g in grams:
+            number = int(hashlib.md5(g.encode()).hexdigest()[:5], 16)
+            sums[k][number // 2 % 128] += 1 if number % 2 == 0 else -1
+    made = promptcache.embed(df, "k", "t")
+    got = {r["k"]: r["embedding"] for r in made.collect()}
+    for k, v in sums.items():
+        norm = math.sqrt(sum(x * x for x in v))
+        assert np.allclose(got[k], [x / norm if norm else 0.0 for x in v], atol=1e-12)
+    assert "regexp_extract_all" not in plan(made)  # no trigram is made to explode
+
+
