@@ -5,8 +5,9 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from quillmill.operators import promptcache, ranking
+from quillmill.operators import dedup, promptcache, ranking
 
 TEXT = "The green house stands. Some green trees stand near water? Water flows 12 miles. Nothing else. The green water house."
 
@@ -69,3 +70,9 @@ def test_embedding_counts_in_the_row(spark):
     assert "regexp_extract_all" not in plan(made)  # no trigram is made to explode
 
 
+def test_redundancy_reads_views_of_the_batch():
+    sets = pa.array([[[1, 2], []], [], [[3]]], pa.list_(pa.list_(pa.int64())))
+    for cut in (sets, sets.slice(1)):
+        assert [[w.tolist() for w in doc] for doc in dedup._rows(cut)] == cut.to_pylist()
+
+
