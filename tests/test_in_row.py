@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from quillmill.operators import dedup, promptcache, ranking
+from quillmill.sources import derived
 
 TEXT = "The green house stands. Some green trees stand near water? Water flows 12 miles. Nothing else. The green water house."
 
@@ -76,3 +77,18 @@ def test_redundancy_reads_views_of_the_batch():
         assert [[w.tolist() for w in doc] for doc in dedup._rows(cut)] == cut.to_pylist()
 
 
+def test_sources_by_one_pattern(spark, tmp_path):
+    texts = ["One two, three four. five! Six", None, "12 $1 .", "  Don't stop\n", "xNx X. é a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    triples = [[("one", "two", "three"), ("four", "x", "x"), ("five", "x", "x"), ("six", "x", "x")], [], [],
+               [("don", "t", "stop")], [("xnx", "x", "x"), ("a", "x", "x")]]
+    code = derived.code_documents(spark, str(tmp_path))
+    block = ("from {1} import {2}\nimport {0}\n\n\n\ndef {0}({1}):   \n    # {2}\n    url = 'http://{0}'  // link\n    value = {1}\n"
+             "    return value\n        {2}()\n    pass\n")
+    assert [r["text"] for r in code.orderBy("doc_id").collect()] == ["".join(block.format(*w) for w in ws) for ws in triples]
+    assert "lambda" not in plan(code)
+    frame = '  File "/srv/{0}/{1}.py", line {3}, in {2}\n'
+    traces = derived.traceback_documents(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["text"] for r in traces] == [
+        "Traceback (most recent call last):\n" + "".join(frame.format(*w, i + 1) for i, w in enumerate(ws))
+        + "ValueError: " + (ws[0][0] if ws else "") for ws in triples]
