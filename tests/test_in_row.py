@@ -77,6 +77,11 @@ def test_redundancy_reads_views_of_the_batch():
         assert [[w.tolist() for w in doc] for doc in dedup._rows(cut)] == cut.to_pylist()
 
 
+def test_plain_redundancy_of_null_text(docs, texts_of):
+    """It failed in the Python worker before."""
+    assert texts_of(dedup.drop_redundant_plain(docs(None, "", "a b. a b. c"))) == [None, "", "a b. c"]
+
+
 def test_sources_by_one_pattern(spark, tmp_path):
     texts = ["One two, three four. five! Six", None, "12 $1 .", "  Don't stop\n", "xNx X. é a"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
