@@ -27,6 +27,8 @@ PATTERNS = {
 }
 # Found first and left as they are: dates are no telephone numbers.
 UNTOUCHED = {"_DATE": r"\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\b"}
+#: What all matches of a kind begin with, so that no pattern is tried at other characters.
+BEGINS = {k: "[A-Z0-9+]" for k in PATTERNS if k != "EMAIL"}
 LITERAL = "PLACEHOLDER"
 # Noncharacters that mark matches and their groups, and the one that replaces them in texts.
 MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3"
@@ -64,22 +66,43 @@ def active_patterns(switches: dict[str, bool] | None = None, custom: str = "") -
     return {**custom_patterns(custom), **builtin}
 
 
+def _unions(patterns: dict[str, str]) -> tuple[str, str, list[int]]:
+    """One alternation of all kinds, the same without e-mail addresses, and the groups' numbers, which are those of both."""
+    begins = {k: c for k, c in BEGINS.items() if patterns.get(k) == PATTERNS[k]}
+    union, places = alternation(patterns, begins)
+    plain = {k: "(?!)" if p == PATTERNS["EMAIL"] else p for k, p in patterns.items()}
+    return union, alternation(plain, begins)[0], places
+
+
+def _by_union(c: Column, patterns: dict[str, str], step) -> Column:
+    """``step`` with the alternation that the text needs: the pattern of addresses, which tries every word, only where there is an @."""
+    union, plain, _ = _unions(patterns)
+    return F.when(c.contains("@"), step(union)).otherwise(step(plain))
+
+
 def entities(c: Column, patterns: dict[str, str]) -> Column:
     """Matches in order of appearance as (type, value), those of ``UNTOUCHED`` kinds included.
 
     One alternation finds them; the type is the alternative that matched.  A
-    replacement that names all groups shows which: the text is marked once, with
-    noncharacters that are taken out of it before.
+    replacement that names all groups shows which, and the value with it: the
+    text is marked once, with noncharacters.  Only texts that have these
+    themselves are searched twice, as they are taken out before.
     """
-    union, places = alternation(patterns)
-    values = F.regexp_extract_all(c, F.lit(union), F.lit(0))
+    _, _, places = _unions(patterns)
     marks = MARKS[1].join(f"${p}" for p in places)
-    marked = F.regexp_replace(F.translate(c, MARKS, MARKS[3] * 3), union, f"{MARKS[0]}{marks}{MARKS[2]}")
-    fields = F.transform(F.regexp_extract_all(marked, F.lit(f"{MARKS[0]}([^{MARKS[2]}]*){MARKS[2]}"), F.lit(1)),
-                         lambda m: F.array_position(F.transform(F.split(m, MARKS[1], -1), lambda x: x != ""), True))
+    odd = c.contains(MARKS[0]) | c.contains(MARKS[1]) | c.contains(MARKS[2])
+    free = F.when(odd, F.translate(c, MARKS, MARKS[3] * 3)).otherwise(c)
+    marked = _by_union(free, patterns, lambda union: F.regexp_replace(free, union, f"{MARKS[0]}{marks}{MARKS[2]}"))
+    found = F.regexp_extract_all(marked, F.lit(f"{MARKS[0]}([^{MARKS[2]}]*){MARKS[2]}"), F.lit(1))
     kinds = F.array(*[F.lit(k) for k in patterns])
-    return F.zip_with(values, fields, lambda v, k: F.struct(
-        F.get(kinds, (k - 1).cast("int")).alias("entity_type"), v.alias("value")))
+
+    def entity(m: Column, value: Column) -> Column:
+        place = F.array_position(F.transform(F.split(m, MARKS[1], -1), lambda x: x != ""), True)
+        return F.struct(F.get(kinds, (place - 1).cast("int")).alias("entity_type"), value.alias("value"))
+
+    given = _by_union(c, patterns, lambda union: F.regexp_extract_all(c, F.lit(union), F.lit(0)))
+    return F.when(odd, F.zip_with(given, found, lambda v, m: entity(m, v))).otherwise(
+        F.transform(found, lambda m: entity(m, F.replace(m, F.lit(MARKS[1]), F.lit("")))))
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", switches=None, custom: str = "") -> DataFrame:
@@ -127,11 +150,10 @@ def mask(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "cle
     patterns = active_patterns(switches, custom)
     own = "|".join(re.escape(k) for k in [*patterns, LITERAL])
     every = {LITERAL: rf"\[(?:{own})_[0-9]+\]", **UNTOUCHED, **patterns}
-    union, _ = alternation(every)
     number = _numbered([*patterns, LITERAL])
     found = df.withColumn("_said", number(entities(F.col(text), every)))
-    woven = F.array_join(F.zip_with(F.split(F.col(text), union, -1), F.col("_said.stand"),
-                                    lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    gaps = _by_union(F.col(text), every, lambda union: F.split(F.col(text), union, -1))
+    woven = F.array_join(F.zip_with(gaps, F.col("_said.stand"), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
     return (found.withColumn("mapping", F.col("_said.mapping"))
             .withColumn(out, F.when(F.size("_said.stand") > 0, woven).otherwise(F.col(text))).drop("_said"))
 

@@ -9,6 +9,7 @@ from quillmill.operators import normalize as n
 from quillmill.operators import privacy as v
 from quillmill.operators import quota
 from quillmill.operators import security as sec
+from quillmill.session import stored
 from quillmill.sources import derived as d
 from quillmill.sources.readers import documents, table
 from quillmill.suite import sql as q
@@ -42,7 +43,7 @@ def _keyed(s, sf):
 
 def _responses(s, sf):
     """Masked documents answered with the placeholders in reverse order of appearance."""
-    masked = _masked(s, sf)
+    masked = stored(_masked(s, sf).select("doc_id", "mapping"), "responses")  # both sides read it, the texts are searched once
     reply = F.array_join(F.reverse(F.transform("mapping", lambda m: m["placeholder"])), " and ")
     answers = masked.select("doc_id", F.concat(F.lit("Write to "), reply).alias("text"))
     return v.reinject_with(answers, v.key_mapping(masked)).select("doc_id", "restored")

@@ -38,3 +38,21 @@ def test_many_values_in_one_document(docs):
     text = " ".join(f"user{i}@mail.example" for i in range(100_000))
     got = both(docs, [text])[0]
     assert got.restored == text and len(got.mapping) == 100_000 and got.clean_content.endswith("[EMAIL_100000]")
+
+
+def test_responses_are_restored_from_texts_searched_once(spark):
+    """The answers and the mapping come from one stored table, so no text is read or searched for the second side."""
+    from quillmill.suite import guard
+    from tests.conftest import SMALL
+
+    plan = guard._responses(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
+def test_kinds_and_values_beside_marks_of_the_text(docs):
+    """Texts with noncharacters and texts without an address take other ways and give the same matches."""
+    text = "Anna Schmidt, ID-12345 and 10.0.0.1 on 2024-01-15; \ufdd0x\ufdd1 DE12 3456 7890 1234 +49 170 1234567 [EMAIL_3]"
+    rows = [[(r.entity_type, r.value) for r in v.detect(docs(t)).orderBy("pos").collect()]
+            for t in (text, text.replace("\ufdd0", "").replace("\ufdd1", ""), text + " a@b.de", "ID 1\ufdd02", "Mr Ab\ufdd2 a\ufdd1@b.de")]
+    assert rows[0] == rows[1] and rows[2] == [*rows[0], ("EMAIL", "a@b.de")] and [k for k, _ in rows[0]] == ["NAME", "ID", "IP", "IBAN", "PHONE"]
+    assert rows[3] == [] and rows[4] == [("NAME", "Mr Ab")]
