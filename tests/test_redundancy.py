@@ -64,3 +64,34 @@ def test_defined_results(spark):
     assert got == want and got[7] == "One cat sat here. A dog ran off."
     empty = df.where(F.lit(False))
     assert redundancy.drop_redundant_any(empty, spread_from=0).collect() == []
+
+
+def test_documents_of_one_and_of_several_blocks_give_the_same_sentences(spark, monkeypatch):
+    """Features are counted in a task where a document is one block, else over tasks; equal sentences meet across blocks."""
+    monkeypatch.setattr(redundancy, "BLOCK", 8)
+    rng = random.Random(11)
+    docs = {k: [set(rng.sample(range(12), rng.randint(1, 5))) for _ in range(n)] for k, n in enumerate([3, 8, 9, 40, 64])}
+    rows = [(k, i, sorted(s), []) for k, sets in docs.items() for i, s in enumerate(sets)]
+    features = spark.createDataFrame(rows, "key long, pos int, w array<bigint>, b array<bigint>")
+    got = sorted((r.key, r.pos) for r in redundancy.greedy_kept(features, 0.5, 2).collect())
+    assert got == [(k, i) for k, sets in docs.items() for i in _greedy(sets, 0.5)]
+
+
+def test_only_sentences_of_pairs_move_and_only_where_they_are_compared(spark, monkeypatch):
+    """One pair among 2,000 unlike sentences: their sets are neither repeated nor shuffled with the pair's."""
+    sets = [set(range(20 * i, 20 * i + 10)) for i in range(2000)]
+    sets.append(sets[5] - {100} | {-1})
+    written, put = [], redundancy._Tables.put
+    monkeypatch.setattr(redundancy._Tables, "put", lambda self, df: written.append(put(self, df)) or written[-1])
+    assert _kept(spark, sets, 0.55, 4) == _greedy(sets, 0.55)
+    assert [t.count() for t in written if t.columns == ["key", "pos", "w", "b"]] == [2]
+
+
+def test_sentences_of_a_block_move_once(spark):
+    """Equal sentences, counts of features and prefixes need no shuffle after the one by block."""
+    rows = [(0, 0, 9, i, [i, i + 1], [i]) for i in range(9)]
+    sets = spark.createDataFrame(rows, "key long, block long, n int, pos int, w array<bigint>, b array<bigint>")
+    one = redundancy._prepared(sets.repartition("key", "block"), 0.55)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    one_block = [x for x in plan[plan.index("Union"):].split("\n") if x.startswith("   :")]
+    assert one.count() == 9 and sum("Exchange" in x for x in one_block) == 1
