@@ -36,13 +36,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = now.select(F.col("lo").alias("n"), "hi").join(least, "n").select(F.col("low").alias("lo"), "hi").distinct()
         # Small star: the smaller neighbours of a node, and the node, go to the least of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("low"))
-        joined = large.join(least, "hi")
-        small = joined.select(F.col("low").alias("lo"), F.col("lo").alias("hi")).where("lo <> hi").union(
-            joined.select(F.col("low").alias("lo"), "hi")).distinct()
-        after = stored(small, str(step))
+        # Both edges of a joined row are made from it, so the join is planned and run once.
+        small = large.join(least, "hi").select("low", F.explode(F.array("lo", "hi")).alias("hi")).where("low <> hi")
+        now = stored(small.select(F.col("low").alias("lo"), "hi").distinct(), str(step))
         # Done when each node hangs on one root and no root hangs on another node.
-        ups = after.select("lo").distinct().join(after.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
-        done = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and ups.isEmpty()
-        now = after
+        ends = now.select(F.explode(F.array(F.struct(F.col("hi").alias("n"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("n"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.n").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+        done = ends.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         now.select("lo", "lo").distinct())

@@ -71,10 +71,10 @@ def common_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         give_back()
 
     found = some.select("id", "text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(
-        "n > 1").orderBy(F.desc("n"), "gram").limit(COMMON).toPandas()
-    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+        "n > 1").orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    grams = found["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
-    return grams[order], found["n"].to_numpy(np.int64)[order]
+    return grams[order], found["n"].to_numpy().astype(np.int64)[order]
 
 
 def sets_of(batches):

@@ -145,3 +145,19 @@ def test_given_table_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert sorted(r.doc_id for r in STAGE(spark, docs, "").collect()) == kept_ids(texts)
+
+
+def test_a_round_of_components_joins_twice_and_is_checked_once(spark, monkeypatch):
+    """Small plans and few of them: each join of a small table is a broadcast, which the driver holds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quillmill.llm.components import components
+
+    joins, checks, join, empty = [], [], DataFrame.join, DataFrame.isEmpty
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a: joins.append(1) or join(self, *a))
+    monkeypatch.setattr(DataFrame, "isEmpty", lambda self: checks.append(1) or empty(self))
+    chain = [(i, i + 1) for i in range(20)] + [(7, 7), (31, 30), (30, 32)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys((30, 31, 32), 30)}
+    rounds = len(checks) - 1
+    assert rounds > 1 and len(joins) == 2 * rounds
