@@ -170,3 +170,30 @@ def test_best_pairs_takes_the_first_of_equal_values():
     i, j = best_pairs(sim, 2, 0.85)
     assert list(zip(i.tolist(), j.tolist())) == [(0, 2), (0, 0), (2, 2), (2, 3)]
     assert [len(best_pairs(sim, k, 0.85)[0]) for k in (1, 4, 9)] == [2, 7, 7]
+
+
+def test_many_vectors_are_cut_into_few_blocks(spark):
+    """32 cells of 50 entries: eight packs, where one after every hundred entries would be sixteen."""
+    cells = spark.createDataFrame([("a", i, 50) for i in range(32)], "grp string, cell int, n int")
+    assert pack_cells(cells, ["grp"], 100).agg(F.max("pack")).first()[0] == 7
+
+
+def test_queries_stream_past_their_block_of_entries(spark):
+    """Batches of seven rows end within entries and within queries; equal vectors tie, ids may be null."""
+    rnd = np.random.default_rng(4)
+    m = rnd.normal(size=(60, 5))
+    m[30:40] = m[:10]
+    rows = [(i if i != 17 else None, "g" if i % 3 else "h", m[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, grp string, v array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = nearest(df, df.withColumnRenamed("id", "eid_"), "id", "eid_", ["grp"], vector="v", k=3, least=0.3, block=8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for i in (i for i in range(60) if i != 17):
+        near = [((unit[i] @ unit[j]).round(12), -(j if j != 17 else 99), j) for j in range(60) if (i % 3 > 0) == (j % 3 > 0)]
+        want |= {(i, j if j != 17 else None) for s, _, j in sorted(near, reverse=True)[:3] if s >= 0.3}
+    assert {(r["id"], r["eid_"]) for r in found if r["id"] is not None} == want
