@@ -43,3 +43,12 @@ def test_hashes_and_ranks_are_sorted_without_a_comparator(docs):
     for op in (dedup.drop_redundant, dedup.drop_redundant_plain, ranking.rank_tfidf, ranking.condense):
         plan = op(docs("A b c. D e f. G h i.")).select("text_out")._jdf.queryExecution().analyzed().toString()
         assert "array_sort(transform(array_distinct" not in plan and "array_sort(transform(slice" not in plan
+
+
+def test_words_of_a_sentence_are_counted_once_not_for_each_of_them(docs):
+    plan = ranking.rank_by_corpus(docs("One two three. Four five six.", "One two. Seven."), top=2)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    count = [i for i, x in enumerate(lines) if "size(filter(split(s#" in x]
+    exploded = [i for i, x in enumerate(lines) if "Generate" in x and "word#" in x and "posexplode" in x]
+    assert count and all(any(e < c for e in exploded) for c in count) and "Generate" not in lines[count[0]]
+    assert not any("Generate" in lines[c + 1] and "word#" in lines[c + 1] for c in count)
